@@ -98,10 +98,13 @@ def counter_increments(df: DataFrame, keys: Sequence[str], ts: str, counters: Se
 
     The window partition is one bucket of one series, so a hot entity is split by time.
     """
-    df = df.withColumn("bucket", time_bucket(ts, width))
-    w = Window.partitionBy(*keys, "bucket").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({
-        f"inc_{c}": apply_policy(F.col(c), F.last(c, ignorenulls=True).over(w), "restart") for c in counters})
+    span = (f"over (partition by {', '.join(keys)}, bucket order by {ts} "
+            "rows between unbounded preceding and 1 preceding)")
+    before = df.withColumn("bucket", time_bucket(ts, width)).selectExpr(
+        "*", *[f"last({c}, true) {span} as _p_{c}" for c in counters])
+    return before.selectExpr(*df.columns, "bucket", *[
+        f"case when {c} is null then null when _p_{c} is null then {c} - {c} when {c} >= _p_{c} then {c} - _p_{c} "
+        f"else {c} end as inc_{c}" for c in counters])
 
 
 def counter_delta(df: DataFrame, keys: Sequence[str], ts: str, counters: Sequence[str], width: int | str,
@@ -109,10 +112,9 @@ def counter_delta(df: DataFrame, keys: Sequence[str], ts: str, counters: Sequenc
     """Bucket table: ``d_<c>`` per counter, ``td_<c>`` (seconds from first to last sample) for ``spans``, and any
     further aggregates. One exchange: the aggregate runs on the partitioning of the window."""
     inc = counter_increments(df, keys, ts, counters, width)
-    aggs = [F.sum(f"inc_{c}").alias(f"d_{c}") for c in counters]
-    for c in spans:
-        t = F.when(F.col(c).isNotNull(), F.unix_micros(F.col(ts)))
-        aggs.append(((F.max(t) - F.min(t)) / F.lit(1e6)).alias(f"td_{c}"))
+    aggs = [F.expr(f"sum(inc_{c}) as d_{c}") for c in counters]
+    aggs += [F.expr(f"(max(if({c} is null, null, unix_micros({ts}))) - min(if({c} is null, null, unix_micros({ts})))) "
+                    f"/ 1e6D as td_{c}") for c in spans]
     return inc.groupBy(*keys, "bucket").agg(*aggs, *extra)
 
 

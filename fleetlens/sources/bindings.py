@@ -84,30 +84,31 @@ def _inventory(d: Dialect) -> str:
     nul = "cast(null as string)"
     k = "c_custkey"
 
-    def dev(name, type_, size, fstype, mount, parent, id_, id_type, level=nul):
+    def dev(name, type_, size, fstype, mount, parent, id_, id_type, level=nul, vg=nul):
         return d.rec(name=name, type=f"'{type_}'", size_bytes=f"cast({size} as bigint)", fstype=fstype,
-                     mountpoint=mount, parent=parent, id=id_, id_type=id_type, raid_level=level)
+                     mountpoint=mount, parent=parent, id=id_, id_type=id_type, raid_level=level, lvm_vg=vg)
 
     gib = 1073741824
     win = f"{k} % 3 = 0"
+    sda = f"concat('disk-', {d.s(k)}, '-0')"
+    sdb = f"case when {win} then {nul} else concat('disk-', {d.s(k)}, '-1') end"
     base = [
-        dev("'sda'", "disk", f"{120 * gib}", nul, nul, nul, f"concat('disk-', {d.s(k)}, '-0')", "'wwn'"),
+        dev("'sda'", "disk", f"{120 * gib}", nul, nul, nul, sda, "'wwn'"),
         dev("'sdb'", "disk", f"{100 * gib} + ({k} % 4) * {50 * gib}", nul, nul, nul,
-            f"case when {win} then {nul} else concat('disk-', {d.s(k)}, '-1') end",
-            f"case when {win} then {nul} else 'wwn' end"),
-        dev("'sda1'", "part", f"{100 * gib}", "'ext4'", "'/'", "'sda'", "'part-a1'", "'partuuid'"),
-        dev("'sda2'", "part", f"{4 * gib}", "'swap'", "'[SWAP]'", "'sda'", "'part-a2'", "'partuuid'"),
+            sdb, f"case when {win} then {nul} else 'wwn' end"),
+        dev("'sda1'", "part", f"{100 * gib}", "'ext4'", "'/'", sda, "'part-a1'", "'partuuid'"),
+        dev("'sda2'", "swap", f"{4 * gib}", "'swap'", "'[SWAP]'", sda, "'part-a2'", "'partuuid'"),
     ]
-    plain = base + [dev("'sdb1'", "part", f"{100 * gib}", "'xfs'", "'/data'", "'sdb'", "'part-b1'", "'partuuid'")]
+    plain = base + [dev("'sdb1'", "part", f"{100 * gib}", "'xfs'", "'/data'", sdb, "'part-b1'", "'partuuid'")]
     lvm = base + [
-        dev("'sdb1'", "part", f"{100 * gib}", "'LVM2_member'", nul, "'sdb'", "'part-b1'", "'partuuid'"),
-        dev("'vg0-data'", "lvm", f"{80 * gib}", "'xfs'", "'/data'", "'sdb1'", "'lv-data'", "'dm'"),
+        dev("'sdb1'", "part", f"{100 * gib}", "'LVM2_member'", nul, sdb, "'part-b1'", "'partuuid'"),
+        dev("'vg0-data'", "lvm", f"{80 * gib}", "'xfs'", "'/data'", "'part-b1'", "'lv-data'", "'dm'", vg="'vg0'"),
     ]
     raid = base + [
-        dev("'sda3'", "part", f"{15 * gib}", "'linux_raid_member'", nul, "'sda'", "'part-a3'", "'partuuid'"),
-        dev("'sdb2'", "part", f"{15 * gib}", "'linux_raid_member'", nul, "'sdb'", "'part-b2'", "'partuuid'"),
-        dev("'md0'", "raid1", f"{15 * gib}", "'ext4'", "'/data'", "'sda3'", "'md-0'", "'md'", "'raid1'"),
-        dev("'md0'", "raid1", f"{15 * gib}", "'ext4'", "'/data'", "'sdb2'", "'md-0'", "'md'", "'raid1'"),
+        dev("'sda3'", "part", f"{15 * gib}", "'linux_raid_member'", nul, sda, "'part-a3'", "'partuuid'"),
+        dev("'sdb2'", "part", f"{15 * gib}", "'linux_raid_member'", nul, sdb, "'part-b2'", "'partuuid'"),
+        dev("'md0'", "raid", f"{15 * gib}", "'ext4'", "'/data'", "'part-a3'", "'md-0'", "'md'", "'raid1'"),
+        dev("'md0'", "raid", f"{15 * gib}", "'ext4'", "'/data'", "'part-b2'", "'md-0'", "'md'", "'raid1'"),
     ]
     subnet = d.idiv(k, "8")
     net = f"concat('10.', {d.s(f'{d.idiv(subnet, "250")} % 250')}, '.', {d.s(f'{subnet} % 250')}, '.'"
@@ -363,14 +364,18 @@ def ctes(names: list[str] | tuple[str, ...], d: Dialect) -> list[str]:
     return [f"{n} as ({VIEWS[n][0](d)})" for n in wanted]
 
 
+def _prepare(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One telemetry view as a lazy DataFrame over the Parquet tables in ``sf_dir``."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _prepare(spark)
     d = Dialect("spark", sf_dir)
     return spark.sql(f"with {', '.join(ctes([name], d))} select * from {name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as it is."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
