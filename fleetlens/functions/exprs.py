@@ -81,8 +81,8 @@ def bytes_to_gb(v: Column, digits: int = 1) -> Column:
 
 
 def usage_pct(used: Column, total: Column) -> Column:
-    """Share of ``total`` in percent, never below zero."""
-    return F.when(total > 0, F.greatest(F.lit(0.0), used.cast("double") / total.cast("double") * 100))
+    """Share of ``total`` in percent, never below zero; unknown stays unknown."""
+    return F.when((total > 0) & used.isNotNull(), F.greatest(F.lit(0.0), used.cast("double") / total.cast("double") * 100))
 
 
 def cpu_total() -> Column:

@@ -20,7 +20,8 @@ def p95(c: str | Column) -> Column:
 
 
 class Rollups:
-    """The five bucket tables of a fleet; stored ones are used when given, others are computed from samples.
+    """The five bucket tables of a fleet; those in ``stored`` are used as they are, missing ones are computed from the
+    samples and added to it.
 
     ``start`` / ``end`` are pushed into the sample scans. ``history_start`` bounds the capacity history (None reads all
     of it, as the growth of a volume needs).
@@ -29,7 +30,7 @@ class Rollups:
     def __init__(self, fleet: Fleet, start: Column, end: Column, width: int | str = "5m",
                  stored: dict[str, DataFrame] | None = None):
         self.fleet, self.start, self.end, self.width = fleet, start, end, seconds(width)
-        self._tables: dict[str, DataFrame] = dict(stored or {})
+        self._tables: dict[str, DataFrame] = stored if stored is not None else {}
 
     def _rolled(self, name: str, samples: str, fn, bounded: bool = True) -> DataFrame:
         if name not in self._tables:

@@ -299,9 +299,9 @@ def _tasks(d: Dialect) -> str:
     return f"""
     select o_orderkey as task_id, o_custkey as server_id, concat('agent-', {d.s('o_custkey')}) as agent_id,
            case o_orderstatus when 'P' then 'pending' when 'F' then 'success' else 'failure' end as status,
-           case o_orderstatus when 'O' then case o_orderkey % 3 when 0 then 'timeout' when 1 then 'nonzero_exit'
+           case o_orderstatus when 'O' then case o_orderkey % 3 when 0 then 'timeout' when 1 then 'script_failed'
                 else 'spawn_error' end end as failure_reason,
-           case o_orderstatus when 'O' then cast(case o_orderkey % 4 when 0 then 3010 when 1 then 1 when 2 then 100
+           case o_orderstatus when 'O' then cast(case o_orderkey % 4 when 0 then 2 when 1 then 1 when 2 then 3
                 else 0 end as int) when 'F' then 0 end as exit_code,
            case when o_orderkey % 50 = 1 then true when o_orderkey % 50 = 2 then false end as task_policy,
            cast(o_orderdate as timestamp) as created_at,
@@ -313,8 +313,8 @@ def _report_jobs(d: Dialect) -> str:
     q = '"'
     return f"""
     select concat('job-', {d.s('o_orderkey')}) as job_id,
-           case when o_orderkey % 2 = 0 then 'environment_report' else 'single_report' end as job_type,
-           case o_orderkey % 3 when 0 then 'fleet' when 1 then 'selection' else 'server' end as scope,
+           case when o_orderkey % 2 = 0 then 'customer_report' else 'engineer_report' end as job_type,
+           case o_orderkey % 3 when 0 then 'environment' else 'server' end as scope,
            case when o_orderkey % 3 = 2
                 then concat('{{{q}server_id{q}:{q}pub-', {d.s('o_custkey')}, '{q},{q}view{q}:{q}customer{q}}}')
                 when o_orderkey % 3 = 1

@@ -100,7 +100,7 @@ query("rollup_host_300s", """
 
 
 def rolls(c: Context) -> P.Rollups:
-    return P.Rollups(c.fleet, c.start, c.end, c.width)
+    return P.Rollups(c.fleet, c.start, c.end, c.width, c.plans.setdefault("rollup_tables", {}))
 
 
 _BW = f"bucket >= {START} and bucket <= {END}"
@@ -190,7 +190,7 @@ library("report", """
 
 
 def report(c: Context):
-    return P.report_aggregate(c.fleet, rolls(c), 14.0)
+    return c.once("report", lambda: P.report_aggregate(c.fleet, rolls(c), 14.0))
 
 
 query("report_aggregate", f"select {', '.join(REPORT_COLS)} from report", ("report",), REPORT_FLOATS)(
@@ -285,8 +285,7 @@ library("report_full", """
 
 
 def full_report(c: Context):
-    r = rolls(c)
-    return P.attach_baselines(P.report_aggregate(c.fleet, r, 14.0), c["inventory_history"], r)
+    return c.once("full_report", lambda: P.attach_baselines(report(c), c["inventory_history"], rolls(c)))
 
 
 query("attach_baselines", """select server_id, reboot_count, restart_count, net_rx_kbps, net_tx_kbps, disk_iops_baseline, disk_kbps_baseline from report_full""",
@@ -345,7 +344,7 @@ library("verdict", f"""
 
 
 def verdict(c: Context):
-    return rules.assess_host(rules.resource_stats(full_report(c)))
+    return c.once("verdict", lambda: rules.assess_host(rules.resource_stats(full_report(c))))
 
 
 query("assess_cpu", "select server_id, cpu_status, cast(cpu_target as bigint) as cpu_target, cast(cpu_floor as bigint) as cpu_floor, low_precision as cpu_low_precision from verdict", ("verdict",))(

@@ -20,15 +20,28 @@ NUDGE = "0.0000000003"  # keeps exact decimal ties on one side of the rounding b
 
 
 class Context:
-    """What a registered query reads: telemetry views, driver tables, and the common window."""
+    """What a registered query reads: telemetry views, driver tables, and the common window.
+
+    Lazy plans are kept per session and folder, so queries that start from the same report share its plan (no data is
+    cached).
+    """
+
+    _plans: dict[tuple[str, int, str], dict[str, DataFrame]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.fleet = Fleet(lambda n: B.view(spark, sf_dir, n))
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self.plans = self._plans.setdefault((spark.sparkContext.applicationId, id(spark), sf_dir), {})
+        self.fleet = Fleet(lambda n: self.once(n, lambda: B.view(spark, sf_dir, n)))
         self.end = timestamp(B.ANCHOR)
         self.start = shift(self.end, -B.PERIOD_DAYS * 86400)
         self.width = B.BUCKET_SECONDS
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.plans:
+            self.plans[name] = build()
+        return self.plans[name]
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.fleet[name]
 
