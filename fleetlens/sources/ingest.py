@@ -38,57 +38,60 @@ def version_gate(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFrame:
 
 
 def _field(name: str) -> Column:
+    """One top-level field as text, for the routing filter."""
     return F.get_json_object("value", f"$.{name}")
 
 
-def _aware(name: str, required: bool) -> Column:
-    v = _field(name)
-    good = v.rlike(AWARE) & F.try_to_timestamp(v).isNotNull()
-    return F.coalesce(good, F.lit(False)) if required else v.isNull() | F.coalesce(good, F.lit(False))
+CHECKED = ("schema_version", "message_type", "message_id", "agent_id", "collected_at", "boot_time", "agent_started_at", "os_family",
+           "machine_id", "composite_id", "agent_version", "hostname", "cpu_cores", "mem_total_bytes", "ip_external", "task_id", "status",
+           "error_code", "failed_component")
 
 
 def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFrame:
-    """Adds ``problems``: the names of the violated rules, empty for a good message."""
-    keys = F.json_object_keys("value")
-    kind = _field("message_type")
+    """Adds ``problems``: the names of the violated rules, empty for a good message. The text is parsed once, with the
+    checked fields as text and the metric namespaces typed."""
+    shape = ", ".join(f"{n} string" for n in CHECKED) + ", " + ", ".join(f"`{x}` {X.NAMESPACE}" for x in X.NAMESPACES) + ", _broken string"
+    parsed = messages.withColumns({
+        "_m": F.from_json("value", shape, {"columnNameOfCorruptRecord": "_broken"}), "_keys": F.json_object_keys("value")})
+    e = {n: F.col(f"_m.{n}") for n in CHECKED}
+    kind = e["message_type"]
 
     def no(v: Column) -> Column:
         return F.coalesce(v, F.lit(False))
 
     def long(name: str, most: int, least: int = 0, needed: bool = False) -> Column:
-        n = F.length(_field(name))
+        n = F.length(e[name])
         ok = (n <= most) & (n >= least)
         return ~no(ok) if needed else no(~ok)
 
-    host = kind.isin("inventory", "task.result")
-    ns = F.from_json("value", ", ".join(f"`{x}` {X.NAMESPACE}" for x in X.NAMESPACES))
-    metric = F.flatten(F.array(*[F.coalesce(F.map_values(ns[x]), F.array().cast("array<" + X.NAMESPACE[11:-1] + ">")) for x in X.NAMESPACES]))
-    bad_metric = F.exists(metric, lambda m: ~F.coalesce(m["type"].isin("counter", "gauge"), F.lit(False)) | F.coalesce(F.length(m["unit"]) > 32, F.lit(False)))
-    missing_ns = F.size(F.array_except(F.array(*[F.lit(x) for x in X.REQUIRED_NAMESPACES]), keys)) > 0
-    ips = F.from_json(_field("ip_external"), "array<string>")
-    bad_ip = F.exists(ips, lambda a: ~F.coalesce(F.split_part(a, F.lit("/"), F.lit(1)).rlike(r"^(\d{1,3}\.){3}\d{1,3}$|^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$"), F.lit(False)))
+    def aware(name: str, required: bool) -> Column:
+        good = no(e[name].rlike(AWARE) & F.try_to_timestamp(e[name]).isNotNull())
+        return good if required else e[name].isNull() | good
+
+    entry = "array<struct<type:string,unit:string,points:" + X.POINTS + ">>"
+    metric = F.flatten(F.array(*[F.coalesce(F.map_values(F.col("_m")[x]), F.array().cast(entry)) for x in X.NAMESPACES]))
+    bad_metric = F.exists(metric, lambda m: ~no(m["type"].isin("counter", "gauge")) | no(F.length(m["unit"]) > 32))
+    missing_ns = F.size(F.array_except(F.array(*[F.lit(x) for x in X.REQUIRED_NAMESPACES]), F.col("_keys"))) > 0
+    ips = F.from_json(e["ip_external"], "array<string>")
+    ip_form = r"^(\d{1,3}\.){3}\d{1,3}$|^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$"
+    bad_ip = F.exists(ips, lambda a: ~no(F.split_part(a, F.lit("/"), F.lit(1)).rlike(ip_form)))
+    is_inv, is_task, is_err, is_met = (no(kind == k) for k in ("inventory", "task.result", "error", "metrics"))
     rules = [
-        ("not_json", keys.isNull()),
-        ("message_type", ~no(kind.isin(TYPES))),
-        ("schema_version", ~no(_field("schema_version").rlike(r"^\d+\.\d+$"))),
-        ("major_version", ~same_major(_field("schema_version"), major)),
-        ("message_id", ~no(_field("message_id").rlike(UUID))),
-        ("agent_id", no((kind != "task.result")) & ~no(_field("agent_id").rlike(UUID))),
-        ("collected_at", ~_aware("collected_at", True)), ("boot_time", ~_aware("boot_time", False)),
-        ("agent_started_at", ~_aware("agent_started_at", False)),
-        ("os_family", ~no(_field("os_family").isin("linux", "windows"))),
+        ("not_json", F.col("_keys").isNull()),
+        ("message_type", ~no(kind.isin(TYPES))), ("schema_version", ~no(e["schema_version"].rlike(r"^\d+\.\d+$"))),
+        ("major_version", ~same_major(e["schema_version"], major)), ("message_id", ~no(e["message_id"].rlike(UUID))),
+        ("agent_id", ~is_task & ~no(e["agent_id"].rlike(UUID))),
+        ("collected_at", ~aware("collected_at", True)), ("boot_time", ~aware("boot_time", False)),
+        ("agent_started_at", ~aware("agent_started_at", False)), ("os_family", ~no(e["os_family"].isin("linux", "windows"))),
         ("machine_id", long("machine_id", 64)), ("composite_id", long("composite_id", 64)), ("agent_version", long("agent_version", 32, 1)),
-        ("hostname", no(host) & long("hostname", 255, 1, True)),
-        ("namespaces", no(kind == "metrics") & no(missing_ns)), ("metric", no(kind == "metrics") & no(bad_metric)),
-        ("cpu_cores", no(kind == "inventory") & no(_field("cpu_cores").try_cast("int") < 0)),
-        ("mem_total_bytes", no(kind == "inventory") & no(_field("mem_total_bytes").try_cast("bigint") < 0)),
-        ("ip_external", no(kind == "inventory") & no(bad_ip)),
-        ("task_id", no(kind == "task.result") & long("task_id", 128, 1, True)),
-        ("status", no(kind == "task.result") & long("status", 32, 1, True)),
-        ("error_code", no(kind == "error") & long("error_code", 64, 1, True)),
-        ("failed_component", no(kind == "error") & long("failed_component", 32, 1, True)),
+        ("hostname", (is_inv | is_task) & long("hostname", 255, 1, True)),
+        ("namespaces", is_met & no(missing_ns)), ("metric", is_met & no(bad_metric)),
+        ("cpu_cores", is_inv & no(e["cpu_cores"].try_cast("int") < 0)), ("mem_total_bytes", is_inv & no(e["mem_total_bytes"].try_cast("bigint") < 0)),
+        ("ip_external", is_inv & no(bad_ip)),
+        ("task_id", is_task & long("task_id", 128, 1, True)), ("status", is_task & long("status", 32, 1, True)),
+        ("error_code", is_err & long("error_code", 64, 1, True)), ("failed_component", is_err & long("failed_component", 32, 1, True)),
     ]
-    return messages.withColumn("problems", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
+    return parsed.withColumn("problems", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).drop("_m", "_keys")
 
 
 def split_valid(messages: DataFrame, major: str = CONTRACT_MAJOR) -> tuple[DataFrame, DataFrame]:

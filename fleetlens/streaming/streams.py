@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fleetlens.functions import thresholds as T
 from fleetlens.functions.exprs import col
@@ -25,6 +26,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
 
 
+def _with_epoch(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("epoch", IntegerType())])
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is available now into a Parquet folder and return it with the batch number ``epoch``."""
     spark = stream.sparkSession
@@ -38,7 +43,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
-    return spark.read.schema(schema.add("epoch", "int")).parquet(f"{root}/data")
+    return spark.read.schema(_with_epoch(schema)).parquet(f"{root}/data")
 
 
 def newest_epoch(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -97,36 +102,33 @@ def clock_alerts(messages: DataFrame, key: str = "agent_id", ts: str = "collecte
 
 # --- state per host -----------------------------------------------------------------------------------------------
 
+KEEP_START_US = 24 * 3600 * 1_000_000
+
+
 def _start_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get[0] if state.exists else None
+    """Walk the new samples of one host in time order; the state is its last start and when that was seen."""
+    last, seen = state.get if state.exists else (None, None)
     out = []
     for f in frames:
-        for at, start in f.sort_values(["ts", "start"])[["ts", "start"]].itertuples(index=False):
-            if pd.isna(start):
-                continue
-            now = int(start.value // 1000)
-            if last is not None and now != last:
+        f = f.dropna(subset=["start"]).sort_values(["ts", "start"])
+        for at, start in f[["ts", "start"]].itertuples(index=False):
+            now, at_us = int(start.value // 1000), int(at.value // 1000)
+            if last is not None and now != last and at_us - seen <= KEEP_START_US:
                 out.append((key[0], at, start))
-            last = now
+            last, seen = now, at_us
     if last is not None:
-        state.update((last,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.update((last, seen))
     if out:
         yield pd.DataFrame(out, columns=["host", "changed_at", "agent_started_at"])
 
 
 def agent_start_changes(stream: DataFrame, key: str, ts: str, start: str) -> DataFrame:
-    """Agent start times that differ from the last one kept (24 hours) for the host. State is one number per host.
-
-    Repeats are removed before the shuffle: only the first sample of each start time of a host travels on.
-    """
+    """Agent start times that differ from the last one of the host seen within 24 hours. State is two numbers per
+    host; a batch hands each host only its new samples, as a sequence of Arrow batches."""
     src = stream.select(col(key).alias("host"), col(ts).alias("ts"), col(start).alias("start"))
     return src.groupBy("host").applyInPandasWithState(
-        _start_changes, f"host {dict(stream.dtypes)[key]}, changed_at timestamp, agent_started_at timestamp", "last long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        _start_changes, f"host {dict(stream.dtypes)[key]}, changed_at timestamp, agent_started_at timestamp",
+        "last long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def online_state(stream: DataFrame, key: str, ts: str, anchor: Column, ttl: int = T.ONLINE_SECONDS) -> DataFrame:
@@ -148,5 +150,5 @@ def upsert_stream(stream: DataFrame, key: str, ts: str, name: str = "inventory")
 
     q = (stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
-    stored = spark.read.schema(schema.add("epoch", "int")).parquet(f"{root}/data")
+    stored = spark.read.schema(_with_epoch(schema)).parquet(f"{root}/data")
     return latest_one(stored, [key], [F.desc(ts), F.desc("epoch")]).drop("epoch")

@@ -30,12 +30,12 @@ def namespace(**metrics):
     return F.create_map(*[x for k, v in metrics.items() for x in (F.lit(k.replace("__", ".")), v)])
 
 
-def envelope(df: DataFrame, kind: str, **ns) -> DataFrame:
+def envelope(df: DataFrame, kind: str, keep: tuple[str, ...] = (), **ns) -> DataFrame:
     """Rows to JSON messages; ids and times follow from host and time."""
     c = F.col
     uid = F.md5(F.concat_ws("|", F.lit(kind), *[c(k).cast("string") for k in KEY]))
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    return df.select(F.to_json(F.struct(
+    return df.select(*keep, F.to_json(F.struct(
         F.lit("1.2").alias("schema_version"), F.lit(kind).alias("message_type"), uid.alias("message_id"),
         F.md5(c("server_id").cast("string")).alias("agent_id"), F.date_format("collected_at", iso).alias("collected_at"),
         F.when(c("server_id") % 3 == 0, "windows").otherwise("linux").alias("os_family"), *[v.alias(k) for k, v in ns.items()])).alias("value"))
@@ -130,10 +130,10 @@ query("parse_pressure", f"select {AGENT}, collected_at, resource, scope, stall_t
     lambda c: G.parse_pressure(rows(pressure_messages(c))).select("agent_id", "collected_at", "resource", "scope", "stall_time_s", "ratio_avg10"))
 
 
-def inventory_messages(c: Context) -> DataFrame:
+def inventory_messages(c: Context, keep: tuple[str, ...] = ()) -> DataFrame:
     i = c["inventory"].withColumn("collected_at", C("last_seen_at"))
     names = ["hostname", "os_id", "os_version", "kernel_version", "product_name", "arch", "cpu_cores", "mem_total_bytes", "block_devices", "net_interfaces", "lvm_vgs", "services", "listen_ports"]
-    return envelope(i, "inventory", **{n: C(n) for n in names})
+    return envelope(i, "inventory", keep, **{n: C(n) for n in names})
 
 
 query("parse_inventory", """
@@ -147,9 +147,8 @@ query("parse_inventory", """
 
 def mixed_messages(c: Context) -> DataFrame:
     """Inventory messages of which some are damaged, by host number."""
-    k = F.regexp_extract("value", '"block_devices":.*?disk-(\\d+)-0', 1).cast("long")
-    v = C("value")
-    return inventory_messages(c).select(
+    k, v = C("server_id"), C("value")
+    return inventory_messages(c, ("server_id",)).select(
         F.when(k % 11 == 1, F.substring(v, 1, 40)).when(k % 11 == 2, F.regexp_replace(v, '"schema_version":"1.2"', '"schema_version":"2.0"'))
         .when(k % 11 == 3, F.regexp_replace(v, '"os_family":"[a-z]+"', '"os_family":"beos"')).when(k % 11 == 4, F.regexp_replace(v, '"cpu_cores":', '"cpu_cores":-'))
         .when(k % 11 == 5, F.regexp_replace(v, '"hostname":"[^"]*"', '"hostname":""')).when(k % 11 == 6, F.regexp_replace(v, '"collected_at":"([^"]*)Z"', '"collected_at":"$1"'))
@@ -162,10 +161,9 @@ query("quarantine_invalid", """
 
 
 def _quarantine(c: Context):
-    good, bad = G.split_valid(mixed_messages(c))
-    p = F.array_join("problems", ",")
-    return good.select(F.lit("valid").alias("verdict")).unionByName(bad.select(F.when(F.array_contains("problems", "not_json"), "broken").otherwise(p).alias("verdict"))).groupBy("verdict").agg(
-        F.count("*").alias("messages"))
+    p = G.check_messages(mixed_messages(c)).select("problems")
+    verdict = F.when(F.size("problems") == 0, "valid").when(F.array_contains("problems", "not_json"), "broken").otherwise(F.array_join("problems", ","))
+    return p.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("messages"))
 
 
 query("contract_version_gate", "select count(*) as messages from inventory where server_id % 11 not in (1, 2)", ("inventory",))(lambda c: G.version_gate(mixed_messages(c)).agg(F.count("*").alias("messages")))
@@ -273,8 +271,8 @@ def _stream_bursts(c: Context):
 query("online_state", f"select user_id, max(ts) as last_at, max(ts) > {END} - interval 1 day as online from events group by 1", ())(
     lambda c: W.newest_epoch(W.run_available(W.online_state(event_stream(c), "user_id", "ts", c.end, 86400), "online", "update"), ["user_id"]))
 query("agent_start_change", """
-    select host, changed_at, agent_started_at from (select user_id as host, ts as changed_at, date_trunc('day', ts) as agent_started_at, lag(date_trunc('day', ts)) over (partition by user_id order by ts) as p from events) x
-    where p is not null and p <> agent_started_at""", ())(
+    select host, changed_at, agent_started_at from (select user_id as host, ts as changed_at, date_trunc('day', ts) as agent_started_at, lag(date_trunc('day', ts)) over (partition by user_id order by ts) as p, lag(ts) over (partition by user_id order by ts) as seen from events) x
+    where p is not null and p <> agent_started_at and changed_at - seen <= interval 24 hour""", ())(
     lambda c: W.run_available(W.agent_start_changes(event_stream(c).withColumn("start", F.date_trunc("day", "ts")), "user_id", "ts", "start"), "starts").drop("epoch"))
 query("clock_invariant_alerts", "select agent_id, count(*) as alerts from (select 'agent-' || server_id as agent_id from host_metrics where agent_started_at > collected_at or boot_time > agent_started_at or boot_time > collected_at) x group by 1", ("host_metrics",))(
     lambda c: W.clock_alerts(c["host_metrics"].withColumn("agent_id", F.concat(F.lit("agent-"), C("server_id").cast("string")))).groupBy("agent_id").agg(F.count("*").alias("alerts")))
