@@ -233,7 +233,7 @@ library("net_base", f"""
     select server_id, sum(a) / sum(dt) / 1024 as rx_baseline, quantile_cont(a / dt / 1024, 0.95) as rx_p95, max(a / dt / 1024) as rx_peak,
            sum(b) / sum(dt) / 1024 as tx_baseline, quantile_cont(b / dt / 1024, 0.95) as tx_p95, max(b / dt / 1024) as tx_peak
     from ({_BASE['net'][0]}) p group by 1""", ("net_dev",))
-query("baseline_rate_disk", "select * from disk_base", ("disk_base",), ("iops_p95", "iops_peak", "kbps_baseline", "kbps_p95", "kbps_peak"))(
+query("baseline_rate", "select * from disk_base", ("disk_base",), ("iops_p95", "iops_peak", "kbps_baseline", "kbps_p95", "kbps_peak"))(
     lambda c: P.disk_baseline(rolls(c).disk))
 query("baseline_rate_net", "select * from net_base", ("net_base",), ("rx_baseline", "rx_p95", "rx_peak", "tx_baseline", "tx_p95", "tx_peak"))(
     lambda c: P.net_baseline(rolls(c).net))

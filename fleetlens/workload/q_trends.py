@@ -64,7 +64,7 @@ _CPU = {"usage": "total - cpu_idle_s", "user": "cpu_user_s", "system": "cpu_syst
         "nice": "cpu_nice_s"}
 for _part, _expr in _CPU.items():
     for _a in (("avg", "max", "p95") if _part == "usage" else ("avg",)):
-        _name = f"trend_cpu_share_{_part}" + ("" if _a == "avg" else f"_{_a}")
+        _name = "trend_cpu_share" + ("" if _part == "usage" else f"_{_part}") + ("" if _a == "avg" else f"_{_a}")
         query(_name, _bucketed(f"""
             select collected_at, sum(d_num) * 100.0 / sum(d_total) as v from (
               select collected_at, num - lag(num) over w as d_num, total - lag(total) over w as d_total
@@ -78,7 +78,7 @@ for _part, _num, _guard in (
         ("usage", "mem_limit_bytes - mem_available_bytes", "mem_available_bytes"),
         ("available", "mem_available_bytes", "mem_available_bytes"),
         ("cached", "mem_cached_bytes", "mem_cached_bytes"), ("buffers", "mem_buffered_bytes", "mem_buffered_bytes")):
-    query(f"trend_mem_weighted_{_part}", _bucketed(f"""
+    query("trend_mem_weighted" + ("" if _part == "usage" else f"_{_part}"), _bucketed(f"""
         select collected_at, cast(sum({_num}) as double) / sum(mem_limit_bytes) * 100 as v from host_metrics
         where {IN} and mem_limit_bytes > 0 and {_guard} is not null group by collected_at""", "p95" if _part == "usage" else "avg"),
           ("host_metrics",), ("value",))(_trend(f"mem.{_part}_percent", agg="p95" if _part == "usage" else "avg"))
@@ -143,7 +143,7 @@ query("trend_net_congested_hosts", _hosts(_CONG), ("tcp_steps", "net_steps"), ("
 
 # M12
 for _m, _res in (("cpu", "cpu"), ("mem", "memory"), ("disk", "io")):
-    query(f"trend_psi_{_m}", _bucketed(f"""
+    query("trend_psi" + ("" if _m == "cpu" else f"_{_m}"), _bucketed(f"""
         select collected_at, sum(greatest(ds, 0)) / nullif(sum(dt), 0) * 100 as v from (
           select collected_at, stall_time_s - lag(stall_time_s) over w as ds,
                  epoch(collected_at) - epoch(lag(collected_at) over w) as dt
@@ -186,7 +186,8 @@ for _m, (_t, _d, _c) in _RATES.items():
     _steps = f"""select collected_at, server_id, {_d} as dim, greatest(cnt - lag(cnt) over w, 0) / (epoch(collected_at) - epoch(lag(collected_at) over w)) as v
         from (select server_id, {_d}, collected_at, {_c} as cnt from {_t} join {_phys} using (server_id, {_d}) where {IN_LEAD}) r
         window w as (partition by server_id, {_d} order by collected_at)"""
-    query("trend_rate_collapse_" + _m.replace(".", "_"), f"""
+    _suffix = "" if _m == "disk.read_iops" else "_" + _m.replace(".", "_")
+    query("trend_rate_collapse" + _suffix, f"""
         select ts, sum(sv) as value, {NODIM} from (
           select {TS}, avg(v) as sv from ({_steps}) s where collected_at >= {START} and v is not null group by 1, server_id, dim) g
         group by ts""", (_t, _phys), ("value",))(_trend(_m))
@@ -194,7 +195,7 @@ for _m, (_t, _d, _c) in _RATES.items():
         _names = ("(select server_id, coalesce(b.id_type || ':' || b.id, 'name:' || b.name) as dim, b.name as nm from "
                   "(select server_id, unnest(block_devices) as b from inventory) x where b.type = 'disk')" if _t == "disk_io" else
                   "(select server_id, n.id_type || ':' || n.id as dim, n.name as nm from (select server_id, unnest(net_interfaces) as n from inventory) x)")
-        query("trend_rate_dim_" + _m.replace(".", "_"), f"""
+        query("trend_rate_dim" + _suffix, f"""
             select {TS}, avg(v) as value, coalesce(nm, dim) as dimension from ({_steps}) s left join {_names} n using (server_id, dim)
             where collected_at >= {START} and v is not null group by 1, dim, coalesce(nm, dim)""",
               (_t, _phys, "inventory"), ("value",))(_trend(_m, collapse=False))
