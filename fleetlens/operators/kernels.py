@@ -26,9 +26,13 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[st
 
     Rows are shuffled once, by keys and time chunk. The last row of every chunk is reduced with map-side combine,
     carried to the next chunk of the same key, and joined back on the partitioning the window already needs.
-    ``skip_nulls`` carries the last non-null value instead of the last row.
+    ``skip_nulls`` carries the last non-null value instead of the last row. Rows without key or time are no samples
+    and are left out.
     """
     keys = list(keys)
+    # keys and time are never NULL in a sample; saying so on both branches lets Spark reuse the exchanges below them
+    for k in [*keys, ts]:
+        df = df.filter(F.col(k).isNotNull())
     chunked = df.withColumn("_chunk", F.floor(F.unix_micros(F.col(ts)) / F.lit(chunk * 1_000_000)))
     w = Window.partitionBy(*keys, "_chunk").orderBy(ts)
     if skip_nulls:
@@ -140,12 +144,18 @@ def aggregate_of(value: Column, agg: str) -> Column:
 
 
 def bucket_agg(df: DataFrame, ts: str, value: str, width: int | str, agg: str = "avg",
-               dims: Sequence[str] = ()) -> DataFrame:
-    """Series of instants to buckets: ``(ts, value, *dims)``."""
-    return (df.filter(F.col(value).isNotNull())
-            .groupBy(time_bucket(ts, width).alias("_b"), *dims)
-            .agg(aggregate_of(F.col(value), agg).alias("_v"))
-            .select(F.col("_b").alias("ts"), F.col("_v").alias("value"), *dims))
+               dims: Sequence[str] = (), per_instant: bool = False) -> DataFrame:
+    """Samples or a series of instants to buckets: ``(ts, value, *dims)``.
+
+    ``per_instant`` says that a bucket holds at most one value per instant and dimension, so the exact percentile fits
+    one buffer; otherwise the percentile is taken by ``exact_percentile``, which splits groups of any size.
+    """
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_b", time_bucket(ts, width))
+    if agg == "p95" and not per_instant:
+        out = exact_percentile(rows, ["_b", *dims], value, 0.95)
+    else:
+        out = rows.groupBy("_b", *dims).agg(aggregate_of(F.col(value), agg).alias("value"))
+    return out.select(F.col("_b").alias("ts"), "value", *dims)
 
 
 def weighted_ratio(df: DataFrame, ts: str, num: Column, den: Column, dims: Sequence[str] = (),

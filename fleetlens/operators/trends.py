@@ -12,7 +12,7 @@ from fleetlens.functions import thresholds as T
 from fleetlens.functions.exprs import cpu_busy, cpu_total, data_volume, in_window, ratio, seconds, time_bucket
 from fleetlens.operators.devices import (display_names, exploded_disks, exploded_ifaces, physical_disks,
                                          physical_ifaces)
-from fleetlens.operators.kernels import (aggregate_of, bucket_agg, crossed_any, crossed_hosts, lag_delta, locf_totals,
+from fleetlens.operators.kernels import (bucket_agg, crossed_any, crossed_hosts, lag_delta, locf_totals,
                                          rate, weighted_ratio)
 
 TS, HOST = "collected_at", "server_id"
@@ -54,7 +54,7 @@ class TrendRequest:
         return self.fleet["inventory"].select(HOST, *cols)
 
     def series(self, df: DataFrame, value: str = "v", dims: tuple[str, ...] = ()) -> DataFrame:
-        return bucket_agg(df, TS, value, self.width, self.agg, dims)
+        return bucket_agg(df, TS, value, self.width, self.agg, dims, per_instant=True)
 
 
 def cpu_numerator(metric: str) -> Column:
@@ -247,10 +247,9 @@ def trend_rate(r: TrendRequest, metric: str) -> DataFrame:
         per = rates.groupBy(HOST, dim, time_bucket(TS, r.width).alias("ts")).agg(F.avg("v").alias("sv"))
         return per.groupBy("ts").agg(F.sum("sv").alias("value"))
     exploded = (exploded_disks if disk else exploded_ifaces)(r.fleet["inventory"])
-    named = rates.join(display_names(exploded, dim), [HOST, dim], "left")
-    return (named.groupBy(time_bucket(TS, r.width).alias("ts"), F.col(dim).alias("key"),
-                          F.coalesce("display_name", dim).alias("dimension"))
-            .agg(aggregate_of(F.col("v"), r.agg).alias("value")).drop("key"))
+    named = rates.join(display_names(exploded, dim), [HOST, dim], "left").withColumn(
+        "dimension", F.coalesce("display_name", dim))
+    return bucket_agg(named, TS, "v", r.width, r.agg, (dim, "dimension")).drop(dim)
 
 
 TRENDS = {

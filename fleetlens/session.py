@@ -23,6 +23,7 @@ def build_session(app: str = "fleetlens", master: str | None = None, shuffle_par
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.ui.enabled": "false",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

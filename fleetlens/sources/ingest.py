@@ -130,8 +130,8 @@ def whole(expr: str, kind: str = "bigint") -> str:
 
 def state_sum(state: str) -> str:
     """Sum of the measured values of a CPU state over all cores; NULL if none is measured."""
-    hits = f"filter({points('cpu', 'cpu.time')}, p -> p.attr['state'] = '{state}' and p.value is not null)"
-    return f"if(size({hits}) = 0, null, aggregate({hits}, 0D, (a, p) -> a + p.value))"
+    return (f"aggregate({points('cpu', 'cpu.time')}, cast(null as double), (a, p) -> "
+            f"if(p.attr['state'] = '{state}' and p.value is not null, coalesce(a, 0D) + p.value, a))")
 
 
 def distinct_attr(key: str, *pts: str) -> str:

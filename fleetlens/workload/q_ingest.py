@@ -35,6 +35,7 @@ def envelope(df: DataFrame, kind: str, keep: tuple[str, ...] = (), **ns) -> Data
     c = F.col
     uid = F.md5(F.concat_ws("|", F.lit(kind), *[c(k).cast("string") for k in KEY]))
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    df = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *KEY)  # building text is the costly part
     return df.select(*keep, F.to_json(F.struct(
         F.lit("1.2").alias("schema_version"), F.lit(kind).alias("message_type"), uid.alias("message_id"),
         F.md5(c("server_id").cast("string")).alias("agent_id"), F.date_format("collected_at", iso).alias("collected_at"),
