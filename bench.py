@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8). Each query runs to a ``noop`` sink, so nothing is
 collected and nothing is cached between queries. ``memory_p95_raw`` and ``memory_p95_rollup`` answer the same question
-from the samples and from a stored bucket table, the one ratio the reference publishes.
+from the samples and from a stored bucket table.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 TABLES = ("inventory", "inventory_history", "host_metrics", "disk_io", "net_io", "filesystem", "cpu_core", "pressure",
           "disk_error", "tasks", "report_jobs")
@@ -29,6 +29,8 @@ class Fleet:
         return Fleet(lambda n: self[n].join(ids, "server_id", "left_semi"))
 
     @classmethod
-    def from_parquet(cls, spark, root: str) -> Fleet:
-        """Tables stored as Parquet folders below ``root`` (see ``sources.tables``)."""
-        return cls(lambda n: spark.read.parquet(f"{root}/{n}"))
+    def from_parquet(cls, spark, root: str, start: Column | None = None, end: Column | None = None) -> Fleet:
+        """Tables stored below ``root`` by ``sources.tables``; a range prunes the day folders of the time series."""
+        from fleetlens.sources.tables import read_table
+
+        return cls(lambda n: read_table(spark, root, n, start, end))
