@@ -28,7 +28,7 @@ from fleetlens.llm.common import Scratch, components, hot_join, sized
 K = 64  # retained values of a sketch
 SHARED = 32  # that two similar sets share at least, if they have more values
 SMALL = 51  # sets of at most so many values, and all sets similar to them, are retained whole
-BLOCK_BYTES = 4_000_000  # of full sets in one block of the second pass
+BLOCK_BYTES = 4_000_000  # of text in one block of the second pass
 WORDS = 400_000  # word hashes that a worker remembers
 
 _word_hashes: dict[bytes, int] = {}
@@ -74,17 +74,9 @@ def _sketcher(width: int):
         for b in batches:
             sets = [shingles(t, width) for t in _bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([s[:K].tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "digest", "sketch"])
-
-    return run
-
-
-def _full(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in _bytes(b.column("text"))], pa.binary())], names=["doc", "full"])
+                pa.array([s[:K].tobytes() for s in sets], pa.binary())], names=["doc_id", "text_hash", "n", "digest", "sketch"])
 
     return run
 
@@ -119,44 +111,46 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * inter >= 80 * (len(x) + len(y) - inter)
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = b.column("full_a").to_pylist()
-        y = b.column("full_b").to_pylist()
-        ok = pa.array([_similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
+def _exact(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = _bytes(b.column("text_a")), _bytes(b.column("text_b"))
+            ok = pa.array([_similar(shingles(p, width), shingles(q, width)) for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
+
+    return run
 
 
-def _block_links(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between a block of probes (``right``) and a block of members (``left``) of one list."""
-    value = key[0].as_py()
-    ids, comps, n, pre, full = (left.column(c).to_pylist() for c in ("doc", "comp", "n", "prefix", "full"))
-    n = np.array(n, np.int64)
-    comps = np.array(comps, np.int64)
-    full = [np.frombuffer(f, np.uint64) for f in full]
-    pre = [np.array(p, np.int64) for p in pre]
-    every = np.concatenate(full) if full else np.empty(0, np.uint64)
-    starts = np.r_[0, np.cumsum([len(f) for f in full])[:-1]].astype(np.int64)
-    out_a, out_b = [], []
-    for doc, comp, m, p, f in zip(*(right.column(c).to_pylist() for c in ("doc", "comp", "n", "prefix", "full")), strict=True):
-        f = np.frombuffer(f, np.uint64)
-        p = np.array(p, np.int64)
-        maybe = (comps != comp) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
-        if not maybe.any() or not len(f):
-            continue
-        at = np.minimum(np.searchsorted(f, every), len(f) - 1)
-        inter = np.add.reduceat((f[at] == every).astype(np.int64), starts)
-        hit = maybe & (100 * inter >= 80 * (n + m - inter))
-        linked = set()
-        for i in np.flatnonzero(hit):
-            if int(comps[i]) in linked:
-                continue  # one link joins two components
-            if not _first_shared(p, pre[i], value):
+def _block_links(width: int):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        """Links between a block of probes (``right``) and a block of members (``left``) of one list."""
+        value = key[0].as_py()
+        ids, comps, n, pre = (left.column(c).to_pylist() for c in ("doc", "comp", "n", "prefix"))
+        n = np.array(n, np.int64)
+        comps = np.array(comps, np.int64)
+        full = [shingles(t, width) for t in _bytes(left.column("text"))]
+        pre = [np.array(p, np.int64) for p in pre]
+        every = np.concatenate(full) if full else np.empty(0, np.uint64)
+        starts = np.r_[0, np.cumsum([len(f) for f in full])[:-1]].astype(np.int64)
+        out_a, out_b = [], []
+        for doc, comp, m, p, t in zip(*(right.column(c).to_pylist() for c in ("doc", "comp", "n", "prefix")), _bytes(right.column("text")), strict=True):
+            maybe = (comps != comp) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            if not maybe.any():
                 continue
-            linked.add(int(comps[i]))
-            out_a.append(doc)
-            out_b.append(ids[i])
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            f = shingles(t, width)
+            p = np.array(p, np.int64)
+            at = np.minimum(np.searchsorted(f, every), len(f) - 1)
+            inter = np.add.reduceat((f[at] == every).astype(np.int64), starts)
+            linked = set()
+            for i in np.flatnonzero(maybe & (100 * inter >= 80 * (n + m - inter))):
+                if int(comps[i]) in linked or not _first_shared(p, pre[i], value):
+                    continue  # one link joins two components; a pair counts in the first list that it shares
+                linked.add(int(comps[i]))
+                out_a.append(doc)
+                out_b.append(ids[i])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
 
 
 def _first_shared(p: np.ndarray, q: np.ndarray, value: int) -> bool:
@@ -175,17 +169,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, tmp: Scratch | None = None)
     """
     spark = docs.sparkSession
     tmp = tmp or Scratch(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sk = tmp.keep(texts.mapInArrow(_sketcher(width), "doc_id long, n long, digest binary, sketch binary"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sk = tmp.keep(texts.mapInArrow(_sketcher(width), "doc_id long, text_hash long, n long, digest binary, sketch binary"), "sketches")
     solid = sk.where("n > 0 and doc_id is not null")
     # one digest for a doc_id, then one doc_id for a digest
     once = solid.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("s")).select("doc_id", "s.digest", "s.n")
     classes = tmp.keep(once.groupBy("digest", "n").agg(F.min("doc_id").alias("doc")), "classes")
     reps = tmp.keep(hot_join(solid, classes.withColumnRenamed("doc", "doc_id").select("doc_id", "digest"), ["doc_id", "digest"], "inner")
-                    .select(F.col("doc_id").alias("doc"), "n", "sketch"), "reps")
+                    .select(F.col("doc_id").alias("doc"), "text_hash", "n", "sketch").dropDuplicates(["doc"]), "reps")
 
     lists = tmp.keep(_lists(reps), "lists")
+    tmp.tidy()
     links = _first_pass(tmp, texts, reps, lists, width)
+    tmp.tidy()
     labels = components(tmp, links)
     more = _second_pass(tmp, texts, reps, lists, labels, width)
     if not more.isEmpty():
@@ -216,10 +212,17 @@ def _lists(reps: DataFrame) -> DataFrame:
     return hot_join(listed, lengths, ["value"], "inner").select("value", "members", "doc", "n", "prefix")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Full sets of the wanted documents (one text for each): the texts are filtered where they are read."""
-    some = texts.join(sized(wanted.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
-    return some.mapInArrow(_full(width), "doc long, full binary")
+def _texts(tmp: Scratch, texts: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the wanted documents, filtered where they are read; of rows that repeat a doc_id, the class's text.
+
+    Texts travel to the comparisons, not their sets, which are several times as large in a shuffle.
+    """
+    want = hot_join(reps.select("doc", "text_hash"), wanted.select("doc"), ["doc"], "inner").select(F.col("doc").alias("doc_id"), "text_hash")
+    return texts.join(sized(tmp.keep(want, "wanted-texts")), ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("doc"), "text")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
 
 
 def _first_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, width: int) -> DataFrame:
@@ -228,25 +231,21 @@ def _first_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFram
     near = F.col("n") * 4 <= F.col("hub.n") * 5
     near &= F.col("hub.n") * 4 <= F.col("n") * 5
     pairs = hot_join(lists.select("value", "doc", "n"), hub, ["value"], "inner").where(near & (F.col("doc") != F.col("hub.doc")))
-    pairs = pairs.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
+    pairs = tmp.keep(pairs.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct(), "candidates")
     side = lambda t, x, c: t.select(F.col("doc").alias(x), F.col(c).alias(f"{c}_{x}"))
-    both = hot_join(hot_join(pairs, side(reps, "a", "sketch"), ["a"], "inner"), side(reps, "b", "sketch"), ["b"], "inner")
-    pairs = tmp.keep(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a long, b long"), "pairs")
-    wanted = tmp.keep(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "wanted")
-    sets = tmp.keep(_one_set(_sets(texts, wanted, width), reps), "sets")
-    both = hot_join(hot_join(pairs, side(sets, "a", "full"), ["a"], "inner"), side(sets, "b", "full"), ["b"], "inner")
-    links = tmp.keep(both.select("a", "b", "full_a", "full_b").mapInArrow(_exact, "a long, b long"), "links")
-    tmp.drop(pairs, wanted, sets)
+    wanted = tmp.keep(_ends(pairs), "wanted")
+    some = reps.select("doc", "sketch").join(sized(wanted), "doc", "left_semi")
+    both = hot_join(hot_join(pairs, side(some, "a", "sketch"), ["a"], "inner"), side(some, "b", "sketch"), ["b"], "inner")
+    likely = tmp.keep(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a long, b long"), "pairs")
+    tmp.drop(pairs, wanted)
+    wanted = tmp.keep(_ends(likely), "wanted")
+    some = tmp.keep(_texts(tmp, texts, reps, wanted), "texts")
+    both = hot_join(hot_join(likely, side(some, "a", "text"), ["a"], "inner"), side(some, "b", "text"), ["b"], "inner")
+    links = tmp.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width), "a long, b long"), "links")
+    tmp.drop(likely, wanted, some)
     return links
 
 
-def _one_set(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows that repeat a doc_id may hold other texts: the set whose sketch is the representative's counts."""
-    want = reps.select("doc", F.col("sketch").alias("_s"), F.col("n").alias("_n"))
-    own = sets.withColumn("_s", F.substring("full", 1, 8 * K)).withColumn("_n", (F.octet_length("full") / 8).cast("long"))
-    return hot_join(own, want, ["doc", "_s", "_n"], "inner").select("doc", "full").dropDuplicates(["doc"])
-
-
 def _second_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, labels: DataFrame, width: int) -> DataFrame:
     """Links between components within lists of three and more members; lists of two are done with the first pass."""
     three = lists.where("members > 2")
@@ -260,20 +259,20 @@ def _second_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFra
     rows = hot_join(comp, per.select("value", "main"), ["value"], "inner")
     rows = tmp.keep(hot_join(rows, lists.select("value", "doc", "n", "prefix"), ["value", "doc"], "inner"), "open-rows")
     wanted = tmp.keep(rows.select("doc").distinct(), "wanted")
-    sets = _one_set(_sets(texts, wanted, width), reps)
-    rows = hot_join(rows.withColumn("prefix", F.array_sort("prefix")), sets, ["doc"], "inner")
-    rows = tmp.keep(rows, "open-sets")
+    some = _texts(tmp, texts, reps, wanted)
+    rows = hot_join(rows.withColumn("prefix", F.array_sort("prefix")), some, ["doc"], "inner")
+    rows = tmp.keep(rows, "open-texts")
     # members and probes of a list are cut into blocks of bounded size; every block of one meets every block of the other
-    bytes_ = F.octet_length("full")
+    bytes_ = F.octet_length("text")
     weight = rows.groupBy("value").agg(F.ceil(F.sum(bytes_) / BLOCK_BYTES).cast("int").alias("blocks"),
                                        F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), bytes_)) / BLOCK_BYTES).cast("int").alias("parts"))
-    rows = hot_join(rows, weight, ["value"], "inner").select("value", "blocks", "parts", "doc", "comp", "main", "n", "prefix", "full")
+    rows = hot_join(rows, weight, ["value"], "inner").select("value", "blocks", "parts", "doc", "comp", "main", "n", "prefix", "text")
     at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.withColumn("block", at("blocks")).withColumn("part", each("parts")).drop("blocks", "parts", "main")
     probes = rows.where("comp <> main").withColumn("part", at("parts")).withColumn("block", each("blocks")).drop("blocks", "parts", "main")
     probes = probes.toDF(*probes.columns)
-    links = members.groupBy("value", "block", "part").cogroup(probes.groupBy("value", "block", "part")).applyInArrow(_block_links, "a long, b long")
+    links = members.groupBy("value", "block", "part").cogroup(probes.groupBy("value", "block", "part")).applyInArrow(_block_links(width), "a long, b long")
     out = tmp.keep(links, "links")
     tmp.drop(comp, per, rows, wanted)
     return out
