@@ -8,9 +8,9 @@
 3. First pass: every list links its members to one member, chosen at random for each list. That is linear in the number
    of list rows, and joins groups of thousands of near copies through many different members.
 4. The union-sketch estimate drops pairs that cannot be similar; the rest is compared on full sets.
-5. Second pass: only lists whose members are not one component by then. Every member outside the list's largest
-   component is compared, in blocks, with all members of other components (again estimate, then full sets), in the first
-   list that a pair shares. Together both passes find every component; no list has a cap.
+5. Second pass: only lists whose members are not one component by then. Every member outside a list's largest component
+   is compared on full sets, in blocks, with all members of other components in the lists that have the same largest
+   component. Together both passes find every component; no list has a cap.
 """
 
 from __future__ import annotations
@@ -123,41 +123,33 @@ def _exact(width: int):
 
 def _block_links(width: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        """Links between a block of probes (``right``) and a block of members (``left``) of one list."""
-        value = key[0].as_py()
-        ids, comps, n, pre = (left.column(c).to_pylist() for c in ("doc", "comp", "n", "prefix"))
-        n = np.array(n, np.int64)
-        comps = np.array(comps, np.int64)
+        """Links between a block of probes (``right``) and a block of members (``left``)."""
+        ids, comps, n = (left.column(c).to_numpy() for c in ("doc", "comp", "n"))
         full = [shingles(t, width) for t in _bytes(left.column("text"))]
-        pre = [np.array(p, np.int64) for p in pre]
+        order = np.argsort(n, kind="stable")  # sets of a similar size lie together
+        ids, comps, n, full = ids[order], comps[order], n[order], [full[i] for i in order]
         every = np.concatenate(full) if full else np.empty(0, np.uint64)
-        starts = np.r_[0, np.cumsum([len(f) for f in full])[:-1]].astype(np.int64)
+        starts = np.r_[0, np.cumsum([len(f) for f in full])].astype(np.int64)
         out_a, out_b = [], []
-        for doc, comp, m, p, t in zip(*(right.column(c).to_pylist() for c in ("doc", "comp", "n", "prefix")), _bytes(right.column("text")), strict=True):
-            maybe = (comps != comp) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
-            if not maybe.any():
+        for doc, comp, m, t in zip(*(right.column(c).to_pylist() for c in ("doc", "comp", "n")), _bytes(right.column("text")), strict=True):
+            lo, hi = np.searchsorted(5 * n, 4 * m), np.searchsorted(4 * n, 5 * m, side="right")
+            if not (comps[lo:hi] != comp).any():
                 continue
             f = shingles(t, width)
-            p = np.array(p, np.int64)
-            at = np.minimum(np.searchsorted(f, every), len(f) - 1)
-            inter = np.add.reduceat((f[at] == every).astype(np.int64), starts)
+            some = every[starts[lo] : starts[hi]]
+            at = np.minimum(np.searchsorted(f, some), len(f) - 1)
+            inter = np.add.reduceat((f[at] == some).astype(np.int64), starts[lo:hi] - starts[lo])
             linked = set()
-            for i in np.flatnonzero(maybe & (100 * inter >= 80 * (n + m - inter))):
-                if int(comps[i]) in linked or not _first_shared(p, pre[i], value):
-                    continue  # one link joins two components; a pair counts in the first list that it shares
-                linked.add(int(comps[i]))
-                out_a.append(doc)
-                out_b.append(ids[i])
+            for i in lo + np.flatnonzero((comps[lo:hi] != comp) & (100 * inter >= 80 * (n[lo:hi] + m - inter))):
+                if int(comps[i]) not in linked:  # one link joins two components
+                    linked.add(int(comps[i]))
+                    out_a.append(doc)
+                    out_b.append(int(ids[i]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
-def _first_shared(p: np.ndarray, q: np.ndarray, value: int) -> bool:
-    both = np.intersect1d(p, q)
-    return len(both) == 0 or int(both[0]) == value
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, tmp: Scratch | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -197,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, tmp: Scratch | None = None)
 
 
 def _lists(reps: DataFrame) -> DataFrame:
-    """``(value, doc, n, prefix)``: the inverted lists of at least two members; prefix: all listed values of the doc."""
+    """``(value, members, doc, n)``: the inverted lists of at least two members."""
     rows = reps.select("doc", "n", "sketch").mapInArrow(_retained, "value long, doc long, n long")
     counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = hot_join(rows, counts, ["value"], "inner")
@@ -207,9 +199,9 @@ def _lists(reps: DataFrame) -> DataFrame:
     room = (size - least + 1 - (size - F.size("vs"))).cast("int")
     per = shared.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     prefix = per.select("doc", "n", F.slice("vs", 1, F.greatest(room, F.lit(0))).getField("value").alias("prefix")).where(F.size("prefix") > 0)
-    listed = prefix.select("doc", "n", "prefix", F.explode("prefix").alias("value"))
+    listed = prefix.select("doc", "n", F.explode("prefix").alias("value"))
     lengths = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return hot_join(listed, lengths, ["value"], "inner").select("value", "members", "doc", "n", "prefix")
+    return hot_join(listed, lengths, ["value"], "inner").select("value", "members", "doc", "n")
 
 
 def _texts(tmp: Scratch, texts: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -247,32 +239,31 @@ def _first_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFram
 
 
 def _second_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, labels: DataFrame, width: int) -> DataFrame:
-    """Links between components within lists of three and more members; lists of two are done with the first pass."""
+    """Links between components within lists of three and more members; lists of two are done with the first pass.
+
+    All open lists with the same largest component are one comparison: a text travels once for them, not once a list.
+    """
     three = lists.where("members > 2")
-    comp = hot_join(three.select("value", "members", F.col("doc").alias("node")), labels, ["node"]).select("value", "members", F.col("node").alias("doc"), F.coalesce("label", "node").alias("comp"))
+    comp = hot_join(three.select("value", "n", F.col("doc").alias("node")), labels, ["node"]).select("value", "n", F.col("node").alias("doc"), F.coalesce("label", "node").alias("comp"))
     comp = tmp.keep(comp, "list-components")
-    per = comp.groupBy("value", "members", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("value", "members").agg(
+    per = comp.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(
         F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("parts > 1")
-    per = tmp.keep(per, "open-lists")
-    if per.isEmpty():
+    rows = tmp.keep(hot_join(comp, per.select("value", "main"), ["value"], "inner").select("main", "doc", "comp", "n").distinct(), "open-rows")
+    if rows.isEmpty():
         return tmp.keep(tmp.spark.createDataFrame([], "a long, b long"), "links")
-    rows = hot_join(comp, per.select("value", "main"), ["value"], "inner")
-    rows = tmp.keep(hot_join(rows, lists.select("value", "doc", "n", "prefix"), ["value", "doc"], "inner"), "open-rows")
     wanted = tmp.keep(rows.select("doc").distinct(), "wanted")
-    some = _texts(tmp, texts, reps, wanted)
-    rows = hot_join(rows.withColumn("prefix", F.array_sort("prefix")), some, ["doc"], "inner")
-    rows = tmp.keep(rows, "open-texts")
-    # members and probes of a list are cut into blocks of bounded size; every block of one meets every block of the other
+    rows = tmp.keep(hot_join(rows, _texts(tmp, texts, reps, wanted).dropDuplicates(["doc"]), ["doc"], "inner"), "open-texts")
+    # members and probes are cut into blocks of bounded size; every block of one meets every block of the other
     bytes_ = F.octet_length("text")
-    weight = rows.groupBy("value").agg(F.ceil(F.sum(bytes_) / BLOCK_BYTES).cast("int").alias("blocks"),
-                                       F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), bytes_)) / BLOCK_BYTES).cast("int").alias("parts"))
-    rows = hot_join(rows, weight, ["value"], "inner").select("value", "blocks", "parts", "doc", "comp", "main", "n", "prefix", "text")
+    weight = rows.groupBy("main").agg(F.ceil(F.sum(bytes_) / BLOCK_BYTES).cast("int").alias("blocks"),
+                                      F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), bytes_)) / BLOCK_BYTES).cast("int").alias("parts"))
+    rows = hot_join(rows, weight, ["main"], "inner").select("main", "blocks", "parts", "doc", "comp", "n", "text")
     at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.withColumn("block", at("blocks")).withColumn("part", each("parts")).drop("blocks", "parts", "main")
-    probes = rows.where("comp <> main").withColumn("part", at("parts")).withColumn("block", each("blocks")).drop("blocks", "parts", "main")
+    members = rows.withColumn("block", at("blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
+    probes = rows.where("comp <> main").withColumn("part", at("parts")).withColumn("block", each("blocks")).drop("blocks", "parts")
     probes = probes.toDF(*probes.columns)
-    links = members.groupBy("value", "block", "part").cogroup(probes.groupBy("value", "block", "part")).applyInArrow(_block_links(width), "a long, b long")
+    links = members.groupBy("main", "block", "part").cogroup(probes.groupBy("main", "block", "part")).applyInArrow(_block_links(width), "a long, b long")
     out = tmp.keep(links, "links")
-    tmp.drop(comp, per, rows, wanted)
+    tmp.drop(comp, rows, wanted)
     return out
