@@ -28,7 +28,7 @@ from fleetlens.llm.common import Scratch, components, hot_join, sized
 K = 64  # retained values of a sketch
 SHARED = 32  # that two similar sets share at least, if they have more values
 SMALL = 51  # sets of at most so many values, and all sets similar to them, are retained whole
-BLOCK_BYTES = 4_000_000  # of text in one block of the second pass
+BLOCK_BYTES = 4_000_000  # of texts or sketches in one block of the second pass
 WORDS = 400_000  # word hashes that a worker remembers
 
 _word_hashes: dict[bytes, int] = {}
@@ -121,35 +121,77 @@ def _exact(width: int):
     return run
 
 
+def _against(left: pa.Table, right: pa.Table, members: list[np.ndarray], probe, possible) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(probe's position, its doc, positions of members)`` where ``possible(shared, n, m)`` holds between components."""
+    comps, n = (left.column(c).to_numpy() for c in ("comp", "n"))
+    order = np.argsort(n, kind="stable")  # sets of a similar size lie together
+    comps, n, members = comps[order], n[order], [members[i] for i in order]
+    every = np.concatenate(members) if members else np.empty(0, np.uint64)
+    starts = np.r_[0, np.cumsum([len(f) for f in members])].astype(np.int64)
+    for k, (doc, comp, m) in enumerate(zip(*(right.column(c).to_pylist() for c in ("doc", "comp", "n")), strict=True)):
+        lo, hi = np.searchsorted(5 * n, 4 * m), np.searchsorted(4 * n, 5 * m, side="right")
+        if not (comps[lo:hi] != comp).any():
+            continue
+        f = probe(k)
+        some = every[starts[lo] : starts[hi]]
+        at = np.minimum(np.searchsorted(f, some), len(f) - 1)
+        shared = np.add.reduceat((f[at] == some).astype(np.int64), starts[lo:hi] - starts[lo])
+        yield k, doc, order[lo + np.flatnonzero((comps[lo:hi] != comp) & possible(shared, n[lo:hi], m))]
+
+
+def _similar_sizes(shared: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+    return 100 * shared >= 80 * (n + m - shared)
+
+
+def _sketch_possible(shared: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+    """The same bound as for the lists: whole sets are compared, of larger ones half of the retained values must agree."""
+    whole = np.maximum(n, m) <= K
+    return np.where(whole, _similar_sizes(shared, n, m), shared >= SHARED)
+
+
+def _block_ends(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    """Documents of a block that have a possible partner, by their sketches."""
+    ids = left.column("doc").to_numpy()
+    sk = [np.frombuffer(x, np.uint64) for x in left.column("payload").to_pylist()]
+    other = right.column("payload").to_pylist()
+    ends: set[int] = set()
+    for _, doc, found in _against(left, right, sk, lambda k: np.frombuffer(other[k], np.uint64), _sketch_possible):
+        if len(found):
+            ends.add(doc)
+            ends.update(ids[found].tolist())
+    return pa.table({"main": pa.array([key[0].as_py()] * len(ends), pa.int64()), "doc": pa.array(sorted(ends), pa.int64())})
+
+
 def _block_links(width: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        """Links between a block of probes (``right``) and a block of members (``left``)."""
-        ids, comps, n = (left.column(c).to_numpy() for c in ("doc", "comp", "n"))
-        full = [shingles(t, width) for t in _bytes(left.column("text"))]
-        order = np.argsort(n, kind="stable")  # sets of a similar size lie together
-        ids, comps, n, full = ids[order], comps[order], n[order], [full[i] for i in order]
-        every = np.concatenate(full) if full else np.empty(0, np.uint64)
-        starts = np.r_[0, np.cumsum([len(f) for f in full])].astype(np.int64)
+        """Links between a block of probes (``right``) and a block of members (``left``), on full sets."""
+        ids, comps = left.column("doc").to_numpy(), left.column("comp").to_numpy()
+        full = [shingles(t, width) for t in _bytes(left.column("payload"))]
+        other = _bytes(right.column("payload"))
         out_a, out_b = [], []
-        for doc, comp, m, t in zip(*(right.column(c).to_pylist() for c in ("doc", "comp", "n")), _bytes(right.column("text")), strict=True):
-            lo, hi = np.searchsorted(5 * n, 4 * m), np.searchsorted(4 * n, 5 * m, side="right")
-            if not (comps[lo:hi] != comp).any():
-                continue
-            f = shingles(t, width)
-            some = every[starts[lo] : starts[hi]]
-            at = np.minimum(np.searchsorted(f, some), len(f) - 1)
-            inter = np.add.reduceat((f[at] == some).astype(np.int64), starts[lo:hi] - starts[lo])
-            linked = set()
-            for i in lo + np.flatnonzero((comps[lo:hi] != comp) & (100 * inter >= 80 * (n[lo:hi] + m - inter))):
-                if int(comps[i]) not in linked:  # one link joins two components
-                    linked.add(int(comps[i]))
-                    out_a.append(doc)
-                    out_b.append(int(ids[i]))
+        for _, doc, found in _against(left, right, full, lambda k: shingles(other[k], width), _similar_sizes):
+            _, first = np.unique(comps[found], return_index=True)  # one link joins two components
+            out_a += [doc] * len(first)
+            out_b += ids[found[first]].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
+def _blocks(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Every block of the members of a ``main`` meets every block of its probes, the members of other components."""
+    bytes_ = F.octet_length("payload")
+    weight = rows.groupBy("main").agg(F.ceil(F.sum(bytes_) / BLOCK_BYTES).cast("int").alias("blocks"),
+                                      F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), bytes_)) / BLOCK_BYTES).cast("int").alias("parts"))
+    rows = hot_join(rows, weight, ["main"], "inner").select("main", "blocks", "parts", "doc", "comp", "n", "payload")
+    at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.where("parts > 0").withColumn("block", at("blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
+    probes = rows.where("comp <> main").withColumn("part", at("parts")).withColumn("block", each("blocks")).drop("blocks", "parts")
+    probes = probes.toDF(*probes.columns)
+    return members.groupBy("main", "block", "part").cogroup(probes.groupBy("main", "block", "part")).applyInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, tmp: Scratch | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -251,19 +293,13 @@ def _second_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFra
     rows = tmp.keep(hot_join(comp, per.select("value", "main"), ["value"], "inner").select("main", "doc", "comp", "n").distinct(), "open-rows")
     if rows.isEmpty():
         return tmp.keep(tmp.spark.createDataFrame([], "a long, b long"), "links")
-    wanted = tmp.keep(rows.select("doc").distinct(), "wanted")
-    rows = tmp.keep(hot_join(rows, _texts(tmp, texts, reps, wanted).dropDuplicates(["doc"]), ["doc"], "inner"), "open-texts")
-    # members and probes are cut into blocks of bounded size; every block of one meets every block of the other
-    bytes_ = F.octet_length("text")
-    weight = rows.groupBy("main").agg(F.ceil(F.sum(bytes_) / BLOCK_BYTES).cast("int").alias("blocks"),
-                                      F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), bytes_)) / BLOCK_BYTES).cast("int").alias("parts"))
-    rows = hot_join(rows, weight, ["main"], "inner").select("main", "blocks", "parts", "doc", "comp", "n", "text")
-    at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.withColumn("block", at("blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
-    probes = rows.where("comp <> main").withColumn("part", at("parts")).withColumn("block", each("blocks")).drop("blocks", "parts")
-    probes = probes.toDF(*probes.columns)
-    links = members.groupBy("main", "block", "part").cogroup(probes.groupBy("main", "block", "part")).applyInArrow(_block_links(width), "a long, b long")
-    out = tmp.keep(links, "links")
-    tmp.drop(comp, rows, wanted)
+    # first on sketches; texts travel for documents that may have a partner
+    some = tmp.keep(hot_join(rows, reps.select("doc", F.col("sketch").alias("payload")), ["doc"], "inner"), "open-sketches")
+    ends = tmp.keep(_blocks(some, _block_ends, "main long, doc long").distinct(), "ends")
+    wanted = tmp.keep(ends.select("doc").distinct(), "wanted")
+    tmp.drop(some)
+    left = tmp.keep(hot_join(rows, ends, ["main", "doc"], "inner"), "open-rows")
+    some = tmp.keep(hot_join(left, _texts(tmp, texts, reps, wanted).dropDuplicates(["doc"]).withColumnRenamed("text", "payload"), ["doc"], "inner"), "open-texts")
+    out = tmp.keep(_blocks(some, _block_links(width), "a long, b long"), "links")
+    tmp.drop(comp, rows, ends, wanted, left, some)
     return out
