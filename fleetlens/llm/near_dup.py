@@ -90,6 +90,13 @@ def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(np.repeat(b.column("n").to_numpy(), sizes))], names=["value", "doc", "n"])
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of the retained values: where two agree, the values may; where values agree, they do."""
+    for b in batches:
+        half = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(half, pa.binary())], names=["doc", "payload"])
+
+
 def _union_estimate(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the bottom-K sketches leave similarity 0.8 possible: shared values among the K smallest of the union."""
     union = np.union1d(a, b)[:K]
@@ -126,7 +133,9 @@ def _against(left: pa.Table, right: pa.Table, members: list[np.ndarray], probe,
     comps, n = (left.column(c).to_numpy() for c in ("comp", "n"))
     order = np.argsort(n, kind="stable")  # sets of a similar size lie together
     comps, n, members = comps[order], n[order], [members[i] for i in order]
-    every = np.concatenate(members) if members else np.empty(0, np.uint64)
+    if not members:
+        return
+    every = np.concatenate(members)
     starts = np.r_[0, np.cumsum([len(f) for f in members])].astype(np.int64)
     for k, (doc, comp, m) in enumerate(zip(*(right.column(c).to_pylist() for c in ("doc", "comp", "n")), strict=True)):
         lo, hi = np.searchsorted(5 * n, 4 * m), np.searchsorted(4 * n, 5 * m, side="right")
@@ -152,10 +161,10 @@ def _sketch_possible(shared: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
 def _block_ends(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a block that have a possible partner, by their sketches."""
     ids = left.column("doc").to_numpy()
-    sk = [np.frombuffer(x, np.uint64) for x in left.column("payload").to_pylist()]
+    sk = [np.frombuffer(x, np.uint32) for x in left.column("payload").to_pylist()]
     other = right.column("payload").to_pylist()
     ends: set[int] = set()
-    for _, doc, found in _against(left, right, sk, lambda k: np.frombuffer(other[k], np.uint64), _sketch_possible):
+    for _, doc, found in _against(left, right, sk, lambda k: np.frombuffer(other[k], np.uint32), _sketch_possible):
         if len(found):
             ends.add(doc)
             ends.update(ids[found].tolist())
@@ -178,15 +187,16 @@ def _block_links(width: int):
     return run
 
 
-def _blocks(rows: DataFrame, run, schema: str) -> DataFrame:
+def _blocks(tmp: Scratch, rows: DataFrame, run, schema: str) -> DataFrame:
     """Every block of the members of a ``main`` meets every block of its probes, the members of other components."""
     bytes_ = F.octet_length("payload")
     weight = rows.groupBy("main").agg(F.ceil(F.sum(bytes_) / BLOCK_BYTES).cast("int").alias("blocks"),
                                       F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), bytes_)) / BLOCK_BYTES).cast("int").alias("parts"))
-    rows = hot_join(rows, weight, ["main"], "inner").select("main", "blocks", "parts", "doc", "comp", "n", "payload")
+    weight = sized(tmp.keep(weight.where("parts > 0"), "blocks"))
+    rows = rows.join(weight, "main").select("main", "blocks", "parts", "doc", "comp", "n", "payload")
     at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.where("parts > 0").withColumn("block", at("blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
+    members = rows.withColumn("block", at("blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
     probes = rows.where("comp <> main").withColumn("part", at("parts")).withColumn("block", each("blocks")).drop("blocks", "parts")
     probes = probes.toDF(*probes.columns)
     return members.groupBy("main", "block", "part").cogroup(probes.groupBy("main", "block", "part")).applyInArrow(run, schema)
@@ -207,10 +217,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, tmp: Scratch | None = None)
     sk = tmp.keep(texts.mapInArrow(_sketcher(width), "doc_id long, text_hash long, n long, digest binary, sketch binary"), "sketches")
     solid = sk.where("n > 0 and doc_id is not null")
     # one digest for a doc_id, then one doc_id for a digest
-    once = solid.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("s")).select("doc_id", "s.digest", "s.n")
+    once = tmp.keep(solid.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("s"), F.count(F.lit(1)).alias("rows")).select("doc_id", "s.digest", "s.n", "rows"), "documents")
     classes = tmp.keep(once.groupBy("digest", "n").agg(F.min("doc_id").alias("doc")), "classes")
-    reps = tmp.keep(hot_join(solid, classes.withColumnRenamed("doc", "doc_id").select("doc_id", "digest"), ["doc_id", "digest"], "inner")
-                    .select(F.col("doc_id").alias("doc"), "text_hash", "n", "sketch").dropDuplicates(["doc"]), "reps")
+    reps = solid.join(sized(classes.select(F.col("doc").alias("doc_id"), "digest")), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("doc"), "text_hash", "n", "sketch")
+    if not once.where("rows > 1").isEmpty():
+        reps = reps.dropDuplicates(["doc"])
+    reps = tmp.keep(reps, "reps")
 
     lists = tmp.keep(_lists(reps), "lists")
     tmp.tidy()
@@ -239,7 +251,7 @@ def _lists(reps: DataFrame) -> DataFrame:
     size = F.least(F.col("n"), F.lit(K))
     least = F.when(F.col("n") <= SMALL, F.ceil(F.col("n") * 4 / 5)).otherwise(F.lit(SHARED))
     room = (size - least + 1 - (size - F.size("vs"))).cast("int")
-    per = shared.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    per = shared.repartition("doc", "n").groupBy("doc", "n")  # dealt out as plain rows, which are smaller than arrays of one.agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     prefix = per.select("doc", "n", F.slice("vs", 1, F.greatest(room, F.lit(0))).getField("value").alias("prefix")).where(F.size("prefix") > 0)
     listed = prefix.select("doc", "n", F.explode("prefix").alias("value"))
     lengths = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -294,12 +306,14 @@ def _second_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFra
     if rows.isEmpty():
         return tmp.keep(tmp.spark.createDataFrame([], "a long, b long"), "links")
     # first on sketches; texts travel for documents that may have a partner
-    some = tmp.keep(hot_join(rows, reps.select("doc", F.col("sketch").alias("payload")), ["doc"], "inner"), "open-sketches")
-    ends = tmp.keep(_blocks(some, _block_ends, "main long, doc long").distinct(), "ends")
+    wanted = tmp.keep(rows.select("doc").distinct(), "wanted")
+    short = reps.select("doc", "sketch").join(sized(wanted), "doc", "left_semi").mapInArrow(_shortened, "doc long, payload binary")
+    some = tmp.keep(hot_join(rows, short, ["doc"], "inner"), "open-sketches")
+    ends = tmp.keep(_blocks(tmp, some, _block_ends, "main long, doc long").distinct(), "ends")
     wanted = tmp.keep(ends.select("doc").distinct(), "wanted")
     tmp.drop(some)
     left = tmp.keep(hot_join(rows, ends, ["main", "doc"], "inner"), "open-rows")
     some = tmp.keep(hot_join(left, _texts(tmp, texts, reps, wanted).dropDuplicates(["doc"]).withColumnRenamed("text", "payload"), ["doc"], "inner"), "open-texts")
-    out = tmp.keep(_blocks(some, _block_links(width), "a long, b long"), "links")
+    out = tmp.keep(_blocks(tmp, some, _block_links(width), "a long, b long"), "links")
     tmp.drop(comp, rows, ends, wanted, left, some)
     return out
