@@ -251,7 +251,8 @@ def _lists(reps: DataFrame) -> DataFrame:
     size = F.least(F.col("n"), F.lit(K))
     least = F.when(F.col("n") <= SMALL, F.ceil(F.col("n") * 4 / 5)).otherwise(F.lit(SHARED))
     room = (size - least + 1 - (size - F.size("vs"))).cast("int")
-    per = shared.repartition("doc", "n").groupBy("doc", "n")  # dealt out as plain rows, which are smaller than arrays of one.agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    # dealt out as plain rows, which are smaller than arrays of one
+    per = shared.repartition("doc", "n").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     prefix = per.select("doc", "n", F.slice("vs", 1, F.greatest(room, F.lit(0))).getField("value").alias("prefix")).where(F.size("prefix") > 0)
     listed = prefix.select("doc", "n", F.explode("prefix").alias("value"))
     lengths = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
