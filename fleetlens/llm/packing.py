@@ -11,6 +11,7 @@ Sequences of one tier form step groups of equal token counts.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -32,7 +33,10 @@ CHUNKS = 400_000  # remembered chunks of text, and as many words
 
 #: The fixed pre-token pattern of the vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_NOT_SPACE_THERE = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
+_NOT_SPACE_THERE = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
+
+
+_BEYOND_LATIN_1 = re.compile("[^\x00-\xff]")
 
 
 class Ids(dict):
@@ -48,7 +52,7 @@ class Ids(dict):
 
     @staticmethod
     def raw(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def by_library(self, text: str) -> bytes:
         return self.raw(self.tok.encode(text, add_special_tokens=False).ids)
@@ -57,7 +61,12 @@ class Ids(dict):
         if len(self) > CHUNKS:
             self.clear()
         # beyond Latin-1, and for special strings, the library normalises and splits
-        out = self.by_library(chunk) if max(chunk) > "ÿ" or any(s in chunk for s in self.special) else b"".join(map(self.word, PATTERN.findall(chunk.lower())))
+        if chunk.isascii() and chunk.isalpha():
+            out = self.word(chunk.lower())
+        elif _BEYOND_LATIN_1.search(chunk) or any(s in chunk for s in self.special):
+            out = self.by_library(chunk)
+        else:
+            out = b"".join(map(self.word, PATTERN.findall(chunk.lower())))
         self[chunk] = out
         return out
 
@@ -70,7 +79,7 @@ class Ids(dict):
         return got
 
     def document(self, text: str) -> bytes:
-        if _NOT_SPACE_THERE.search(text):
+        if any(c in text for c in _NOT_SPACE_THERE):
             return self.by_library(text)
         return b"".join(map(self.__getitem__, text.split()))
 
