@@ -30,8 +30,8 @@ def online(anchor: Column, ttl: int = T.ONLINE_SECONDS) -> Column:
 
 def metric_gaps(host_metrics: DataFrame, inventory: DataFrame, anchor: Column, gap_minutes: int = 5,
                 recent_hours: int = 24) -> DataFrame:
-    """Hosts that reported within the recent hours (at most a week) but not within the gap, oldest first."""
-    floor = shift(anchor, -min(recent_hours, 168) * 3600)
+    """Hosts that reported within the recent hours but not within the gap, oldest first."""
+    floor = shift(anchor, -recent_hours * 3600)
     last = host_metrics.filter(F.col("collected_at") >= floor).groupBy(HOST).agg(F.max("collected_at").alias("last_metric_at"))
     gone = last.filter((F.col("last_metric_at") < shift(anchor, -gap_minutes * 60))
                        & (F.col("last_metric_at") > shift(anchor, -recent_hours * 3600)))
@@ -289,7 +289,7 @@ def report_order() -> list[Column]:
     return [F.asc("risk_rank"), F.desc(F.coalesce("cpu_p95", F.lit(0.0))), F.asc("hostname")]
 
 
-def top_risks(rows: DataFrame, view: str, limit: int | None = 10) -> DataFrame:
+def top_risks(rows: DataFrame, view: str, limit: int | None = None) -> DataFrame:
     """Customer view: high risk only. Engineer view: all by risk. CPU p95 breaks ties."""
     cpu = F.desc(F.coalesce("cpu_p95", F.lit(0.0)))
     if view == "customer":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.exprs import bytes_to_gb, data_volume, ipv4_network, ipv4_number, ipv4_text
+from fleetlens.functions.exprs import VIRTUAL_FSTYPES, bytes_to_gb, data_volume, ipv4_network, ipv4_number, ipv4_text
 from fleetlens.operators.devices import PHYSICAL_KINDS
 
 HOST = "server_id"
@@ -17,9 +17,8 @@ OS_PRODUCT = {"debian": "debian", "ubuntu": "ubuntu", "rhel": "rhel", "rocky": "
 # Kernel build of old Windows servers -> label.
 WINDOWS_BUILDS = {"9600": "2012 R2", "9200": "2012", "7601": "2008 R2", "6003": "2008", "3790": "2003", "2195": "2000"}
 SUPPORT_ORDER = ["full", "security_only", "paid_only", "ended"]
-SPANNING_KINDS = ["raid", "mpath"]
+SPANNING_KINDS = ["raid", "mpath", "dynamic"]
 UNALLOCATED_MIN = 64 * 1024 * 1024
-MAX_DEPTH = 12
 
 
 def _map(d: dict[str, str]) -> Column:
@@ -93,7 +92,7 @@ def storage_layers(inventory: DataFrame) -> DataFrame:
         return F.expr(f"aggregate(filter(coalesce(block_devices, array()), d -> {cond}), 0L, "
                       "(a, d) -> a + coalesce(d.size_bytes, 0L))")
 
-    virtual = "'tmpfs','devtmpfs','overlay','squashfs'"
+    virtual = ", ".join(f"'{t}'" for t in VIRTUAL_FSTYPES)
     volume = ("d.mountpoint is not null and d.mountpoint <> '' and coalesce(d.type, '') <> 'swap' and "
               f"coalesce(d.fstype, '') not in ({virtual}) and not startswith(d.mountpoint, '/boot')")
     s = inventory.select(HOST, total("d.type = 'disk'").alias("disk_bytes"), total("d.type = 'swap'").alias("swap_bytes"),
@@ -106,7 +105,8 @@ def storage_layers(inventory: DataFrame) -> DataFrame:
 def storage_tree(inventory: DataFrame, latest_mounts: DataFrame | None = None) -> DataFrame:
     """Block devices as a tree: root disk, path and depth per node, arrays placed once, free gaps added.
 
-    The devices of a host are one array, so each node climbs to its root inside the row (at most ``MAX_DEPTH`` steps).
+    The devices of a host are one array, so each node climbs to its root inside the row; the length of the
+    array bounds the steps, which also ends cycles.
     An array listed under several parents lives under the first; its other entries are ``raid_member`` stubs.
     """
     nodes = inventory.select(HOST, "lvm_vgs", "block_devices", F.posexplode("block_devices").alias("pos", "d"))
@@ -115,7 +115,7 @@ def storage_tree(inventory: DataFrame, latest_mounts: DataFrame | None = None) -
     step = ("named_struct('up', p.parent, 'root', if(p.type = 'disk', p.name, acc.root), 'path', concat(p.name, '/', acc.path), "
             "'depth', acc.depth + 1)")
     climb = F.expr(
-        f"aggregate(sequence(1, {MAX_DEPTH}), named_struct('up', parent, 'root', if(type = 'disk', name, cast(null as string)), "
+        "aggregate(sequence(1, size(block_devices)), named_struct('up', parent, 'root', if(type = 'disk', name, cast(null as string)), "
         "'path', name, 'depth', 0), (acc, i) -> coalesce(get(transform(filter(block_devices, x -> x.id = acc.up), "
         f"p -> {step}), 0), named_struct('up', cast(null as string), 'root', acc.root, 'path', acc.path, 'depth', acc.depth)))")
     nodes = nodes.withColumn("c", climb).withColumns({

@@ -30,7 +30,7 @@ class Rollups:
     def __init__(self, fleet: Fleet, start: Column, end: Column, width: int | str = "5m",
                  stored: dict[str, DataFrame] | None = None):
         self.fleet, self.start, self.end, self.width = fleet, start, end, seconds(width)
-        self._tables: dict[str, DataFrame] = stored if stored is not None else {}
+        self._tables: dict[str, DataFrame] = dict(stored or {})  # what is computed here holds for this window only
 
     def _rolled(self, name: str, samples: str, fn, bounded: bool = True) -> DataFrame:
         if name not in self._tables:

@@ -83,10 +83,11 @@ def optional_filter(df: DataFrame, column: str, value) -> DataFrame:
     return df if value is None else df.filter(F.col(column) == value)
 
 
-def keyset_page(df: DataFrame, ts: str, cursor: Column, limit: int, horizon_days: int = 30, tie: Sequence[str] = ()) -> DataFrame:
-    """Newest rows before the cursor, at most ``horizon_days`` back."""
-    lower = F.timestamp_micros(F.unix_micros(cursor) - F.lit(horizon_days * 86400 * 1_000_000))
-    page = df.filter((F.col(ts) < cursor) & (F.col(ts) >= lower))
+def keyset_page(df: DataFrame, ts: str, cursor: Column, limit: int, horizon_days: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    """Newest rows before the cursor, at most ``horizon_days`` back if that is given."""
+    page = df.filter(F.col(ts) < cursor)
+    if horizon_days is not None:
+        page = page.filter(F.col(ts) >= F.timestamp_micros(F.unix_micros(cursor) - F.lit(horizon_days * 86400 * 1_000_000)))
     return page.orderBy(F.desc(ts), *[F.asc(t) for t in tie]).limit(limit)
 
 

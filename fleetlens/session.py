@@ -36,12 +36,13 @@ def build_session(app: str = "fleetlens", master: str | None = None, shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is configured."""
+    """The shared checkpoint folder of the cluster; a temporary one only for a local master without it."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
-    folder = configured or tempfile.mkdtemp(prefix="run-")
-    sc.setCheckpointDir(folder)
+    if not configured and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-"))
     return sc.getCheckpointDir()

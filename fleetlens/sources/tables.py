@@ -45,13 +45,11 @@ def append_new(df: DataFrame, root: str, name: str) -> None:
     """Append the samples whose natural key is not stored yet; only the days of the batch are compared."""
     spark = df.sparkSession
     keys = NATURAL_KEYS[name]
-    try:
-        stored = spark.read.parquet(f"{root}/{name}")
-    except Exception:  # nothing stored yet
-        stored = None
-    if stored is None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):  # nothing stored yet
         write_table(df.dropDuplicates(keys), root, name)
         return
+    stored = spark.read.parquet(f"{root}/{name}")
     days = df.select(F.to_date("collected_at").alias(DAY)).distinct()
     known = stored.join(days, DAY, "left_semi").select(*keys)
     write_table(insert_if_absent(df, known, keys), root, name)

@@ -95,8 +95,9 @@ def restart_bursts(restarts: DataFrame, key: str, ts: str, gap: str = "1 hour",
 
 
 def clock_alerts(messages: DataFrame, key: str = "agent_id", ts: str = "collected_at", quiet: str = "1 hour") -> DataFrame:
-    """Messages that break boot <= agent start <= collected, at most one per host within the quiet time."""
-    bad = messages.filter((F.col("boot_time") > F.col("agent_started_at")) | (F.col("agent_started_at") > F.col(ts)) | (F.col("boot_time") > F.col(ts)))
+    """Messages that break boot <= agent start <= collected, at most one per host within the quiet time; messages without
+    an agent start are skipped."""
+    bad = messages.filter((F.col("boot_time") > F.col("agent_started_at")) | (F.col("agent_started_at") > F.col(ts)))
     return bad.withWatermark(ts, quiet).dropDuplicatesWithinWatermark([key]) if messages.isStreaming else bad
 
 
@@ -106,20 +107,20 @@ KEEP_START_US = 24 * 3600 * 1_000_000
 
 
 def _start_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Walk the new samples of one host in time order; the state is its last start and when that was seen."""
+    """Changes among the new samples of one host, in time order over all frames of the batch; the state is its last start
+    and when that was seen."""
+    f = pd.concat([x.dropna(subset=["start"]) for x in frames], ignore_index=True).sort_values(["ts", "start"], ignore_index=True)
+    if f.empty:
+        return
+    start, at = (f[c].astype("datetime64[us]").astype("int64") for c in ("start", "ts"))
     last, seen = state.get if state.exists else (None, None)
-    out = []
-    for f in frames:
-        f = f.dropna(subset=["start"]).sort_values(["ts", "start"])
-        for at, start in f[["ts", "start"]].itertuples(index=False):
-            now, at_us = int(start.value // 1000), int(at.value // 1000)
-            if last is not None and now != last and at_us - seen <= KEEP_START_US:
-                out.append((key[0], at, start))
-            last, seen = now, at_us
-    if last is not None:
-        state.update((last, seen))
-    if out:
-        yield pd.DataFrame(out, columns=["host", "changed_at", "agent_started_at"])
+    # the first sample is compared with the state; without one it is no change
+    before = start.shift(1, fill_value=start[0] if last is None else last)
+    age = at - at.shift(1, fill_value=at[0] if seen is None else seen)
+    hit = f[(start != before) & (age <= KEEP_START_US)]
+    state.update((int(start.iloc[-1]), int(at.iloc[-1])))
+    if len(hit):
+        yield pd.DataFrame({"host": [key[0]] * len(hit), "changed_at": hit["ts"].to_numpy(), "agent_started_at": hit["start"].to_numpy()})
 
 
 def agent_start_changes(stream: DataFrame, key: str, ts: str, start: str) -> DataFrame:

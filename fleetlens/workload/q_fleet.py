@@ -456,7 +456,7 @@ query("report_row_order", "select server_id from rep_rows order by risk_rank, co
 query("top_risks", "select server_id, risk_level, cpu_p95 from rep_rows where risk_level = 'high'", ("rep_rows",), ("cpu_p95",))(
     lambda c: V.top_risks(rep(c), "customer").select(HOST, "risk_level", "cpu_p95"))
 query("top_risks_engineer", "select server_id, risk_level from rep_rows order by risk_rank, coalesce(cpu_p95, 0) desc, hostname limit 10", ("rep_rows",))(
-    lambda c: V.top_risks(rep(c), "engineer").select(HOST, "risk_level"))
+    lambda c: V.top_risks(rep(c), "engineer", limit=10).select(HOST, "risk_level"))
 query("capacity_imminent", "select server_id, hostname, driving_mount, cast(floor(runway_days) as bigint) as days_until_full, disk_used_pct from rep_rows where runway_days < 30 and driving_mount is not null", ("rep_rows",), ("disk_used_pct",))(
     lambda c: V.capacity_imminent(rep(c)))
 query("report_kpis", """

@@ -132,7 +132,7 @@ query("merge_ts_union", "select distinct ts from samples where dim in ('click',
 query("gap_fill_grid", f"select b.ts, value from (select unnest(generate_series({START}, {END} + interval 3 day, interval 1 day)) as ts) b left join {_SERIES.format('click')} s using (ts)", ("samples",), ("value",))(
     lambda c: K.gap_fill(_series(c, "click"), c.start, timestamp("2024-02-03 00:00:00"), c.width))
 query("keyset_page", "select server_id, dim, ts from samples where ts < timestamp '2024-01-25 00:00:00' and ts >= timestamp '2024-01-25 00:00:00' - interval 30 day order by ts desc, server_id, dim limit 100", ("samples",))(
-    lambda c: keyset_page(c["samples"], "ts", timestamp("2024-01-25 00:00:00"), 100, tie=SER).select(*SER, "ts"))
+    lambda c: keyset_page(c["samples"], "ts", timestamp("2024-01-25 00:00:00"), 100, 30, tie=SER).select(*SER, "ts"))
 query("bucket_rate_trend", f"""
     select date_trunc('day', ts) as ts, dim, quantile_cont(v, 0.95) as value from (
       select ts, dim, greatest(cnt - lag(cnt) {_W}, 0) / (epoch(ts) - epoch(lag(ts) {_W})) as v from samples) x where v is not null group by 1, 2""", ("samples",), ("value",))(
