@@ -20,6 +20,7 @@ SNAPSHOTS = 4  # in the order of their numbers; the last one is the incoming bat
 SHARD_KEYS = 100_000  # expected digests in one filter shard
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 ARITY = 3
+NO_ID = -(1 << 63)  # stands for a null doc_id where texts are fetched
 
 
 # ---- binary-fuse filter: three slots in neighbouring segments, solved by peeling ---------------------------------
@@ -146,12 +147,12 @@ def exact_duplicates(docs: DataFrame, snapshot: Column | None = None, tmp: Scrat
         _screen, "digest binary, n_bytes long, snapshot int, earlier int")
 
     # exact buckets, then the bytes of one text for each digest and snapshot
-    bucket = groups.select("digest", "n_bytes", F.col("snapshot").alias("earlier"), (-F.col("best.minus_id")).alias("old_id"))
-    new = groups.select("digest", "n_bytes", "snapshot", (-F.col("best.minus_id")).alias("new_id"))
+    bucket = groups.select("digest", "n_bytes", F.col("snapshot").alias("earlier"), F.coalesce(-F.col("best.minus_id"), F.lit(NO_ID)).alias("old_id"))
+    new = groups.select("digest", "n_bytes", "snapshot", F.coalesce(-F.col("best.minus_id"), F.lit(NO_ID)).alias("new_id"))
     found = hot_join(hot_join(positive, bucket, ["digest", "n_bytes", "earlier"], "inner"), new, ["digest", "n_bytes", "snapshot"], "inner")
     found = tmp.keep(found.select("digest", "n_bytes", "snapshot", "earlier", "old_id", "new_id"), "found")
     ids = tmp.keep(found.select(F.col("old_id").alias("doc_id")).unionByName(found.select(F.col("new_id").alias("doc_id"))).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(sized(ids), "doc_id", "left_semi")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text")).join(sized(ids), "doc_id", "left_semi")
     texts = tmp.keep(texts.select("doc_id", bare.alias("bare")).withColumn("digest", F.unhex(F.sha2("bare", 256))), "texts")
     old = texts.select(F.col("doc_id").alias("old_id"), "digest", F.col("bare").alias("old_bare")).dropDuplicates(["old_id", "digest"])
     fresh = texts.select(F.col("doc_id").alias("new_id"), "digest", F.col("bare").alias("new_bare")).dropDuplicates(["new_id", "digest"])

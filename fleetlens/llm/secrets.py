@@ -66,6 +66,18 @@ def is_random(s: str, enc: tiktoken.Encoding, most: float = CHARS_PER_TOKEN) ->
     return len(core) <= most * len(enc.encode_ordinary(core))
 
 
+def _missed(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans that overlap none of ``base``; both are sorted by start, and one pass over them suffices."""
+    out, at, reach = [], 0, 0  # reach: the furthest end of the base spans that begin before this span's end
+    for x in spans:
+        while at < len(base) and base[at][0] < x[2]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= x[0]:
+            out.append(x)
+    return out
+
+
 def _scan(path: str, most: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(path)
@@ -73,8 +85,7 @@ def _scan(path: str, most: float):
             cols: list[list] = [[], [], [], [], [], []]
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 base = sorted(base_spans(t))
-                more = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(t) if is_random(m.group(), enc, most)]
-                more = [x for x in more if not any(x[0] < y[2] and y[0] < x[2] for y in base)]  # only what the patterns miss
+                more = _missed([(m.start(), 3, m.end()) for m in CANDIDATE.finditer(t) if is_random(m.group(), enc, most)], base)
                 show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 row = (doc, *n, hashlib.sha256(show(base).encode()).hexdigest(), show(sorted(base + more)))

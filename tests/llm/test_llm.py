@@ -105,6 +105,13 @@ def test_exact_edges(frame):
     assert exact_dedup.exact_duplicates(docs_of(frame, [])).count() == 0
 
 
+def test_exact_null_ids_join_copies_of_every_snapshot(frame):
+    rows = [(i, f"text {i % 3}", "en", "s") for i in range(24)] + [(None, f"text {i % 3}", "en", "s") for i in range(6)]
+    out = exact_dedup.exact_duplicates(docs_of(frame, rows)).collect()
+    assert len(out) == 30 and {r.keep_id for r in out} == {0, 1, 2} and {r.group_size for r in out} == {10}
+    assert sorted(r.doc_id for r in out if r.kept) == [0, 1, 2]
+
+
 def test_binary_fuse_filter():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 10, 1000, 50_000):
@@ -279,6 +286,15 @@ def test_secrets(frame):
 
 
 # ---- WARC
+def test_missed_spans_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        base = sorted((a, rng.randrange(3), a + rng.randrange(1, 30)) for a in (rng.randrange(200) for _ in range(rng.randrange(8))))
+        cuts = sorted(rng.sample(range(220), 12))
+        spans = [(a, 3, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        assert secrets._missed(spans, base) == [x for x in spans if not any(x[0] < y[2] and y[0] < x[2] for y in base)]
+
+
 def test_warc_round_trip(spark, frame, tmp_path):
     from fleetlens.llm.common import Scratch
 
