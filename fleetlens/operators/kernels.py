@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from fleetlens.functions.exprs import elapsed_seconds, ratio, seconds, time_bucket
 
 DAY = 86400
+SKETCH = 10_000  # accuracy of the quantile sketches that enclose a percentile
+SMALL_GROUP = 20_000  # rows of a group that is ranked whole
 POLICIES = ("raw", "clamp", "drop", "null", "restart")
 
 
@@ -309,39 +311,34 @@ def percentile_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
         F.avg(value).alias("avg"), F.max(value).alias("peak"), F.count(value).alias("samples"))
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, bins: int = 1024) -> DataFrame:
-    """Exact interpolated percentile for groups of any size, without one task holding a group.
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float) -> DataFrame:
+    """Exact interpolated percentile for groups of any size and shape, without one task holding a group.
 
-    Pass 1 (map-side combined) gives count and range per group, pass 2 the histogram over ``bins`` equal cells, from
-    which the cells of the two neighbouring ranks follow. Only distinct values in those cells are ranked, with their
-    counts.
+    Pass 1 (map-side combined) gives count, range and a quantile sketch per group. The sketch's rank error is at most
+    one in ``SKETCH``, so that two of its quantiles enclose the wanted ranks whatever the distribution. Pass 2 counts the
+    values below them as one number and the distinct values between them, which are at most 8 in ``SKETCH`` of the
+    group's rows besides ties; only these are ranked. Groups of up to ``SMALL_GROUP`` rows are ranked whole.
     """
     keys = list(keys)
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    # equal values are merged before anything is ranked
-    vals = src.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    rng = src.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    rng = rng.withColumns({
-        "_pos": F.lit(p) * (F.col("_n") - 1), "_k0": F.floor(F.lit(p) * (F.col("_n") - 1)),
-        "_k1": F.ceil(F.lit(p) * (F.col("_n") - 1))})
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(
-        F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
-    placed = vals.join(rng, keys).withColumn("_cell", cell)
-    hist = placed.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cc"), F.first("_k0").alias("_k0"),
-                                              F.first("_k1").alias("_k1"), F.first("_pos").alias("_pos"))
-    wc = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # at most ``bins`` rows
-    hist = hist.withColumn("_cum", F.sum("_cc").over(wc)).withColumn("_before", F.col("_cum") - F.col("_cc"))
-    hit = hist.filter(((F.col("_before") <= F.col("_k0")) & (F.col("_k0") < F.col("_cum")))
-                      | ((F.col("_before") <= F.col("_k1")) & (F.col("_k1") < F.col("_cum"))))
-    inside = placed.select(*keys, "_cell", "_v", "_c").join(
-        hit.select(*keys, "_cell", "_before", "_k0", "_k1", "_pos"), [*keys, "_cell"])
-    wv = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(wv)) \
-        .withColumn("_from", F.col("_upto") - F.col("_c"))
-    at0 = F.max(F.when((F.col("_from") <= F.col("_k0")) & (F.col("_k0") < F.col("_upto")), F.col("_v")))
-    at1 = F.max(F.when((F.col("_from") <= F.col("_k1")) & (F.col("_k1") < F.col("_upto")), F.col("_v")))
-    frac = F.max(F.col("_pos") - F.col("_k0"))
-    return ranked.groupBy(*keys).agg((at0 + (at1 - at0) * frac).alias("value"))
+    eps = 4 / SKETCH
+    around = F.percentile_approx("_v", [max(0.0, p - eps), min(1.0, p + eps)], SKETCH)
+    rng = src.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"), around.alias("_q"))
+    small, pos = F.col("_n") <= SMALL_GROUP, F.lit(p) * (F.col("_n") - 1)
+    rng = rng.select(
+        *keys, (F.col("_lo") if p <= eps else F.when(small, F.col("_lo")).otherwise(F.col("_q")[0])).alias("_from"),
+        (F.col("_hi") if p >= 1 - eps else F.when(small, F.col("_hi")).otherwise(F.col("_q")[1])).alias("_to"), pos.alias("_pos"))
+    near = src.join(rng, keys).filter(F.col("_v") <= F.col("_to"))
+    # everything below is one group, NULL, which comes first in the order
+    counts = near.groupBy(*keys, F.when(F.col("_v") >= F.col("_from"), F.col("_v")).alias("_w")).agg(F.count("*").alias("_c"), F.first("_pos").alias("_pos"))
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_w")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_before", F.col("_upto") - F.col("_c"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_upto")), F.col("_w")))
+
+    at0, at1 = at(F.floor("_pos")), at(F.ceil("_pos"))
+    return ranked.groupBy(*keys).agg((at0 + (at1 - at0) * F.max(F.col("_pos") - F.floor("_pos"))).alias("value"))
 
 
 # --- changes ------------------------------------------------------------------------------------------------------
@@ -368,6 +365,20 @@ def running_offset(df: DataFrame, order: Sequence[Column], value: str, out: str
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
+def places(df: DataFrame, coarse: Sequence[Column], order: Sequence[Column], out: str = "place") -> DataFrame:
+    """``df`` with the place of every row in ``order``, from 1.
+
+    ``coarse`` are ascending columns that begin the order (rounded, or a prefix of a name): rows are numbered inside the
+    groups they form, and only the groups' sizes, a small table, are added up in one task.
+    """
+    names = [f"_g{i}" for i in range(len(coarse))]
+    rows = df.withColumns(dict(zip(names, coarse, strict=True)))
+    before = running_offset(rows.groupBy(*names).agg(F.count("*").alias("_n")), [F.asc(n) for n in names], "_n", "_before").drop("_n")
+    numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    before = before.toDF(*[f"_of{n}" for n in names], "_before")
+    return numbered.join(before, [numbered[n].eqNullSafe(F.col(f"_of{n}")) for n in names]).withColumn(out, F.col("_before") + F.col("_row")).select(*df.columns, out)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     return latest_n(df, keys, order, n, "_rn").drop("_rn")
 

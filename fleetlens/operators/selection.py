@@ -134,8 +134,12 @@ def retained(jobs: DataFrame, now: Column, days: int, column: str = "finished_at
 
 
 def snapshot_key(scope: Column, params: Column, anchor: Column) -> list[Column]:
-    """Identity of a stored report: hash of scope and canonical parameters, and the minute of its anchor."""
-    return [F.sha2(F.concat_ws("|", scope, params), 256).alias("input_hash"), F.date_trunc("minute", anchor).alias("anchor_minute")]
+    """Identity of a stored report: hash of scope and canonical parameters, and the minute of its anchor.
+
+    Variant objects hold their keys in order at every depth, so equal parameters give equal text; what is no JSON stays.
+    """
+    canonical = F.coalesce(F.to_json(F.try_parse_json(params)), params)
+    return [F.sha2(F.concat_ws("|", scope, canonical), 256).alias("input_hash"), F.date_trunc("minute", anchor).alias("anchor_minute")]
 
 
 def new_snapshots(candidates: DataFrame, stored: DataFrame) -> DataFrame:

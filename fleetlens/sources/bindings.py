@@ -164,7 +164,7 @@ def _inventory(d: Dialect) -> str:
                 when 2 then 'debian' else 'rocky' end end as os_id,
            case when {win} then '10.0' else case {k} % 4 when 0 then '22.04' when 1 then '7.9' when 2 then '12'
                 else '9.3' end end as os_version,
-           case when {win} then case {k} % 2 when 0 then '10.0.17763' else '10.0.20348' end
+           case when {win} then case {k} % 2 when 0 then '17763.5458' else '20348.2322' end
                 else case when {k} % 5 = 1 then '3.10.0-1160.el7' else '5.15.0-91' end end as kernel_version,
            case when {win} then case {k} % 2 when 0 then 'Windows Server 2019 Standard'
                 else cast(null as string) end end as product_name,

@@ -68,12 +68,17 @@ def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFram
         good = no(e[name].rlike(AWARE) & F.try_to_timestamp(e[name]).isNotNull())
         return good if required else e[name].isNull() | good
 
+    def bad_count(name: str, kind: str) -> Column:
+        """Present, but no whole number from 0 up."""
+        return e[name].isNotNull() & ~no(e[name].try_cast(kind) >= 0)
+
     entry = "array<struct<type:string,unit:string,points:" + X.POINTS + ">>"
     metric = F.flatten(F.array(*[F.coalesce(F.map_values(F.col("_m")[x]), F.array().cast(entry)) for x in X.NAMESPACES]))
     bad_metric = F.exists(metric, lambda m: ~no(m["type"].isin("counter", "gauge")) | no(F.length(m["unit"]) > 32))
     missing_ns = F.size(F.array_except(F.array(*[F.lit(x) for x in X.REQUIRED_NAMESPACES]), F.col("_keys"))) > 0
     ips = F.from_json(e["ip_external"], "array<string>")
-    ip_form = r"^(\d{1,3}\.){3}\d{1,3}$|^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$"
+    octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+    ip_form = rf"^({octet}\.){{3}}{octet}$|^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$"
     bad_ip = F.exists(ips, lambda a: ~no(F.split_part(a, F.lit("/"), F.lit(1)).rlike(ip_form)))
     is_inv, is_task, is_err, is_met = (no(kind == k) for k in ("inventory", "task.result", "error", "metrics"))
     rules = [
@@ -86,7 +91,7 @@ def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFram
         ("machine_id", long("machine_id", 64)), ("composite_id", long("composite_id", 64)), ("agent_version", long("agent_version", 32, 1)),
         ("hostname", (is_inv | is_task) & long("hostname", 255, 1, True)),
         ("namespaces", is_met & no(missing_ns)), ("metric", is_met & no(bad_metric)),
-        ("cpu_cores", is_inv & no(e["cpu_cores"].try_cast("int") < 0)), ("mem_total_bytes", is_inv & no(e["mem_total_bytes"].try_cast("bigint") < 0)),
+        ("cpu_cores", is_inv & bad_count("cpu_cores", "int")), ("mem_total_bytes", is_inv & bad_count("mem_total_bytes", "bigint")),
         ("ip_external", is_inv & no(bad_ip)),
         ("task_id", is_task & long("task_id", 128, 1, True)), ("status", is_task & long("status", 32, 1, True)),
         ("error_code", is_err & long("error_code", 64, 1, True)), ("failed_component", is_err & long("failed_component", 32, 1, True)),

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import classify as C
 from fleetlens.functions import rules
-from fleetlens.functions.exprs import timestamp
+from fleetlens.functions.exprs import shift, timestamp
 from fleetlens.operators import errors as E
 from fleetlens.operators import fleet_views as V
 from fleetlens.operators import reports as P
 from fleetlens.operators import selection as S
 from fleetlens.operators import snapshots as N
 from fleetlens.operators import tasks as K
+from fleetlens.operators.kernels import places
 from fleetlens.workload.q_inventory import support
 from fleetlens.workload.q_reports import rolls, verdict
 from fleetlens.workload.q_trends import END, START, VOLUME
@@ -230,13 +231,13 @@ query("recent_tasks_page", f"select task_id, created_at from tasks where created
     lambda c: K.recent_tasks(c["tasks"], 50, now()).select("task_id", "created_at"))
 query("apply_task_results", """
     select task_id, coalesce(s, status) as status from tasks left join (
-      select o_orderkey as task_id, case when o_shippriority_like = 0 then 'success' else 'failure' end as s from (select o_orderkey, o_orderkey % 2 as o_shippriority_like from orders where o_orderpriority = '1-URGENT') r) u using (task_id)""", ("tasks",))(
+      select o_orderkey as task_id, case when o_shippriority_like = 0 then 'success' else 'failure' end as s from (select o_orderkey, o_orderkey % 2 as o_shippriority_like from orders) r) u using (task_id)""", ("tasks",))(
     lambda c: K.apply_results(c["tasks"], _results(c)).select("task_id", "status"))
 
 
 def _results(c: Context):
-    """Result messages for urgent orders, each sent twice, and some for tasks nobody knows."""
-    o = c.table("orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    """Result messages for all orders, each sent twice, and some for tasks nobody knows."""
+    o = c.table("orders")
     r = o.select(F.explode(F.array(F.col("o_orderkey"), F.col("o_orderkey"), -F.col("o_orderkey") - 1)).alias("task_id"), F.col("o_orderdate").cast("timestamp").alias("completed_at"))
     return r.select("task_id", "completed_at", F.concat(F.lit("m-"), F.col("task_id").cast("string")).alias("message_id"),
                     F.when(F.col("task_id") % 2 == 0, "success").otherwise("failure").alias("status"), F.lit("download_failed").alias("failure_reason"),
@@ -356,8 +357,8 @@ query("running_offset", """
     lambda c: V.share_offsets(V.classification_counts(verdict(c))).select("classification", F.col("offset").cast("double").alias("start_pct")))
 query("action_targets", "select server_id, classification, severity, coalesce(array_to_string(causes, ','), '') as causes from targets", ("targets",), ("severity",))(
     lambda c: targets(c).select(HOST, "classification", "severity", F.array_join("causes", ",").alias("causes")))
-query("rank_order_classification", "select server_id, hostname from targets order by class_rank, severity desc, hostname, server_id limit 100", ("targets",))(
-    lambda c: targets(c).orderBy(*V.target_order(), F.asc(HOST)).limit(100).select(HOST, "hostname"))
+query("rank_order_classification", "select server_id, hostname, row_number() over (order by class_rank, severity desc, hostname, server_id) as place from targets", ("targets",))(
+    lambda c: places(targets(c), [F.col("class_rank"), -F.floor("severity")], [*V.target_order(), F.asc(HOST)]).select(HOST, "hostname", "place"))
 query("top_under_hosts", "select server_id, hostname, severity from targets where classification = 'under_provisioned' order by severity desc, hostname limit 3", ("targets",), ("severity",))(
     lambda c: V.top_under(targets(c)).select(HOST, "hostname", "severity"))
 query("cause_counts", "select cause, count(*) as hosts from (select unnest(causes) as cause from targets where classification = 'under_provisioned') x where cause is not null group by 1", ("targets",))(lambda c: V.cause_counts(targets(c)))
@@ -451,8 +452,8 @@ def rep(c: Context):
 
 query("report_rows", "select server_id, risk_level, diagnosis, cpu_variance, mem_variance, uptime_days, online from rep_rows", ("rep_rows",), ("cpu_variance", "mem_variance"))(
     lambda c: rep(c).select(HOST, "risk_level", "diagnosis", "cpu_variance", "mem_variance", "uptime_days", "online"))
-query("report_row_order", "select server_id from rep_rows order by risk_rank, coalesce(cpu_p95, 0) desc, hostname, server_id limit 60", ("rep_rows",))(
-    lambda c: rep(c).orderBy(*V.report_order(), F.asc(HOST)).limit(60).select(HOST))
+query("report_row_order", "select server_id, row_number() over (order by risk_rank, coalesce(cpu_p95, 0) desc, hostname, server_id) as place from rep_rows", ("rep_rows",))(
+    lambda c: places(rep(c), [F.col("risk_rank"), -F.floor(F.coalesce("cpu_p95", F.lit(0.0)))], [*V.report_order(), F.asc(HOST)]).select(HOST, "place"))
 query("top_risks", "select server_id, risk_level, cpu_p95 from rep_rows where risk_level = 'high'", ("rep_rows",), ("cpu_p95",))(
     lambda c: V.top_risks(rep(c), "customer").select(HOST, "risk_level", "cpu_p95"))
 query("top_risks_engineer", "select server_id, risk_level from rep_rows order by risk_rank, coalesce(cpu_p95, 0) desc, hostname limit 10", ("rep_rows",))(
@@ -480,11 +481,12 @@ library("attn", f"""
     select server_id, hostname, kind, detail from (
       select server_id, 'gap' as kind, strftime(last_metric_at, '%Y-%m-%d %H:%M:%S') as detail from gaps
       union all select server_id, 'os_eol', eol::varchar from os_support where support in ('paid_only', 'ended')
-      union all select server_id, 'restart', restart_count::varchar from restarts where restart_count >= 3) s join inventory using (server_id)""", ("gaps", "os_support", "restarts", "inventory"))
+      union all select server_id, 'restart', n::varchar from (select server_id, count(distinct agent_started_at) - 1 as n from inventory_history
+        where collected_at >= {END} - interval 1 hour and collected_at <= {END} group by 1) r where n >= 3) s join inventory using (server_id)""", ("gaps", "os_support", "inventory_history", "inventory"))
 
 
 def signals(c: Context):
-    return V.attention_signals(gaps(c), support(c), P.restart_counts(c["inventory_history"], c.start, c.end), c["inventory"])
+    return V.attention_signals(gaps(c), support(c), P.restart_counts(c["inventory_history"], shift(c.end, -3600), c.end), c["inventory"])
 
 
 query("attention_rows", "select * from attn", ("attn",))(signals)
@@ -505,8 +507,8 @@ def slist(c: Context):
 
 query("server_list", "select server_id, public_id, hostname, os_family, cpu_cores, online, classification, support, has_event, last_task_status from slist", ("slist",))(
     lambda c: slist(c).drop("os_label", "mem_gb"))
-query("server_list_filter", "select server_id, hostname from slist where online and os_family = 'linux' and support in ('paid_only', 'ended') order by lower(hostname), server_id limit 25", ("slist",))(
-    lambda c: V.list_filter(slist(c), True, None, "passed", "linux").orderBy(*V.list_order()).limit(25).select(HOST, "hostname"))
+query("server_list_filter", "select server_id, hostname, row_number() over (order by lower(hostname), server_id) as place from slist where online and os_family = 'linux' and support in ('paid_only', 'ended')", ("slist",))(
+    lambda c: places(V.list_filter(slist(c), True, None, "passed", "linux"), [F.substring(F.lower("hostname"), 1, 14)], V.list_order()).select(HOST, "hostname", "place"))
 query("host_report_bundle", """
     select a.server_id, classification, cpu_p95, used_pct, user_pct, oom, reboot_count from assessed a left join (select server_id, avg(mem_pct_avg) as used_pct from host_bkt group by 1) m using (server_id)
     left join (select server_id, avg(d_cpu_user_s / d_cpu_total_s * 100) filter (where d_cpu_total_s > 0) as user_pct from host_bkt group by 1) u using (server_id) left join errs using (server_id)""",

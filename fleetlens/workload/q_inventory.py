@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.functions import classify as C
-from fleetlens.functions.exprs import timestamp
+from fleetlens.functions.exprs import data_volume, timestamp
 from fleetlens.operators import devices as D
 from fleetlens.operators import inventory as I
 from fleetlens.operators.kernels import latest_one
@@ -192,7 +192,7 @@ query("storage_tree", f"""
     lastfs as (select server_id, mountpoint, arg_max(used_bytes, collected_at) as used_bytes, arg_max(free_bytes, collected_at) as free_bytes from filesystem where {VOLUME} group by 1, 2)
     select t.server_id, root_disk, path, depth, name, kind, size_bytes, t.mountpoint, used_bytes, free_bytes
     from tree t left join lastfs f on f.server_id = t.server_id and f.mountpoint = t.mountpoint""", ("dev", "filesystem"))(
-    lambda c: I.storage_tree(c["inventory"], latest_one(c["filesystem"].filter(F.col("mountpoint").isin("/", "/data")), [HOST, "mountpoint"], [F.desc("collected_at")])).drop("fstype"))
+    lambda c: I.storage_tree(c["inventory"], latest_one(c["filesystem"].filter(data_volume()), [HOST, "mountpoint"], [F.desc("collected_at")])).drop("fstype"))
 
 # --- network ------------------------------------------------------------------------------------------------------
 

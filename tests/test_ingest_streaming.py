@@ -46,6 +46,17 @@ def test_quarantine_names_the_broken_rule(spark):
     assert bad.filter("array_contains(problems, 'not_json')").count() == 1
 
 
+def test_addresses_and_counts_are_checked(spark):
+    def inventory(i, **kw):
+        return json.dumps({"schema_version": "1.0", "message_type": "inventory", "message_id": UID % i, "agent_id": UID % 9, "collected_at": "2024-01-01T00:00:00Z", "os_family": "linux", "hostname": "h"} | kw)
+
+    fine = [inventory(1, ip_external=["10.0.0.255/24", "fe80::1"], cpu_cores=4), inventory(2, cpu_cores=None), inventory(3, mem_total_bytes=0)]
+    wrong = [inventory(4, ip_external=["999.1.1.1"]), inventory(5, cpu_cores="four"), inventory(6, mem_total_bytes=-1), inventory(7, ip_external=["1.2.3.256"])]
+    good, bad = G.split_valid(frame(spark, *fine, *wrong))
+    assert good.count() == 3
+    assert sorted(",".join(r.problems) for r in bad.collect()) == ["cpu_cores", "ip_external", "ip_external", "mem_total_bytes"]
+
+
 def test_duplicates_and_history(spark):
     t = [dt.datetime(2024, 1, 1, h) for h in range(5)]
     rows = [("h", t[0], t[0], 4), ("h", t[1], t[0], 4), ("h", t[2], t[0] + dt.timedelta(seconds=4), 4), ("h", t[3], t[0], 8), ("h", t[4], None, 8)]
