@@ -132,28 +132,23 @@ def max_min_delta(df: DataFrame, keys: Sequence[str], value: str, out: str = "d"
 # --- buckets and ratios -------------------------------------------------------------------------------------------
 
 def aggregate_of(value: Column, agg: str) -> Column:
-    """avg, max or the exact 95th percentile of the per-instant values of a bucket.
-
-    The percentile buffer holds the distinct values of one bucket: at most one per instant of the sampling grid.
-    """
+    """avg or max; the 95th percentile has an operator of its own, ``exact_percentile``."""
     if agg == "avg":
         return F.avg(value)
     if agg == "max":
         return F.max(value)
-    if agg == "p95":
-        return F.percentile(value, F.lit(0.95))
     raise ValueError("agg must be avg, max or p95")
 
 
 def bucket_agg(df: DataFrame, ts: str, value: str, width: int | str, agg: str = "avg",
-               dims: Sequence[str] = (), per_instant: bool = False) -> DataFrame:
+               dims: Sequence[str] = ()) -> DataFrame:
     """Samples or a series of instants to buckets: ``(ts, value, *dims)``.
 
-    ``per_instant`` says that a bucket holds at most one value per instant and dimension, so the exact percentile fits
-    one buffer; otherwise the percentile is taken by ``exact_percentile``, which splits groups of any size.
+    The percentile is taken by ``exact_percentile``: hosts report at their own instants, so a bucket of a large fleet
+    holds any number of values.
     """
     rows = df.filter(F.col(value).isNotNull()).withColumn("_b", time_bucket(ts, width))
-    if agg == "p95" and not per_instant:
+    if agg == "p95":
         out = exact_percentile(rows, ["_b", *dims], value, 0.95)
     else:
         out = rows.groupBy("_b", *dims).agg(aggregate_of(F.col(value), agg).alias("value"))
