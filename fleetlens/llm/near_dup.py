@@ -223,6 +223,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, tmp: Scratch | None = None)
     if not once.where("rows > 1").isEmpty():
         reps = reps.dropDuplicates(["doc"])
     reps = tmp.keep(reps, "reps")
+    # from here on sketches are read from the classes only; every row keeps its size
+    sizes = tmp.keep(sk.select("doc_id", "n"), "sizes")
+    tmp.drop(sk)
+    tmp.tidy()
 
     lists = tmp.keep(_lists(reps), "lists")
     tmp.tidy()
@@ -237,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, tmp: Scratch | None = None)
     of_class = hot_join(classes.select("digest", F.col("doc").alias("node")), labels, ["node"]).select("digest", F.coalesce("label", "node").alias("component_id"))
     of_class = tmp.keep(of_class, "components")
     of_doc = tmp.keep(hot_join(once.select("doc_id", "digest"), of_class, ["digest"]).select("doc_id", "component_id"), "members")
-    out = hot_join(sk.select("doc_id", "n"), of_doc, ["doc_id"])
+    out = hot_join(sizes, of_doc, ["doc_id"])
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
