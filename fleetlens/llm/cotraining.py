@@ -1,6 +1,6 @@
 """Quality by co-training: a text view and a metadata view teach each other, then both score every document.
 
-Text view: hashed words. Metadata view: source, language, and the layout of the page (length, line lengths, shares of
+Text view: hashed words and their beginnings, as inflected and compound words share a stem. Metadata view: source, language, and the layout of the page (length, line lengths, shares of
 character classes, repeated characters). Each view is a logistic model. Both are fitted on a bounded sample of labelled
 documents; in every round each view labels the unlabelled pool documents it is surest of, and the other view is fitted
 again with them. A held-out part of the labelled sample, never trained on, calibrates both views and sets the threshold.
@@ -23,35 +23,56 @@ from fleetlens.llm.common import text_or_empty
 #: The bounds of the sample: labelled documents, and documents of the unlabelled pool.
 LABELLED, POOL = 6_000, 6_000
 ROUNDS = 3
+AGAIN = 40  # steps of a fit that goes on from the one of the round before
 CONFIDENT = 600  # pseudo-labels that a view gives in one round, at most
 SURE = 0.95  # and the least probability of one
-WORD_BITS = 16
+WORD_BITS = 18
+BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that are hashed besides the word, if it is longer
 META_BITS = 10
 LAYOUT = 12  # columns of the metadata view that are numbers
-KEEP_GOOD = 0.998  # share of good held-out documents that the threshold keeps, at least
+COST_GOOD = 5.0  # what the loss of a share of the good held-out documents costs, against the same share of the bad ones kept
 WORDS = 400_000  # remembered words
+BLOCK = 1 << 19  # entries of sparse rows that are summed at once
 
 _slots: dict[bytes, int] = {}
 #: Classes of bytes: letters in lower and upper case, digits, white space, line ends, bytes beyond ASCII, pipes, full stops and commas, other signs.
 _CLASSES = np.full(256, 8, np.uint8)
 _CLASSES[97:123], _CLASSES[65:91], _CLASSES[48:58], _CLASSES[128:] = 0, 1, 2, 5
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CLASSES[[9, 11, 12, 13, 32]], _CLASSES[10], _CLASSES[124], _CLASSES[[44, 46]] = 3, 4, 6, 7
 
 
+def _beginnings(low: bytes) -> np.ndarray:
+    """Slots of the first bytes of every word of the whole text, for each length of BEGINNINGS that is less than the word's."""
+    raw = np.frombuffer(b" " + low + b" ", np.uint8)
+    gap = _SPACE[raw]
+    start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+    size = np.flatnonzero(~gap[:-1] & gap[1:]) + 1 - start
+    h, out = np.zeros(len(start), np.uint64), []
+    for k in range(max(BEGINNINGS)):
+        more = size > k + 1
+        start, size, h = start[more], size[more], (h[more] + raw[start[more] + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if k + 1 in BEGINNINGS:
+            out.append((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - WORD_BITS)).astype(np.int32))
+    return np.concatenate(out)
+
+
 def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights (square roots of counts, length 1) of the words of the whole text, case folded for ASCII."""
+    """Slots and weights (square roots of counts, length 1) of the words of the whole text and of their beginnings, case folded for ASCII."""
     known = _slots
     if len(known) > WORDS:
         known.clear()
     idx = []
-    for w in text.lower().split():
+    low = text.lower()
+    for w in low.split():
         s = known.get(w)
         if s is None:
             s = known[w] = xxhash.xxh3_64_intdigest(w.strip(b".,;:!?")) & ((1 << WORD_BITS) - 1)
         idx.append(s)
     if not idx:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    slots, n = np.unique(np.array(idx, np.int32), return_counts=True)
+    slots, n = np.unique(np.concatenate([np.array(idx, np.int32), _beginnings(low)]), return_counts=True)
     v = np.sqrt(n).astype(np.float32)
     return slots, v / np.linalg.norm(v)
 
@@ -77,25 +98,43 @@ class View:
     shift: float = 0.0
 
     def margin(self, rows: Rows) -> np.ndarray:
-        return np.bincount(rows.of, self.weights[rows.idx] * rows.val, minlength=rows.n) + self.bias
+        return rows.sums(self.weights) + self.bias
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.scale * self.margin(rows) + self.shift
 
 
 class Rows:
-    """Sparse rows."""
+    """Sparse rows; sums over them go by blocks of entries, so that no temporary array is as long as all entries."""
 
     def __init__(self, feats: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(feats)
-        self.of = np.repeat(np.arange(self.n), [len(i) for i, _ in feats])
+        self.of = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in feats])
         self.idx = np.concatenate([i for i, _ in feats]) if feats else np.empty(0, np.int32)
-        self.val = np.concatenate([v for _, v in feats]).astype(np.float64) if feats else np.empty(0)
+        self.val = np.concatenate([v for _, v in feats]) if feats else np.empty(0, np.float32)
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a in range(0, len(self.idx), BLOCK):
+            yield self.of[a : a + BLOCK], self.idx[a : a + BLOCK], self.val[a : a + BLOCK]
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Weighted sum of each row."""
+        out = np.zeros(self.n)
+        for of, idx, val in self.blocks():
+            out[of[0] : of[-1] + 1] += np.bincount(of - of[0], weights[idx] * val)
+        return out
+
+    def gradient(self, g: np.ndarray, size: int) -> np.ndarray:
+        """Sum of the rows, each times its ``g``."""
+        out = np.zeros(size)
+        for of, idx, val in self.blocks():
+            out += np.bincount(idx, g[of] * val, minlength=size)
+        return out
 
     def take(self, keep: np.ndarray) -> Rows:
         """Rows of a boolean mask."""
         out = Rows([])
-        new = np.cumsum(keep) - 1
+        new = (np.cumsum(keep) - 1).astype(np.int32)
         e = keep[self.of]
         out.n, out.of, out.idx, out.val = int(keep.sum()), new[self.of[e]], self.idx[e], self.val[e]
         return out
@@ -105,15 +144,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(rows: Rows, y: np.ndarray, size: int, steps: int = 120, l2: float = 1e-4, rate: float = 0.5) -> View:
-    """Logistic regression by full-batch Adam; both classes get the same total weight."""
+def fit(rows: Rows, y: np.ndarray, size: int, steps: int = 120, l2: float = 1e-4, rate: float = 0.5, start: View | None = None) -> View:
+    """Logistic regression by full-batch Adam, from ``start`` if given; both classes get the same total weight."""
     pos = max(1e-9, y.mean())
     weight = np.where(y > 0.5, 0.5 / pos, 0.5 / max(1e-9, 1 - pos)) / max(1, len(y))
-    v = View(np.zeros(size))
+    v = View(start.weights, start.bias) if start else View(np.zeros(size))
     m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
         g = weight * (_sigmoid(v.margin(rows)) - y)
-        grad = np.bincount(rows.idx, g[rows.of] * rows.val, minlength=size) + l2 * v.weights
+        grad = rows.gradient(g, size) + l2 * v.weights
         gb = g.sum()
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
@@ -140,6 +179,17 @@ def calibrate(v: View, margin: np.ndarray, y: np.ndarray) -> None:
     v.scale, v.shift = float(w[0]), float(w[1])
 
 
+def threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut, between two held-out scores, at which lost good and kept bad documents together cost least; the lowest of equal ones."""
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    lost, kept = np.r_[0, np.cumsum(y)] / max(1, y.sum()), 1 - np.r_[0, np.cumsum(1 - y)] / max(1, (1 - y).sum())
+    ends = np.r_[0.0, p, 1.0]
+    cost = np.where(ends[1:] > ends[:-1], COST_GOOD * lost + kept, np.inf)  # equal scores stay on one side
+    at = int(np.argmin(cost))
+    return float((ends[at] + ends[at + 1]) / 2)
+
+
 @dataclass
 class Model:
     """Two calibrated views, the weight of each, and the threshold below which a document is rejected."""
@@ -167,8 +217,9 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
             mask, lab = given[k]
             more = pool.take(mask)
             both = Rows([])
-            both.n, both.of, both.idx, both.val = rows.n + more.n, np.r_[rows.of, more.of + rows.n], np.r_[rows.idx, more.idx], np.r_[rows.val, more.val]
-            fitted[k] = fit(both, np.r_[train, lab[mask]], size)
+            both.n, both.of, both.idx, both.val = rows.n + more.n, np.r_[rows.of, more.of + np.int32(rows.n)], np.r_[rows.idx, more.idx], np.r_[rows.val, more.val]
+            again = {"start": fitted[k], "steps": AGAIN, "rate": 0.1} if r else {}
+            fitted[k] = fit(both, np.r_[train, lab[mask]], size, **again)
             calibrate(fitted[k], fitted[k].margin(hold), test)
         if r == rounds:
             break
@@ -186,9 +237,7 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
     for _ in range(50):  # combination of the calibrated views, with a small penalty
         p = _sigmoid(mix @ x)
         mix = mix - np.clip(np.linalg.solve((x * (p * (1 - p))) @ x.T + 0.05 * np.eye(3), x @ (p - test) + 0.05 * (mix - np.array([0.5, 0.5, 0]))), -1, 1)
-    good = np.sort(_sigmoid(mix @ x)[test > 0.5])
-    threshold = float(min(0.5, good[int((1 - KEEP_GOOD) * len(good))]))
-    return Model(fitted["text"], fitted["meta"], mix, threshold, rounds)
+    return Model(fitted["text"], fitted["meta"], mix, threshold(_sigmoid(mix @ x), test), rounds)
 
 
 def _utf8(col: pa.Array) -> list[bytes]:
@@ -217,10 +266,13 @@ def train(docs: DataFrame, labels: DataFrame, good: Column, labelled: int = LABE
     rest = ids.join(known, "doc_id", "left_anti").orderBy(order).limit(pool).withColumn("label", F.lit(-1))
     chosen = F.broadcast(some.unionByName(rest))  # at most labelled + pool rows
     texts = _views(docs).join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    sample = sorted(texts.select("doc_id", "text", "source", "lang", "label").mapInArrow(_features, "doc_id long, label int, ti binary, tv binary, mi binary, mv binary").collect(), key=lambda r: r["doc_id"])
+    sample = sorted(texts.select("doc_id", "text", "source", "lang", "label").mapInArrow(_features, "doc_id long, label int, ti binary, tv binary, mi binary, mv binary").toLocalIterator(prefetchPartitions=True), key=lambda r: r["doc_id"])
     lab, free = [r for r in sample if r["label"] >= 0], [r for r in sample if r["label"] < 0]
     held = np.array([xxhash.xxh3_64_intdigest(str(r["doc_id"])) % 4 == 0 for r in lab], bool)
-    return co_train(_rows(lab, "ti", "tv"), _rows(lab, "mi", "mv"), np.array([r["label"] for r in lab], float), _rows(free, "ti", "tv"), _rows(free, "mi", "mv"), held, rounds)
+    y = np.array([r["label"] for r in lab], float)
+    views = [_rows(lab, "ti", "tv"), _rows(lab, "mi", "mv"), y, _rows(free, "ti", "tv"), _rows(free, "mi", "mv")]
+    del sample, lab, free  # the driver holds the rows once
+    return co_train(*views, held, rounds)
 
 
 def _views(docs: DataFrame) -> DataFrame:

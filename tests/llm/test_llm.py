@@ -246,6 +246,23 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([(r.quality_score > 0.5) == (r.quality == 1) for r in out]) > 0.94
 
 
+def test_classifier_rejects_toxic_and_bad_of_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = cotraining.quality_scores(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").select("lang", "quality", "toxic", "keep").collect()
+    for wanted, least in (((lambda r: r.toxic == 1), 0.85), ((lambda r: r.quality == 0), 0.9)):
+        rows = [r for r in out if wanted(r)]
+        rate = {g: np.mean([not r.keep for r in rows if r.lang == g]) for g in {r.lang for r in rows}}
+        assert np.mean([not r.keep for r in rows]) > least and min(rate.values()) > 0.6, rate
+
+
+def test_threshold_by_both_errors():
+    p, y = np.array([0.1, 0.2, 0.2, 0.6, 0.7, 0.8, 0.9, 0.95]), np.array([0, 0, 0, 0, 1, 1, 1, 1.0])
+    assert abs(cotraining.threshold(p, y) - 0.65) < 1e-9
+    assert cotraining.threshold(np.array([0.5] * 4), np.array([0, 1, 1, 1.0])) == 0.25  # nothing is told apart: nothing is rejected
+
+
 def test_classifier_edges(frame, spark):
     docs = docs_of(frame, EDGE).withColumnRenamed("weight", "keep").withColumnRenamed("value", "quality_score")
     none = cotraining.quality_scores(docs, spark.createDataFrame([(1, 1, 0), (None, 0, 1), (99, 0, 0)], "doc_id long, quality int, toxic int"))
