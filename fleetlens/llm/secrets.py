@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and random strings that a subword vocabulary cannot compress.
 
 Natural words and identifiers made of words have long entries in the vocabulary; random strings fall apart into pieces of
-one or two characters. A candidate is a run of key characters that mixes digits and letters; digests of well-known
-lengths, UUIDs, dates, versions and words with numbers are taken out first; what has few characters per token is a span
-of kind ``random``. Spans of the fixed patterns stay whatever the test says.
+one or two characters. A candidate is a run of key characters; digests of well-known lengths, UUIDs, account numbers,
+and runs of digits (numbers, dates, versions; digits alone have about the same characters per token whatever they say)
+are taken out first; what has few characters per token is a span of kind ``random``, with or without digits. Words with
+signs between them are measured without the signs, and are none if most of them are entries of the vocabulary. Spans of the fixed patterns stay whatever the test says.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Known digests (md5, sha1, sha224, sha256, sha384, sha512 in hexadecimal) and identifiers.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
-IDENTIFIERS = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})|[0-9_=+/-]+|[A-Za-z_=+/-]+|(?:[A-Za-z]+|[0-9]{1,8})(?:[-_/+=](?:[A-Za-z]+|[0-9]{1,8}))+|[A-Z]{2}[0-9]{13,32}")
+IDENTIFIERS = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})|[A-Z]{2}[0-9]{13,32}|[0-9]+(?:[-_/+=]+[0-9]+)*|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_][0-9]{2}-?[0-9]{2}(?:-?[0-9]{2})?Z?")
+#: Words and numbers with signs between them, as in paths and names; without the signs they are measured.
+SEGMENTS = re.compile(r"(?:[A-Za-z]+|[0-9]{1,8})(?:[-_/+=]+(?:[A-Za-z]+|[0-9]{1,8}))+")
 
 _loaded: dict[str, tiktoken.Encoding] = {}
 
@@ -63,7 +66,11 @@ def is_random(s: str, enc: tiktoken.Encoding, most: float = CHARS_PER_TOKEN) ->
     core = s.strip("=+/_-")
     if len(core) < 16 or DIGEST.fullmatch(core) or IDENTIFIERS.fullmatch(core):
         return False
-    return len(core) <= most * len(enc.encode_ordinary(core))
+    if not SEGMENTS.fullmatch(core):
+        return len(core) <= most * len(enc.encode_ordinary(core))
+    parts = [(len(w), len(enc.encode_ordinary(w))) for w in re.split("[-_/+=]+", core)]
+    size = sum(c for c, _ in parts)
+    return size < 2 * sum(c for c, n in parts if n > 1) and size <= most * sum(n for _, n in parts)
 
 
 def _missed(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

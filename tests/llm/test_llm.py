@@ -302,6 +302,20 @@ def test_secrets(frame):
     assert sum("random" in r.spans for r in secrets.secret_scan(docs_of(frame, prose), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()) <= 2
 
 
+def test_secrets_without_digits(frame):
+    rng = random.Random(9)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    keys = [draw(low + low.upper(), n) for n in (16, 20, 32, 40) for _ in range(25)] + [draw(low, 16) for _ in range(50)] + [draw(low.upper() + "234567", 16) for _ in range(50)]
+    keys += ["-".join(draw(low, 4) for _ in range(4)) for _ in range(50)]
+    names = ["getUserAccountByIdentifier", "MAX_RETRY_COUNT_DEFAULT", "src/main/java/com/example/App", "a/very/long/path/of/words/2024", "go-to-my-page-in-a-day", "A/B/C/D/E/F/G/H/I/J", "thequickbrownfoxjumps",
+             "2024-01-01-12-30-45", "2024-01-01T12-30-45Z", "4111-1111-1111-1111", "8374652091837465", "=" * 40, "+-----+-----+-----+", "x" * 40, "2024-01-01-release-candidate-12"]
+    out = {r.doc_id: r.spans for r in secrets.secret_scan(docs_of(frame, [(i, f"use {k} now", "en", "s") for i, k in enumerate(keys + names)]), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    found = [out[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)]
+    assert np.mean(found) > 0.95 and all(found[:100])
+    assert [k for i, k in enumerate(names) if out[len(keys) + i]] == []
+
+
 # ---- WARC
 def test_missed_spans_against_brute_force():
     rng = random.Random(4)
