@@ -16,6 +16,10 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(quotes.as_replies(table(spark, sf_dir, "conversations")))
 
 
+def op1_quote_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.quote_origins(quotes.as_replies(table(spark, sf_dir, "conversations")))
+
+
 def op2_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quotation_linking, op2_mixing_weights, op3_exact_dedup, op4_token_counts, op5_packing, op6_exact_topk, op7_quality_classifier, op8_secret_scan, op9_warc_captures, op10_minhash_near_dup)}
+    op1_quotation_linking, op1_quote_origins, op2_mixing_weights, op3_exact_dedup, op4_token_counts, op5_packing, op6_exact_topk, op7_quality_classifier, op8_secret_scan, op9_warc_captures, op10_minhash_near_dup)}
 QUERIES["pipeline"] = _pipeline
 
 OP1_SQL = """

@@ -37,6 +37,19 @@ def passages(messages: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("passages", F.transform(own, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body")))).drop("_lines", "_starts")
 
 
+def _threads(tmp: Scratch, per: DataFrame) -> DataFrame:
+    """(conv_id, turn, anc, steps): the root of each message that has a ``parent_turn``, and its distance."""
+    # root and depth by doubling: anc is the ancestor reached so far, steps its distance
+    up = tmp.keep(per.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("anc"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("more")), "ancestors")
+    while not up.where("more").isEmpty():
+        far = up.select("conv_id", F.col("turn").alias("anc"), F.col("anc").alias("anc2"), F.col("steps").alias("steps2"))
+        nxt = hot_join(up.drop("more"), far, ["conv_id", "anc"]).select("conv_id", "turn", F.coalesce("anc2", "anc").alias("anc"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("anc2").isNotNull().alias("more"))
+        nxt = tmp.keep(nxt, "ancestors")
+        tmp.drop(up)
+        up = nxt
+    return up.select("conv_id", "turn", "anc", "steps")
+
+
 def link_quotes(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     """One row per row of ``messages(conv_id, turn, role, text, ...)``, without the quotes.
 
@@ -67,21 +80,64 @@ def link_quotes(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
         F.sum(F.when(here | F.coalesce(elsewhere, F.lit(False)), F.col("n")).otherwise(0)).alias("n_linked"),
         F.max(F.when(here & (F.col("level") == 1), F.col("origin_turn"))).alias("parent_turn"))
     per = tmp.keep(per, "quotes")
-    # root and depth by doubling: anc is the ancestor reached so far, steps its distance
-    up = tmp.keep(per.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("anc"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("more")), "ancestors")
-    while not up.where("more").isEmpty():
-        far = up.select("conv_id", F.col("turn").alias("anc"), F.col("anc").alias("anc2"), F.col("steps").alias("steps2"))
-        nxt = hot_join(up.drop("more"), far, ["conv_id", "anc"]).select("conv_id", "turn", F.coalesce("anc2", "anc").alias("anc"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("anc2").isNotNull().alias("more"))
-        nxt = tmp.keep(nxt, "ancestors")
-        tmp.drop(up)
-        up = nxt
+    up = _threads(tmp, per)
     out = hot_join(read, per, ["conv_id", "turn"])
-    out = hot_join(out, up.select("conv_id", "turn", "anc", "steps"), ["conv_id", "turn"])
+    out = hot_join(out, up, ["conv_id", "turn"])
     clean = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n\n")
     return out.select("conv_id", "turn", "role", clean.alias("clean_text"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
                       "parent_turn", F.coalesce("anc", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).cast("long").alias("reply_depth"))
 
 
+def quote_origins(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
+    """One row per quoted passage of ``messages(conv_id, turn, text, ...)``, with its origin and the reply order.
+
+    conv_id, turn, passage_no (its place among the passages of the message), level, passage_hash, n_lines;
+    n_lines_found: lines that the origin holds (n_lines, if it holds the whole passage); origin_conv_id, origin_turn;
+    parent_turn, root_turn and reply_depth of the message. An origin holds a passage if it has it as an own paragraph, or
+    as a run of lines of one: the first message of a smaller turn of the conversation, or else the first of the other
+    conversations. If no message holds the whole passage, the lines are looked up one by one, and the message that is
+    the origin of most of them is taken, one of the conversation before others. Rows without conv_id or turn link nothing.
+    """
+    tmp = tmp or Scratch(messages.sparkSession)
+    base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text").withColumn("msg", F.monotonically_increasing_id())
+    one = passages(base).select("msg", "conv_id", "turn", F.posexplode("passages").alias("no", "p"))
+    one = tmp.keep(one.select("msg", "conv_id", "turn", "no", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("hash"), F.split("p.body", "\n").alias("lines")).withColumn("k", F.size("lines")), "passages")
+    known = F.expr("conv_id is not null and turn is not null")
+    own, quoted = one.where(known & (F.col("level") == 0)), one.where(known & (F.col("level") > 0))
+    # the runs of lines that are asked for: a line begins one if some quoted passage begins with it
+    heads = quoted.where("k > 1").select(_normal(F.col("lines")[0]).alias("line"), F.col("k").alias("run")).distinct()
+    line = own.select("msg", "conv_id", "turn", "no", "k", F.posexplode(F.transform("lines", _normal)).alias("at", "line"))
+    asked = hot_join(line.where("k > 1"), heads, ["line"], "inner").where("at + run <= k").groupBy("msg", "no").agg(F.collect_list(F.struct("at", "run")).alias("runs"))
+    runs = own.join(asked, ["msg", "no"]).select("conv_id", "turn", "lines", F.explode("runs").alias("r"))
+    runs = runs.select("conv_id", "turn", _normal(F.array_join(F.slice("lines", F.col("r.at") + 1, F.col("r.run")), "\n")).alias("hash"))
+    units = own.select("conv_id", "turn", "hash").unionByName(line.select("conv_id", "turn", F.col("line").alias("hash"))).unionByName(runs)
+    said = tmp.keep(units.groupBy("conv_id", "hash").agg(F.min("turn").alias("said_turn")), "said")
+    # the two first conversations of a unit: one of them is another one than the quoting message's
+    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "said_turn")).alias("f1"))
+    second = hot_join(said, first, ["hash"], "inner").where("conv_id <> f1.conv_id").groupBy("hash").agg(F.min(F.struct("conv_id", "said_turn")).alias("f2"))
+    first = tmp.keep(hot_join(first, second, ["hash"]), "first")
+
+    def found(asking: DataFrame) -> DataFrame:
+        out = hot_join(hot_join(asking, said, ["conv_id", "hash"]), first, ["hash"])
+        here = F.coalesce(F.col("said_turn") < F.col("turn"), F.lit(False))
+        other = F.when(F.col("f1.conv_id") != F.col("conv_id"), F.col("f1")).otherwise(F.col("f2"))
+        return out.select("msg", "no", here.alias("here"), F.when(here, F.col("conv_id")).otherwise(other["conv_id"]).alias("oc"), F.when(here, F.col("said_turn")).otherwise(other["said_turn"]).alias("ot"), "n").where("oc is not null")
+
+    cols = ["msg", "no", "conv_id", "turn", "hash"]
+    whole = tmp.keep(found(quoted.select(*cols, F.col("k").alias("n"))), "whole")
+    rest = quoted.where("k > 1").join(whole.select("msg", "no"), ["msg", "no"], "left_anti")
+    parts = found(rest.select("msg", "no", "conv_id", "turn", F.explode(F.transform("lines", _normal)).alias("hash"), F.lit(1).alias("n")))
+    parts = parts.groupBy("msg", "no", "here", "oc", "ot").agg(F.sum("n").cast("int").alias("n"))
+    best = F.max(F.struct("here", "n", (-F.col("oc")).alias("c"), (-F.col("ot")).alias("t"))).alias("b")
+    parts = parts.groupBy("msg", "no").agg(best).select("msg", "no", "b.here", (-F.col("b.c")).alias("oc"), (-F.col("b.t")).alias("ot"), "b.n")
+    out = one.where("level > 0").drop("lines").join(whole.unionByName(parts), ["msg", "no"], "left")
+    out = tmp.keep(out, "origins")
+    per = tmp.keep(out.where("here and level = 1").groupBy("conv_id", "turn").agg(F.max("ot").alias("parent_turn")), "parents")
+    out = hot_join(hot_join(out, per, ["conv_id", "turn"]), _threads(tmp, per), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.col("no").alias("passage_no"), "level", F.col("hash").alias("passage_hash"), F.col("k").alias("n_lines"), F.coalesce("n", F.lit(0)).alias("n_lines_found"),
+                      F.col("oc").alias("origin_conv_id"), F.col("ot").alias("origin_turn"), "parent_turn", F.coalesce("anc", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).cast("long").alias("reply_depth"))
+
+
 def as_replies(conversations: DataFrame) -> DataFrame:
     """The turns of ``conversations`` as quoted replies, the form in which mail and forum messages arrive.
 

@@ -55,6 +55,22 @@ def test_quotes_known_answer(frame):
     assert quotes.link_quotes(frame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quote_origins(frame):
+    rows = [(1, 0, "One.\nTwo.\nThree.\n\nFour."), (1, 1, "> One.\nYes."), (1, 2, "> > two.\n> > THREE.\n\n> Yes."), (1, 3, "> Two.\n> never\n\n> Four."), (2, 7, "> Three.\n\n>> Two.\n>> Three.\n> nobody"), (None, 1, "> One."), (3, 0, "Two.")]
+    out = {(r.conv_id, r.turn, r.passage_no): r for r in quotes.quote_origins(frame(rows, "conv_id long, turn long, text string")).collect()}
+    got = {k: (r.level, r.n_lines, r.n_lines_found, r.origin_conv_id, r.origin_turn) for k, r in out.items()}
+    assert got == {(1, 1, 0): (1, 1, 1, 1, 0), (1, 2, 0): (2, 2, 2, 1, 0), (1, 2, 1): (1, 1, 1, 1, 1), (1, 3, 0): (1, 2, 1, 1, 0), (1, 3, 1): (1, 1, 1, 1, 0),
+                   (2, 7, 0): (1, 1, 1, 1, 0), (2, 7, 1): (2, 2, 2, 1, 0), (2, 7, 2): (1, 1, 0, None, None), (None, 1, 0): (1, 1, 0, None, None)}
+    assert (out[1, 2, 0].parent_turn, out[1, 2, 0].root_turn, out[1, 2, 0].reply_depth) == (1, 0, 2) and out[2, 7, 0].parent_turn is None
+    assert quotes.quote_origins(frame([], "conv_id long, turn long, text string")).count() == 0
+
+
+def test_quote_origins_of_first_lines(spark):
+    out = quotes.quote_origins(quotes.as_replies(spark.read.parquet(f"{SF}/conversations.parquet"))).collect()
+    direct = [r for r in out if r.level == 1]
+    assert direct and all(r.origin_conv_id == r.conv_id and r.origin_turn < r.turn for r in direct)
+
+
 # ---- mixing
 def test_mixing_reaches_targets(spark, frame):
     rng = random.Random(1)
