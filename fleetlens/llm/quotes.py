@@ -100,7 +100,8 @@ def quote_origins(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     """
     tmp = tmp or Scratch(messages.sparkSession)
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text").withColumn("msg", F.monotonically_increasing_id())
-    one = passages(base).select("msg", "conv_id", "turn", F.posexplode("passages").alias("no", "p"))
+    read = tmp.keep(passages(base).select("msg", "conv_id", "turn", "passages"), "read")  # exploded at once, the passages would be cut again for every filter on them
+    one = read.select("msg", "conv_id", "turn", F.posexplode("passages").alias("no", "p"))
     one = tmp.keep(one.select("msg", "conv_id", "turn", "no", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("hash"), F.split("p.body", "\n").alias("lines")).withColumn("k", F.size("lines")), "passages")
     known = F.expr("conv_id is not null and turn is not null")
     own, quoted = one.where(known & (F.col("level") == 0)), one.where(known & (F.col("level") > 0))
