@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import cotraining, exact_dedup, mixing, near_dup, packing, quotes, secrets, token_counts, topk, warc
+from fleetlens.llm import contamination, cotraining, exact_dedup, mixing, near_dup, negatives, packing, quotes, secrets, token_counts, topk, warc
 from fleetlens.llm.common import table
 
 
@@ -58,6 +58,16 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +75,8 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quotation_linking, op1_quote_origins, op2_mixing_weights, op3_exact_dedup, op4_token_counts, op5_packing, op6_exact_topk, op7_quality_classifier, op8_secret_scan, op9_warc_captures, op10_minhash_near_dup)}
+    op1_quotation_linking, op1_quote_origins, op2_mixing_weights, op3_exact_dedup, op4_token_counts, op5_packing, op6_exact_topk, op7_quality_classifier, op8_secret_scan, op9_warc_captures, op10_minhash_near_dup,
+    op11_hard_negatives, op13_benchmark_decontamination)}
 QUERIES["pipeline"] = _pipeline
 
 OP1_SQL = """
@@ -96,5 +107,8 @@ ORACLES: dict[str, str] = {
     "op1_quotation_linking": OP1_SQL,
     "op2_mixing_weights": mixing.oracle(),
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_exact_topk": topk.ORACLE,
     "op9_warc_captures": warc.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op13_benchmark_decontamination": contamination.oracle(),
 }
