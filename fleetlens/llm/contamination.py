@@ -122,10 +122,10 @@ def phrase_starts(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray]) ->
     return starts
 
 
-def near_spans(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], span: int) -> list[tuple[int, int]]:
-    """``(first, last)`` of stretches of at most ``span`` positions that hold every distinct word of the window.
+def near_spans(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], span: int, bounds: np.ndarray) -> list[tuple[int, int]]:
+    """``(first, last)`` of stretches of at most ``span`` positions in one document that hold every distinct word of the window.
 
-    One stretch, the shortest and among equal ones the first, for each occurrence of the rarest word that has any.
+    ``bounds``: first positions of all documents, and the end. One stretch, the shortest and among equal ones the first, for each occurrence of the rarest word that has any.
     """
     terms = sorted({t: len(lists[t]) for t in window}.items(), key=lambda x: (x[1], x[0]))
     mid = lists[terms[0][0]]
@@ -136,7 +136,9 @@ def near_spans(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], span:
             return []
     out = []
     for p in mid.tolist():
-        near = [lists[t][slice(*np.searchsorted(lists[t], (p - span + 1, p + span)))] for t, _ in terms[1:]]
+        d = int(np.searchsorted(bounds, p, side="right"))
+        around = (max(p - span + 1, bounds[d - 1]), min(p + span, bounds[d]))
+        near = [lists[t][slice(*np.searchsorted(lists[t], around))] for t, _ in terms[1:]]
         ends = []
         for s in sorted({p, *(int(x) for l in near for x in l if x <= p)}, reverse=True):
             last = p
@@ -166,7 +168,8 @@ def _search(items: list[tuple[int, list[tuple[bytes, ...]]]], slack: int | None)
         lists = {t: np.frombuffer(p, np.int32) for t, p in zip(term, posts, strict=True) if t is not None}
         docs = rows.filter(rows.column("term").is_null()).sort_by("place")
         place, number = docs.column("place").to_numpy(), docs.column("n_words").to_numpy()
-        first = np.append(0, np.cumsum(number + GAP))[:-1]  # position of every document's first word
+        bounds = np.append(0, np.cumsum(number + GAP))
+        first = bounds[:-1]  # position of every document's first word
         out: list[list] = [[], [], [], [], []]
 
         def put(owners: list[int], starts: np.ndarray, sizes: np.ndarray, exact: bool) -> None:
@@ -182,9 +185,7 @@ def _search(items: list[tuple[int, list[tuple[bytes, ...]]]], slack: int | None)
             if len(starts):
                 put(owners, starts, np.full(len(starts), len(w)), True)
             if slack is not None:
-                spans = np.array(near_spans(w, lists, len(w) + slack), np.int64).reshape(-1, 2)
-                d = np.searchsorted(first, spans, side="right")
-                spans = spans[d[:, 0] == d[:, 1]]  # within one document
+                spans = np.array(near_spans(w, lists, len(w) + slack, bounds), np.int64).reshape(-1, 2)
                 if len(spans):
                     put(owners, spans[:, 0], spans[:, 1] - spans[:, 0] + 1, False)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import contamination, cotraining, exact_dedup, mixing, near_dup, negatives, packing, quotes, secrets, token_counts, topk, warc
+from fleetlens.llm import contamination, cotraining, exact_dedup, mixing, near_dup, negatives, packing, quotes, repair, secrets, token_counts, topk, warc
 from fleetlens.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows)
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,7 +81,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quotation_linking, op1_quote_origins, op2_mixing_weights, op3_exact_dedup, op4_token_counts, op5_packing, op6_exact_topk, op7_quality_classifier, op8_secret_scan, op9_warc_captures, op10_minhash_near_dup,
-    op11_hard_negatives, op13_benchmark_decontamination)}
+    op11_hard_negatives, op12_conversation_repair, op13_benchmark_decontamination)}
 QUERIES["pipeline"] = _pipeline
 
 OP1_SQL = """
@@ -110,5 +115,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_topk": topk.ORACLE,
     "op9_warc_captures": warc.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
+    "op12_conversation_repair": repair.oracle(),
     "op13_benchmark_decontamination": contamination.oracle(),
 }

@@ -69,7 +69,7 @@ class Index:
         for c in range(CLASSES + 1):
             if c < CLASSES:
                 limit = limit * (STEP if c else FIRST)
-                with np.errstate(divide="ignore"):
+                with np.errstate(divide="ignore", invalid="ignore"):
                     keep = np.where(size > 0, np.floor(limit / size / w), np.inf)  # levels from -keep to keep stay
                 a = self.first[dims, np.clip(-keep, self.least, self.top + 1).astype(np.int64) - self.least]
                 b = self.first[dims, np.clip(keep + 1, self.least, self.top + 1).astype(np.int64) - self.least]

@@ -218,34 +218,28 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
-def test_topk_stops_early():
+def test_topk_stops_on_proof_on_embeddings():
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    m = np.floor(256 * np.array(t["embedding"].to_pylist(), np.float64)).astype(np.int64)
+    ids = t["vec_id"].to_numpy()
+    index = topk.Index(ids, m)
+    for i in range(0, len(ids), 50):
+        found, scores, took = index.search(m[i], int(ids[i]), 5)
+        want = sorted((-int(s), int(j)) for s, j in zip(m @ m[i], ids, strict=True) if j != ids[i])[:5]
+        assert [(-s, j) for s, j in zip(scores.tolist(), found.tolist(), strict=True)] == want
+        assert took["rescored"] <= 0.02 * len(ids) and took["postings"] < 0.9 * m.size
+
+
+def test_topk_wide_components():
     rng = np.random.default_rng(6)
-    m = rng.integers(-3, 4, (4000, 64))
-    m[7, :2] = m[9, :2] = 900
-    parts = topk._index(iter([])) and None
-    assert parts is None
-    q = np.zeros(64, np.int64)
-    q[:2] = 50
-    import pyarrow as pa
-
-    class Context:
-        @staticmethod
-        def get():
-            return Context
-
-        @staticmethod
-        def partitionId():
-            return 0
-
-    import pyspark
-
-    real, pyspark.TaskContext = pyspark.TaskContext, Context
-    try:
-        row = next(topk._index(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(m.tolist())], names=["vec_id", "v"])]))).to_pylist()[0]
-    finally:
-        pyspark.TaskContext = real
-    ids, scores = topk.search(q, -1, 2, np.frombuffer(row["ids"], np.int64), m, row["width"], *(np.frombuffer(row[c], t) for c, t in (("seg_dim", np.int32), ("seg_low", np.int64), ("seg_end", np.int64), ("postings", np.int32))))
-    assert ids.tolist() == [7, 9] and scores.tolist() == [90_000, 90_000]
+    m = (rng.normal(size=(500, 9)) * 10 ** rng.uniform(0, 6, size=(500, 1))).astype(np.int64)  # intervals wider than 1
+    m[7] = m[9] = 3_000_000
+    m[11] = 0
+    index = topk.Index(np.arange(500), m)
+    assert index.width > 1
+    for i in (0, 7, 9, 11, 300):
+        found, scores, _ = index.search(m[i], i, 4)
+        assert [(-s, j) for s, j in zip(scores.tolist(), found.tolist(), strict=True)] == sorted((-int(s), j) for j, s in enumerate(m @ m[i]) if j != i)[:4]
 
 
 # ---- quality classifier
