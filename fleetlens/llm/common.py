@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +127,36 @@ def components(tmp: Scratch, links: DataFrame) -> DataFrame:
         if edges.isEmpty():
             tmp.drop(edges)
             return labels
+
+
+def slices(b: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``most`` bytes in ``column``, or one row."""
+    size = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
+def split_words(texts: pa.Array, fold: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All words of a column of UTF-8 texts as one binary column, and the number of words of every text.
+
+    ``fold`` maps each byte to that of the word, or to 0 between words.
+    """
+    texts = pa.concat_arrays([texts.cast(pa.large_binary())])  # offsets from 0
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = fold[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+    at = at - at[0]
+    inside = raw != 0
+    before = np.empty(len(raw), bool)
+    before[:1], before[1:] = False, inside[:-1]
+    before[at[:-1][at[:-1] < len(raw)]] = False  # texts follow each other without a gap
+    start = np.flatnonzero(inside & ~before)
+    number = np.diff(np.searchsorted(start, at)).astype(np.int64)
+    data = raw[inside]
+    ends = np.cumsum(inside, dtype=np.int64)[start - 1] if len(start) else np.empty(0, np.int64)
+    ends[: int(len(start) > 0 and start[0] == 0)] = 0
+    offsets = np.append(ends, len(data)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return found.cast(pa.binary()) if len(data) < 1 << 31 else found, number

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import Scratch, hot_join, sized, text_or_empty
+from fleetlens.llm.common import Scratch, hot_join, sized, slices, split_words, text_or_empty
 
 WINDOW = 10  # words
 SLACK = 5  # words beside those of the window that a proximity match may span
@@ -33,35 +32,6 @@ _FOLD[48:58], _FOLD[97:123], _FOLD[128:] = np.arange(48, 58), np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of a column of UTF-8 texts as one binary column, and the number of words of every text."""
-    texts = pa.concat_arrays([texts.cast(pa.large_binary())])  # offsets from 0
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = _FOLD[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
-    at = at - at[0]
-    inside = raw != 0
-    before = np.empty(len(raw), bool)
-    before[:1], before[1:] = False, inside[:-1]
-    before[at[:-1][at[:-1] < len(raw)]] = False  # texts follow each other without a gap
-    start = np.flatnonzero(inside & ~before)
-    number = np.diff(np.searchsorted(start, at)).astype(np.int64)
-    data = raw[inside]
-    ends = np.cumsum(inside, dtype=np.int32)[start - 1] if len(start) else np.empty(0, np.int32)
-    if len(start) and start[0] == 0:
-        ends[0] = 0
-    offsets = np.append(ends, np.int32(len(data))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]), number
-
-
-def _chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    size = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < b.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
-        yield b.slice(at, end - at)
-        at = end
-
-
 _SCHEMA = "chunk long, place int, doc_id long, n_words long, term binary, postings binary"
 
 
@@ -72,8 +42,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = TaskContext.get().partitionId() << 32
     names = ["chunk", "place", "doc_id", "n_words", "term", "postings"]
     for b in batches:
-        for part in _chunks(b):
-            found, number = words(part.column("text"))
+        for part in slices(b, "text", CHUNK_BYTES):
+            found, number = split_words(part.column("text"), _FOLD)
             n = part.num_rows
             empty = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), part.column("doc_id"), pa.array(number), empty, empty], names=names)
@@ -98,7 +68,7 @@ def build_index(docs: DataFrame, tmp: Scratch) -> DataFrame:
 
 def item_windows(texts: list[str | None], width: int = WINDOW) -> list[list[tuple[bytes, ...]]]:
     """Distinct windows of every text: ``width`` consecutive words, or all words if there are fewer."""
-    found, number = words(pa.array([t or "" for t in texts], pa.string()))
+    found, number = split_words(pa.array([t or "" for t in texts], pa.string()), _FOLD)
     every, out, at = found.to_pylist(), [], 0
     for n in number.tolist():
         w = every[at : at + n]

@@ -2,13 +2,15 @@
 
 Text view: hashed words and their beginnings, as inflected and compound words share a stem. Metadata view: source, language, and the layout of the page (length, line lengths, shares of
 character classes, repeated characters). Each view is a logistic model. Both are fitted on a bounded sample of labelled
-documents; in every round each view labels the unlabelled pool documents it is surest of, and the other view is fitted
-again with them. A held-out part of the labelled sample, never trained on, calibrates both views and sets the threshold.
-Only the sample is gathered; scoring runs where the documents are read.
+documents. In every round Spark scores all unlabelled documents with both views, each view hands the other some of the
+documents it is sure of, drawn from the whole corpus by hash, and the views are fitted again with them. A held-out part of the
+labelled sample, never trained on, calibrates both views and sets the threshold. The sample lies in a table and is fitted
+in executor tasks, one per model; only weights reach the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,14 +19,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fleetlens.llm.common import text_or_empty
+from fleetlens.llm.common import Scratch, slices, split_words, text_or_empty
 
-#: The bounds of the sample: labelled documents, and documents of the unlabelled pool.
-LABELLED, POOL = 6_000, 6_000
-ROUNDS = 3
+LABELLED = 6_000  # the bound of the labelled sample
+ROUNDS = 2
 AGAIN = 40  # steps of a fit that goes on from the one of the round before
-CONFIDENT = 600  # pseudo-labels that a view gives in one round, at most
+CONFIDENT = 600  # pseudo-labels that a view hands over in the first round, at most; in round r, r times as many
 SURE = 0.95  # and the least probability of one
 WORD_BITS = 18
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that are hashed besides the word, if it is longer
@@ -32,49 +34,79 @@ META_BITS = 10
 LAYOUT = 12  # columns of the metadata view that are numbers
 COST_GOOD = 5.0  # what the loss of a share of the good held-out documents costs, against the same share of the bad ones kept
 WORDS = 400_000  # remembered words
+LONG_WORD = 64  # longer words are not remembered
 BLOCK = 1 << 19  # entries of sparse rows that are summed at once
+PART = 2_000_000  # bytes of texts whose features are made at once
 
 _slots: dict[bytes, int] = {}
 #: Classes of bytes: letters in lower and upper case, digits, white space, line ends, bytes beyond ASCII, pipes, full stops and commas, other signs.
 _CLASSES = np.full(256, 8, np.uint8)
 _CLASSES[97:123], _CLASSES[65:91], _CLASSES[48:58], _CLASSES[128:] = 0, 1, 2, 5
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Words: ASCII in lower case, between ASCII white space.
+_FOLD = np.arange(256).astype(np.uint8)
+_FOLD[65:91] += 32
+_FOLD[_SPACE] = 0
 _CLASSES[[9, 11, 12, 13, 32]], _CLASSES[10], _CLASSES[124], _CLASSES[[44, 46]] = 3, 4, 6, 7
 
 
-def _beginnings(low: bytes) -> np.ndarray:
-    """Slots of the first bytes of every word of the whole text, for each length of BEGINNINGS that is less than the word's."""
-    raw = np.frombuffer(b" " + low + b" ", np.uint8)
-    gap = _SPACE[raw]
-    start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-    size = np.flatnonzero(~gap[:-1] & gap[1:]) + 1 - start
-    h, out = np.zeros(len(start), np.uint64), []
-    for k in range(max(BEGINNINGS)):
-        more = size > k + 1
-        start, size, h = start[more], size[more], (h[more] + raw[start[more] + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        if k + 1 in BEGINNINGS:
-            out.append((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - WORD_BITS)).astype(np.int32))
-    return np.concatenate(out)
-
-
-def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights (square roots of counts, length 1) of the words of the whole text and of their beginnings, case folded for ASCII."""
+def _word_slots(words: list[bytes], raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(word, slot)`` pairs: every word's own slot, and one for each beginning that is shorter than the word."""
     known = _slots
     if len(known) > WORDS:
         known.clear()
-    idx = []
-    low = text.lower()
-    for w in low.split():
+    own = np.empty(len(words), np.int32)
+    for i, w in enumerate(words):
         s = known.get(w)
         if s is None:
-            s = known[w] = xxhash.xxh3_64_intdigest(w.strip(b".,;:!?")) & ((1 << WORD_BITS) - 1)
-        idx.append(s)
-    if not idx:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    slots, n = np.unique(np.concatenate([np.array(idx, np.int32), _beginnings(low)]), return_counts=True)
-    v = np.sqrt(n).astype(np.float32)
-    return slots, v / np.linalg.norm(v)
+            s = xxhash.xxh3_64_intdigest(w.strip(b".,;:!?")) & ((1 << WORD_BITS) - 1)
+            if len(w) <= LONG_WORD:
+                known[w] = s
+        own[i] = s
+    of, slot = [np.arange(len(words))], [own]
+    word, h = of[0], np.zeros(len(words), np.uint64)
+    for k in range(max(BEGINNINGS)):
+        more = size[word] > k + 1
+        word, h = word[more], h[more]
+        h = (h + raw[start[word] + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if k + 1 in BEGINNINGS:
+            of.append(word)
+            slot.append((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - WORD_BITS)).astype(np.int32))
+    return np.concatenate(of), np.concatenate(slot)
+
+
+def text_rows(texts: pa.Array) -> Rows:
+    """Slots and weights (square roots of counts, length 1) of the words of whole texts and of their beginnings.
+
+    Every distinct word of the texts is hashed once.
+    """
+    n = len(texts)
+    found, number = split_words(texts, _FOLD)
+    if not len(found):
+        return Rows.of_arrays(n, np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))
+    coded = found.dictionary_encode()
+    size = len(coded.dictionary)
+    kind = np.int64 if pa.types.is_large_binary(coded.dictionary.type) else np.int32
+    at = np.frombuffer(coded.dictionary.buffers()[1], kind)[: size + 1].astype(np.int64)
+    raw = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)
+    of, slot = _word_slots(coded.dictionary.to_pylist(), raw, at[:-1], np.diff(at))
+    order = np.argsort(of, kind="stable")
+    of, slot = of[order], slot[order]
+    first = np.searchsorted(of, np.arange(size + 1))
+    # distinct words of every text, then distinct slots
+    pairs, times = np.unique(np.repeat(np.arange(n), number) * size + coded.indices.to_numpy(), return_counts=True)
+    word, doc = pairs % size, pairs // size
+    each = (first[1:] - first[:-1])[word]
+    entry = np.repeat(first[word] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+    key = (np.repeat(doc, each) << WORD_BITS) | slot[entry]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    value = np.add.reduceat(np.repeat(times, each)[order], begin).astype(np.float64)
+    doc, idx = (key[begin] >> WORD_BITS).astype(np.int32), (key[begin] & ((1 << WORD_BITS) - 1)).astype(np.int32)
+    norm = np.sqrt(np.bincount(doc, value, minlength=n))
+    return Rows.of_arrays(n, doc, idx, (np.sqrt(value) / norm[doc]).astype(np.float32))
 
 
 def meta_features(text: bytes, source: str | None, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +145,18 @@ class Rows:
         self.idx = np.concatenate([i for i, _ in feats]) if feats else np.empty(0, np.int32)
         self.val = np.concatenate([v for _, v in feats]) if feats else np.empty(0, np.float32)
 
+    @staticmethod
+    def of_arrays(n: int, of: np.ndarray, idx: np.ndarray, val: np.ndarray) -> Rows:
+        out = Rows([])
+        out.n, out.of, out.idx, out.val = n, of, idx, val
+        return out
+
+    @staticmethod
+    def join(parts: list[Rows]) -> Rows:
+        at = np.cumsum([0, *(p.n for p in parts)])
+        cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
+        return Rows.of_arrays(int(at[-1]), cat([p.of + np.int32(a) for p, a in zip(parts, at, strict=False)], np.int32), cat([p.idx for p in parts], np.int32), cat([p.val for p in parts], np.float32))
+
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for a in range(0, len(self.idx), BLOCK):
             yield self.of[a : a + BLOCK], self.idx[a : a + BLOCK], self.val[a : a + BLOCK]
@@ -133,11 +177,9 @@ class Rows:
 
     def take(self, keep: np.ndarray) -> Rows:
         """Rows of a boolean mask."""
-        out = Rows([])
         new = (np.cumsum(keep) - 1).astype(np.int32)
         e = keep[self.of]
-        out.n, out.of, out.idx, out.val = int(keep.sum()), new[self.of[e]], self.idx[e], self.val[e]
-        return out
+        return Rows.of_arrays(int(keep.sum()), new[self.of[e]], self.idx[e], self.val[e])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,87 +234,139 @@ def threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 @dataclass
 class Model:
-    """Two calibrated views, the weight of each, and the threshold below which a document is rejected."""
+    """Two calibrated views, the weight of each, the threshold below which a document is rejected, and the share of class 1."""
 
     text: View
     meta: View
     mix: np.ndarray
     threshold: float
-    rounds: int
+    share: float
+
+    def views(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray]:
+        return _sigmoid(self.text.logit(text)), _sigmoid(self.meta.logit(meta))
 
     def score(self, text: Rows, meta: Rows) -> np.ndarray:
         return _sigmoid(self.mix @ np.stack([self.text.logit(text), self.meta.logit(meta), np.ones(text.n)]))
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows, held: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """None if a class is missing among the rows trained on or held out."""
+SIZES = {"text": 1 << WORD_BITS, "meta": 1 << META_BITS}
+
+
+def fit_views(views: dict[str, Rows], y: np.ndarray, held: np.ndarray, taught: dict[str, tuple[Rows, np.ndarray]], before: Model | None) -> Model | None:
+    """Both views on the rows that are not held out and what the other view taught; None if a class is missing among the rows trained on or held out."""
     if not len(y) or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
-    views = {"text": (text.take(~held), text.take(held), pool_text, 1 << WORD_BITS), "meta": (meta.take(~held), meta.take(held), pool_meta, 1 << META_BITS)}
     train, test = y[~held], y[held]
-    given: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(p.n, bool), np.zeros(p.n)) for k, (_, _, p, _) in views.items()}
-    fitted: dict[str, View] = {}
-    for r in range(rounds + 1):
-        for k, (rows, hold, pool, size) in views.items():
-            mask, lab = given[k]
-            more = pool.take(mask)
-            both = Rows([])
-            both.n, both.of, both.idx, both.val = rows.n + more.n, np.r_[rows.of, more.of + np.int32(rows.n)], np.r_[rows.idx, more.idx], np.r_[rows.val, more.val]
-            again = {"start": fitted[k], "steps": AGAIN, "rate": 0.1} if r else {}
-            fitted[k] = fit(both, np.r_[train, lab[mask]], size, **again)
-            calibrate(fitted[k], fitted[k].margin(hold), test)
-        if r == rounds:
-            break
-        for k, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(fitted[k].logit(views[k][2]))
-            share = np.array([1 - train.mean(), train.mean()])
-            mask, lab = given[other]
-            for cls, q in ((0, 1 - p), (1, p)):
-                room = max(1, int(CONFIDENT * share[cls]))
-                best = np.argsort(-q, kind="stable")[: room * (r + 1)]
-                best = best[(q[best] >= SURE) & ~mask[best]][:room]
-                mask[best], lab[best] = True, cls
-    x = np.stack([fitted["text"].logit(views["text"][1]), fitted["meta"].logit(views["meta"][1]), np.ones(len(test))])
+    fitted, logits = {}, []
+    for k, rows in views.items():
+        more, labels = taught.get(k, (Rows([]), np.empty(0)))
+        again = {"start": getattr(before, k), "steps": AGAIN, "rate": 0.1} if before else {}
+        v = fitted[k] = fit(Rows.join([rows.take(~held), more]), np.r_[train, labels], SIZES[k], **again)
+        hold = rows.take(held)
+        calibrate(v, v.margin(hold), test)
+        logits.append(v.logit(hold))
+        v.weights = v.weights.astype(np.float32)
+    x = np.stack([*logits, np.ones(len(test))])
     mix = np.array([0.5, 0.5, 0.0])
     for _ in range(50):  # combination of the calibrated views, with a small penalty
         p = _sigmoid(mix @ x)
         mix = mix - np.clip(np.linalg.solve((x * (p * (1 - p))) @ x.T + 0.05 * np.eye(3), x @ (p - test) + 0.05 * (mix - np.array([0.5, 0.5, 0]))), -1, 1)
-    return Model(fitted["text"], fitted["meta"], mix, threshold(_sigmoid(mix @ x), test), rounds)
+    return Model(fitted["text"], fitted["meta"], mix, threshold(_sigmoid(mix @ x), test), float(train.mean()))
+
 
+def _features(b: pa.RecordBatch) -> tuple[Rows, Rows]:
+    """Both views of a batch with text, and source and lang if it has them."""
+    get = lambda c: b.column(c).cast(pa.string()).to_pylist() if c in b.schema.names else [None] * b.num_rows
+    texts = b.column("text").cast(pa.string()).fill_null("")
+    text = Rows.join([text_rows(p.column("text")) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", PART)])
+    raw = texts.cast(pa.binary()).to_pylist()
+    return text, Rows([meta_features(t, s, g) for t, s, g in zip(raw, get("source"), get("lang"), strict=True)])
 
-def _utf8(col: pa.Array) -> list[bytes]:
-    return [t or b"" for t in col.cast(pa.large_binary()).to_pylist()]
 
+_STORED = "ti binary, tv binary, mi binary, mv binary"
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of documents, a row for each; all columns but those of the document stay."""
     for b in batches:
-        cols: list[list] = [[], [], [], []]
-        for t, s, g in zip(_utf8(b.column("text")), b.column("source").to_pylist(), b.column("lang").to_pylist(), strict=True):
-            for c, (a, dtype) in zip(cols, zip([*text_features(t), *meta_features(t, s, g)], (np.int32, np.float32) * 2, strict=True), strict=True):
-                c.append(a.astype(dtype).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "label", "ti", "tv", "mi", "mv"])
-
-
-def _rows(sample: list, a: str, b: str) -> Rows:
-    return Rows([(np.frombuffer(r[a], np.int32), np.frombuffer(r[b], np.float32)) for r in sample])
-
-
-def train(docs: DataFrame, labels: DataFrame, good: Column, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
-    """Fits on at most ``labelled`` labelled and ``pool`` other documents, those with the smallest hashes of their ids."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("label")).where("label is not null")
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    some = known.join(ids, "doc_id", "left_semi").orderBy(order).limit(labelled)
-    rest = ids.join(known, "doc_id", "left_anti").orderBy(order).limit(pool).withColumn("label", F.lit(-1))
-    chosen = F.broadcast(some.unionByName(rest))  # at most labelled + pool rows
-    texts = _views(docs).join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    sample = sorted(texts.select("doc_id", "text", "source", "lang", "label").mapInArrow(_features, "doc_id long, label int, ti binary, tv binary, mi binary, mv binary").toLocalIterator(prefetchPartitions=True), key=lambda r: r["doc_id"])
-    lab, free = [r for r in sample if r["label"] >= 0], [r for r in sample if r["label"] < 0]
-    held = np.array([xxhash.xxh3_64_intdigest(str(r["doc_id"])) % 4 == 0 for r in lab], bool)
-    y = np.array([r["label"] for r in lab], float)
-    views = [_rows(lab, "ti", "tv"), _rows(lab, "mi", "mv"), y, _rows(free, "ti", "tv"), _rows(free, "mi", "mv")]
-    del sample, lab, free  # the driver holds the rows once
-    return co_train(*views, held, rounds)
+        cols: list[list[bytes]] = []
+        for rows in _features(b):
+            ends = np.searchsorted(rows.of, np.arange(rows.n + 1))
+            cols += [[x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)] for x in (rows.idx, rows.val)]
+        kept = [c for c in b.schema.names if c not in ("text", "source", "lang")]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, pa.binary()) for c in cols)], names=[*kept, "ti", "tv", "mi", "mv"])
+
+
+def _fitter(models: dict[str, Model | None] | None):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """One model from its sample: rows with a view are pseudo-labels for that view."""
+        name = key[0].as_py()
+        found = rows.sort_by([("doc_id", "ascending"), ("view", "ascending")]).to_pylist()
+        load = lambda rs, a, b: Rows([(np.frombuffer(r[a], np.int32), np.frombuffer(r[b], np.float32)) for r in rs])
+        known = [r for r in found if r["view"] is None]
+        views = {"text": load(known, "ti", "tv"), "meta": load(known, "mi", "mv")}
+        held = np.array([xxhash.xxh3_64_intdigest(str(r["doc_id"])) % 4 == 0 for r in known], bool)
+        taught = {}
+        for v, (a, b) in {"text": ("ti", "tv"), "meta": ("mi", "mv")}.items():
+            mine = [r for r in found if r["view"] == v]
+            taught[v] = (load(mine, a, b), np.array([r["label"] for r in mine], float))
+        m = fit_views(views, np.array([r["label"] for r in known], float), held, taught, models and models[name])
+        return pa.table([pa.array([name], pa.string()), pa.array([pickle.dumps(m)], pa.binary())], names=["model", "fitted"])
+
+    return run
+
+
+def _sure(models: dict[str, Model | None]):
+    """(doc_id, model, view, label) wherever one view is sure enough to teach the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, meta = _features(b)
+            out: list[list] = [[], [], [], []]
+            ids = b.column("doc_id").to_numpy()
+            for name, m in models.items():
+                for view, p in zip(("meta", "text"), m.views(text, meta) if m else (), strict=False):
+                    for label, sure in ((0, p <= 1 - SURE), (1, p >= SURE)):
+                        some = ids[sure].tolist()
+                        for c, v in zip(out, (some, [name] * len(some), [view] * len(some), [label] * len(some)), strict=True):
+                            c += v
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "model", "view", "label"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, good: dict[str, Column], labelled: int = LABELLED, rounds: int = ROUNDS, tmp: Scratch | None = None) -> dict[str, Model | None]:
+    """A model per entry of ``good``, fitted on at most ``labelled`` labelled documents, those with the smallest hashes of their ids."""
+    spark = docs.sparkSession
+    tmp = tmp or Scratch(spark)
+    texts = _views(docs).where("doc_id is not null")
+    marks = [F.min(c.cast("int")).alias(n) for n, c in good.items()]
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*marks)
+    known = tmp.keep(known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").where(F.coalesce(*good).isNotNull()), "labels")
+    sample = F.broadcast(known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7))).limit(labelled))  # at most ``labelled`` rows
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("label")) for n in good])).alias("p")
+    given = texts.join(sample, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_stored, f"doc_id long, {', '.join(f'`{n}` int' for n in good)}, {_STORED}")
+    given = tmp.keep(given, "sample").select("doc_id", "ti", "tv", "mi", "mv", pairs).select("doc_id", "p.model", "p.label", F.lit(None).cast("string").alias("view"), "ti", "tv", "mi", "mv").where("label is not null")
+    free = texts.join(known, "doc_id", "left_anti")
+    models: dict[str, Model | None] | None = None
+    rows = given
+    for r in range(rounds + 1):
+        fitted = rows.groupBy("model").applyInArrow(_fitter(models), "model string, fitted binary")
+        # a model without any label has no group
+        models = {n: None for n in good} | {x.model: pickle.loads(x.fitted) for x in tmp.keep(fitted, "models").collect()}  # noqa: S301
+        if r == rounds or not any(models.values()):
+            return models
+        sure = tmp.keep(free.mapInArrow(_sure(models), "doc_id long, model string, view string, label int").distinct(), "sure")
+        share = F.coalesce(*[F.when(F.col("model") == n, F.when(F.col("label") == 1, m.share).otherwise(1 - m.share)) for n, m in models.items() if m])
+        w = Window.partitionBy("model", "view", "label").orderBy(F.xxhash64(F.col("doc_id"), F.lit(r)), "doc_id")
+        most = CONFIDENT * (r + 1)
+        chosen = sure.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).where(F.col("k") <= F.greatest(F.lit(1.0), share * most)).drop("k")
+        chosen = tmp.keep(chosen, "pseudo-labels")
+        ids = F.broadcast(chosen.select("doc_id").distinct())  # at most four times ``most`` per model
+        taught = tmp.keep(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_stored, f"doc_id long, {_STORED}"), "pseudo-features")
+        rows = given.unionByName(chosen.join(taught, "doc_id").select(*given.columns))
+    return models
 
 
 def _views(docs: DataFrame) -> DataFrame:
@@ -291,9 +385,7 @@ def score(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            get = lambda c: b.column(c).cast(pa.string()).to_pylist() if c in b.schema.names else [None] * b.num_rows  # noqa: E731,B023
-            feats = [(text_features(t), meta_features(t, s, g)) for t, s, g in zip(_utf8(b.column("text").cast(pa.string())), get("source"), get("lang"), strict=True)]
-            text, meta = Rows([f[0] for f in feats]), Rows([f[1] for f in feats])
+            text, meta = _features(b)
             good = np.ones(b.num_rows, bool)
             cols = []
             for n in names:
@@ -315,5 +407,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     class has no labelled document, that model rejects nothing and its scores are null. Null counts as empty text. Equal
     rows get equal scores; columns of ``docs`` with the names of new ones stay, and the new ones get a number.
     """
-    models = {"quality": train(docs, labels, F.col("quality") == 1), "clean": train(docs, labels, F.col("toxic") == 0)}
-    return score(docs, models)
+    return score(docs, train(docs, labels, {"quality": F.col("quality") == 1, "clean": F.col("toxic") == 0}))

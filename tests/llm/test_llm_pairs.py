@@ -213,10 +213,10 @@ def test_index_is_read_again(spark, frame):
     assert exact(("y", "on the"), ("z", "cat mat")) == [("y", 3, 2)]
 
 
-def test_chunks_are_bounded(monkeypatch):
+def test_chunks_are_bounded():
     import pyarrow as pa
 
-    monkeypatch.setattr(contamination, "CHUNK_BYTES", 10)
-    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["aaaa", "bbbb", "c" * 30, "", "dd"])], names=["doc_id", "text"])
-    parts = [p.column("doc_id").to_pylist() for p in contamination._chunks(b)]
-    assert parts == [[1, 2], [3], [4, 5]]
+    from fleetlens.llm.common import slices
+
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["aaaa", "bbbb", "c" * 30, None, "dd"])], names=["doc_id", "text"])
+    assert [p.column("doc_id").to_pylist() for p in slices(b, "text", 10)] == [[1, 2], [3], [4, 5]]
