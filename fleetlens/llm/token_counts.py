@@ -1,6 +1,7 @@
 """Token counts without token ids: each distinct pre-token is counted once.
 
-1. Every task counts in how many of its documents a pre-token occurs; the sums give all distinct pre-tokens.
+1. Every task counts in how many of its documents a unit between spaces occurs, and splits each distinct unit into
+   pre-tokens once; the sums give all distinct pre-tokens and how widespread they are.
 2. The library counts the pieces of each distinct pre-token once.
 3. Per document, pre-token frequencies meet these counts. The most widespread pre-tokens (at most ``HEAD`` of them, a
    bounded table) are looked up where the document is read; every other pre-token travels as a row (document, pre-token,
@@ -13,22 +14,29 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetlens.llm.common import Scratch, hot_join, text_or_empty
+from fleetlens.llm.common import Scratch, hot_join, slices, split_words, text_or_empty
 
 HEAD = 400_000  # pre-tokens that every worker holds
 LIMIT = 1024
-FLUSH = 200_000  # distinct pre-tokens that a task gathers before it passes them on
+FLUSH = 200_000  # distinct units that a task gathers before it passes their pre-tokens on
 UNITS = 300_000  # remembered units of text
+LONG_UNIT = 64  # longer ones are not remembered
+PART = 4_000_000  # bytes of texts that are split at once
 
 #: The fixed pre-token pattern of the vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SPACE_RUN = re.compile(r"\s ")
+#: White space before a space, a space or a zero byte at either end or inside: the units between spaces are then not independent.
+_UNEVEN = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |^ | \z|\x00"
+_SPACES = np.arange(256).astype(np.uint8)
+_SPACES[32] = 0
 
 
 class Pieces:
@@ -38,7 +46,6 @@ class Pieces:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.units: dict[str, list[str]] = {}
         # the byte alphabet of the vocabulary: printable Latin-1 stands for itself, other bytes follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -52,29 +59,35 @@ class Pieces:
             special = len(parts) - 1
         out: Counter = Counter()
         for p in parts:
-            if not p:
-                continue
-            if _SPACE_RUN.search(p) or p[0] == " ":
-                out.update(PATTERN.findall(p))
-                continue
-            # a space after a character that is no white space always begins a pre-token: the units between are independent
-            head, *rest = p.split(" ")
-            out.update(PATTERN.findall(head))
-            known = self.units
-            if len(known) > UNITS:
-                known.clear()
-            for u, n in Counter(rest).items():
-                pieces = known.get(u)
-                if pieces is None:
-                    pieces = known[u] = PATTERN.findall(" " + u)
-                for x in pieces:
-                    out[x] += n
+            out.update(PATTERN.findall(p))
         return out, special
 
     def count(self, pre_token: str) -> int:
         return len(self.tok.model.tokenize(pre_token.encode().decode("latin-1").translate(self.alphabet)))
 
 
+    def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct units of texts; row, unit and number of each distinct pair; the rows that must be split as a whole.
+
+        A unit is what lies up to the next space, with the space before it. In other texts no pre-token crosses its ends.
+        """
+        whole = pc.match_substring_regex(texts, _UNEVEN)
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        found, number = split_words(pc.if_else(whole, pa.scalar("", texts.type), texts), _SPACES)
+        if not len(found):
+            none = np.empty(0, np.int64)
+            return [], none, none, none, np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        coded = found.dictionary_encode()
+        code = 2 * coded.indices.to_numpy().astype(np.int64) + 1
+        code[np.append(0, np.cumsum(number)[:-1])[number > 0]] -= 1  # the first unit has no space before it
+        size = 2 * len(coded.dictionary)
+        pairs, times = np.unique(np.repeat(np.arange(len(texts)), number) * size + code, return_counts=True)
+        used, unit = np.unique(pairs % size, return_inverse=True)
+        words = coded.dictionary.cast(pa.large_string() if pa.types.is_large_binary(coded.dictionary.type) else pa.string()).to_pylist()
+        return [(" " if c & 1 else "") + words[c >> 1] for c in used.tolist()], pairs // size, unit, times, np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -85,21 +98,29 @@ def _pieces(path: str) -> Pieces:
 
 
 def _spread(path: str):
-    """Pre-tokens and the documents of this task that hold them."""
+    """Pre-tokens and about how many documents of this task hold them."""
 
-    def flush(seen: Counter) -> pa.RecordBatch:
+    def flush(units: Counter, seen: Counter) -> pa.RecordBatch:
+        for u, n in units.items():
+            for x in PATTERN.findall(u):
+                seen[x] += n
         return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(path)
+        units: Counter = Counter()
         seen: Counter = Counter()
         for b in batches:
-            for t in b.column("text").to_pylist():
-                seen.update(p.frequencies(t)[0].keys())
-                if len(seen) > FLUSH:
-                    yield flush(seen)
-                    seen = Counter()
-        yield flush(seen)
+            for part in slices(b, "text", PART):
+                texts = part.column("text")
+                names, _, unit, _, whole = p.units(texts)
+                units.update(dict(zip(names, np.bincount(unit, minlength=len(names)).tolist(), strict=True)))
+                for i in whole.tolist():
+                    seen.update(p.frequencies(texts[i].as_py())[0].keys())
+                if len(units) + len(seen) > FLUSH:
+                    yield flush(units, seen)
+                    units, seen = Counter(), Counter()
+        yield flush(units, seen)
 
     return run
 
@@ -120,23 +141,45 @@ def _documents(path: str, head):
         from pyspark import TaskContext
 
         p, table = _pieces(path), head.value
-        row = TaskContext.get().partitionId() << 40
+        known: dict[str, tuple[int, tuple[str, ...]]] = {}  # pieces of a unit in the head, and its other pre-tokens
+        nothing: tuple[str, ...] = ()
+
+        def split(u: str) -> tuple[int, tuple[str, ...]]:
+            pieces = [(x, table.get(x)) for x in PATTERN.findall(u)]
+            out = (sum(n for _, n in pieces if n is not None), tuple(x for x, n in pieces if n is None) or nothing)
+            if len(u) <= LONG_UNIT:
+                known[u] = out
+            return out
+
+        start = TaskContext.get().partitionId() << 40
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                row += 1
-                freq, total = p.frequencies(t)
-                for x, f in freq.items():
-                    n = table.get(x)
-                    if n is None:
-                        for c, v in zip(cols, (row, None, None, x, f), strict=True):
-                            c.append(v)
-                    else:
-                        total += n * f
-                for c, v in zip(cols, (row, doc, len(t.encode()), None, total), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "n_bytes", "piece", "f"])
+            for part in slices(b, "text", PART):
+                if len(known) > UNITS:
+                    known.clear()
+                texts = part.column("text")
+                names, doc, unit, times, whole = p.units(texts)
+                found = [known.get(u) or split(u) for u in names]
+                total = np.bincount(doc, np.array([n for n, _ in found], float)[unit] * times if len(found) else None, minlength=len(texts)).astype(np.int64)
+                # other pre-tokens of each unit, then of each pair of document and unit
+                rare = [x for _, xs in found for x in xs]
+                many = np.array([len(xs) for _, xs in found], np.int64)
+                first = np.cumsum(many) - many
+                each = many[unit] if len(found) else np.empty(0, np.int64)
+                place = np.repeat(first[unit] - np.cumsum(each) + each, each) + np.arange(int(each.sum())) if len(found) else np.empty(0, np.int64)
+                rows, piece, f = [np.repeat(doc, each)], [pa.array(rare, pa.string()).take(pa.array(place))], [np.repeat(times, each)]
+                for i in whole.tolist():
+                    freq, special = p.frequencies(texts[i].as_py())
+                    total[i] += special + sum(n * table[x] for x, n in freq.items() if x in table)
+                    others = [x for x in freq if x not in table]
+                    rows.append(np.full(len(others), i))
+                    piece.append(pa.array(others, pa.string()))
+                    f.append(np.array([freq[x] for x in others], np.int64))
+                k = len(texts)
+                row, n = np.concatenate([np.arange(k), *rows]) + start, sum(len(x) for x in rows)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row), pa.concat_arrays([part.column("doc_id"), pa.nulls(n, pa.int64())]), pa.concat_arrays([pc.binary_length(texts).cast(pa.int64()), pa.nulls(n, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(k, pa.string()), *piece]), pa.array(np.concatenate([total, *f]).astype(np.int64))], names=["row", "doc_id", "n_bytes", "piece", "f"])
+                start += k
 
     return run
 
