@@ -7,7 +7,9 @@
    sketch that the fewest sketches retain. Only these enter the inverted lists: values that everybody retains stay out.
 3. First pass: every list links its members to one member, chosen at random for each list. That is linear in the number
    of list rows, and joins groups of thousands of near copies through many different members.
-4. The union-sketch estimate drops pairs that cannot be similar; the rest is compared on full sets.
+4. The union-sketch estimate drops pairs that cannot be similar; the rest is compared on full sets. First every document
+   with its smallest partner only: the other pairs matter where their ends are not one component by then. A text thus
+   travels about once, and not once for each list.
 5. Second pass: only lists whose members are not one component by then. Every member outside a list's largest component
    is compared on full sets, in blocks, with all members of other components in the lists that have the same largest
    component. Together both passes find every component; no list has a cap.
@@ -289,12 +291,23 @@ def _first_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFram
     both = hot_join(hot_join(pairs, side(some, "a", "sketch"), ["a"], "inner"), side(some, "b", "sketch"), ["b"], "inner")
     likely = tmp.keep(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a long, b long"), "pairs")
     tmp.drop(pairs, wanted)
-    wanted = tmp.keep(_ends(likely), "wanted")
-    some = tmp.keep(_texts(tmp, texts, reps, wanted), "texts")
-    both = hot_join(hot_join(likely, side(some, "a", "text"), ["a"], "inner"), side(some, "b", "text"), ["b"], "inner")
-    links = tmp.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width), "a long, b long"), "links")
-    tmp.drop(likely, wanted, some)
-    return links
+    star = tmp.keep(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-pairs")
+    links = _linked(tmp, texts, reps, star, width)
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    labels = components(tmp, links)
+    rest = hot_join(hot_join(likely.join(star, ["a", "b"], "left_anti"), label("a"), ["a"]), label("b"), ["b"])
+    rest = tmp.keep(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "other-pairs")
+    more = _linked(tmp, texts, reps, rest, width)
+    out = tmp.keep(links.unionByName(more), "links")
+    tmp.drop(likely, star, links, labels, rest, more)
+    return out
+
+
+def _linked(tmp: Scratch, texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs that are similar on full sets. The text of ``b`` joins first: in most pairs ``a`` is one of few hubs."""
+    side = lambda c, name: _texts(tmp, texts, reps, tmp.keep(pairs.select(F.col(c).alias("doc")).distinct(), "wanted")).select(F.col("doc").alias(c), F.col("text").alias(name))
+    both = hot_join(hot_join(pairs, side("b", "text_b"), ["b"], "inner"), side("a", "text_a"), ["a"], "inner")
+    return tmp.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width), "a long, b long"), "links")
 
 
 def _second_pass(tmp: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, labels: DataFrame, width: int) -> DataFrame:
