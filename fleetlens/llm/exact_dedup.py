@@ -122,28 +122,29 @@ def exact_duplicates(docs: DataFrame, snapshot: Column | None = None, tmp: Scrat
     Texts are equal if they are identical without the six ASCII white-space characters; null counts as empty, so null,
     empty and white-space texts form one group. Of a group the row with the most code points in its original text stays,
     then the smallest doc_id; null doc_ids come last. Rows that repeat a doc_id and length count in the group's size, and
-    all of them carry ``kept`` if theirs is the id that stays. ``snapshot`` gives the snapshot's number, from 0 up to
-    ``SNAPSHOTS - 1``; by default ids are dealt out evenly. Extra columns are ignored; empty gives empty.
+    all of them carry ``kept`` if theirs is the id that stays. ``snapshot`` gives the snapshot's number, any whole
+    one (null counts as 0); by default ids are dealt out evenly over SNAPSHOTS. Extra columns are ignored; empty gives empty.
     """
     spark = docs.sparkSession
     tmp = tmp or Scratch(spark)
     snap = F.pmod(F.xxhash64("doc_id"), F.lit(SNAPSHOTS)) if snapshot is None else snapshot
     text = text_or_empty()
     bare = normalised(text)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), snap.cast("int").alias("snapshot"), F.char_length(text).cast("long").alias("cp"),
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(snap.cast("int"), F.lit(0)).alias("snapshot"), F.char_length(text).cast("long").alias("cp"),
                        F.unhex(F.sha2(bare, 256)).alias("digest"), F.octet_length(bare).cast("long").alias("n_bytes"))
     base = tmp.keep(base, "digests")
     best = F.max(F.struct("cp", (-F.col("doc_id")).alias("minus_id"))).alias("best")
     groups = tmp.keep(base.groupBy("digest", "n_bytes", "snapshot").agg(F.count(F.lit(1)).alias("size"), best), "groups")
 
     # filters of the snapshots, one for each shard of digests
-    shards = max(1, -(-groups.count() // (SHARD_KEYS * SNAPSHOTS)))
+    k, first_snap, last_snap = groups.agg(F.count_distinct("snapshot"), F.min("snapshot"), F.max("snapshot")).first()
+    shards = max(1, -(-groups.count() // (SHARD_KEYS * max(1, k))))
     key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     keyed = groups.select("digest", "n_bytes", "snapshot", key.alias("key"), F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard"))
-    filters = keyed.where(F.col("snapshot") < SNAPSHOTS - 1).select("snapshot", "shard", "key").groupBy("snapshot", "shard").applyInArrow(
+    filters = keyed.where(F.col("snapshot") < F.lit(last_snap)).select("snapshot", "shard", "key").groupBy("snapshot", "shard").applyInArrow(
         _filters, "snapshot int, shard long, seed int, n long, prints binary")
     filters = tmp.keep(filters, "filters")
-    positive = filters.groupBy("shard").cogroup(keyed.where("snapshot > 0").groupBy("shard")).applyInArrow(
+    positive = filters.groupBy("shard").cogroup(keyed.where(F.col("snapshot") > F.lit(first_snap)).groupBy("shard")).applyInArrow(
         _screen, "digest binary, n_bytes long, snapshot int, earlier int")
 
     # exact buckets, then the bytes of one text for each digest and snapshot

@@ -1,9 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
-Tokens are summed over cells (source, language, topic). Raking multiplies the cells' weights in turn so that their sums
-over each source, language and topic reach the targets. A document of a cell is drawn with the probability that turns
-the cell's tokens into its weight of the wanted total; where that would exceed 1, all of the cell is taken and the rest
-is scaled up. The draw is a function of the doc_id, so that a rerun draws the same documents. Cells and marginals are
+Tokens are summed over cells (source, language, topic). Raking multiplies the tokens to draw from each cell in turn so that their sums
+over each source, language and topic reach the targets; no cell gives more than it has, so where one is full the next
+factors raise the others. The total is the wanted one, or less where a category has too few tokens for its target, and
+is lowered further until all marginals hold. A document of a cell is drawn with the cell's share of tokens to draw. The draw is a function of the doc_id, so that a rerun draws the same documents. Cells and marginals are
 tables of their own, whose size depends on the number of categories only.
 """
 
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import Scratch, hot_join, text_or_empty
 
 DIMS = ("source", "lang", "topic")
-ROUNDS = 8
-FILL_STEPS = 6
+ROUNDS = 12
+NEAR = 0.01  # relative difference from a target that is accepted
+ROOM = 0.95  # of the tokens of the category that is scarcest against its target
+LESS = 0.8  # the total is lowered to this while a marginal is missed
 #: Temperature of each target: shares grow as the tokens to this power.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 KEEP = 0.8  # share of all tokens that is drawn
@@ -41,32 +43,42 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return t.select(dim, (F.col("t") / F.lit(t.agg(F.sum("t")).first()[0] or 1.0)).alias("target"))
 
 
-def rake(tmp: Scratch, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``w``, whose sums over each dimension approach the targets; sums over all cells are 1.
+def rake(tmp: Scratch, cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds: int = ROUNDS) -> DataFrame:
+    """Cells with ``w``, the tokens to draw: at most the cell's, summing to about ``total`` times the target in each category.
 
-    Categories without tokens can get no weight: their target is left out and the others' shares hold among themselves.
-    A category that has tokens but no target gets weight 0.
+    Categories without tokens can give none: their target is left out and the others' shares hold among themselves.
+    A category that has tokens but no target gives none.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = tmp.keep(cells.withColumn("w", F.col("tokens") / F.lit(float(total))), "cells")
+    have = cells.agg(F.sum("tokens")).first()[0] or 1
+    now = tmp.keep(cells.withColumn("w", F.col("tokens") * F.lit(total / have)), "cells")
     for _ in range(rounds):
         step = now
         for dim, target in targets.items():
             sums = step.groupBy(dim).agg(F.sum("w").alias("s"))
-            factor = sums.join(target, dim, "left").select(dim, F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("s")).otherwise(F.lit(0.0)).alias("f"))
-            step = hot_join(step, factor, [dim], "inner").withColumn("w", F.col("w") * F.col("f")).drop("f")
+            factor = sums.join(target, dim, "left").select(dim, F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) * F.lit(total) / F.col("s")).otherwise(F.lit(0.0)).alias("f"))
+            step = hot_join(step, factor, [dim], "inner").withColumn("w", F.least(F.col("tokens").cast("double"), F.col("w") * F.col("f"))).drop("f")
         nxt = tmp.keep(step, "cells")
         tmp.drop(now)
         now = nxt
     return now
 
 
+def missed(raked: DataFrame, targets: dict[str, DataFrame], total: float) -> float:
+    """The largest relative difference of a category's sum from its target."""
+    far = 0.0
+    for dim, target in targets.items():
+        sums = raked.groupBy(dim).agg(F.sum("w").alias("s")).join(target, dim).where("target > 0")
+        far = max(far, sums.agg(F.max(F.abs(F.col("s") / (F.col("target") * total) - 1))).first()[0] or 0.0)
+    return far
+
+
 def mix(docs: DataFrame, n_tokens: Column | None = None, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS,
         carry: tuple[str, ...] = (), tmp: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source, lang, ...)``: doc_id, source, lang, topic, n_tokens, weight,
     probability, sampled, and the columns of ``carry``.
 
-    ``weight`` is the cell's raked share of the tokens, ``probability`` that of drawing the row. ``targets`` has a table
+    ``weight`` is the cell's share of the tokens to draw, ``probability`` that of drawing the row; expected sums over each
+    source, language and topic are within 1 % of the targets. At most the share ``keep`` of all tokens is drawn, less where the targets need it. ``targets`` has a table
     (category, target) per dimension, shares summing to 1; default: tempered shares of the corpus itself. Null source,
     language or topic form the category "(none)"; null text counts as empty. Rows without tokens have no weight and are
     not drawn. Equal doc_ids (all null ones, too) are drawn together. Extra columns are ignored; empty gives empty.
@@ -76,22 +88,28 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, topic: Column | None =
     text = text_or_empty()
     n = words(text) if n_tokens is None else n_tokens
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c)
-    base = docs.withColumn("_n", n.cast("long"))
+    own = next(c for c in ("_n", *(f"_n{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
+    base = docs.withColumn(own, n.cast("long"))
     rows = base.select(F.col("doc_id").cast("long").alias("doc_id"), name("source"), name("lang"),
-                       F.coalesce((form_topic(text, F.col("_n")) if topic is None else topic).cast("string"), F.lit(NONE)).alias("topic"), F.col("_n").alias("n_tokens"), *carry)
+                       F.coalesce((form_topic(text, F.col(own)) if topic is None else topic).cast("string"), F.lit(NONE)).alias("topic"), F.col(own).alias("n_tokens"), *carry)
     slim = tmp.keep(rows.drop(*carry), "rows") if not carry else rows
     cells = tmp.keep(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     if targets is None:
         targets = {d: tmp.keep(tempered(cells, d, POWERS[d]), f"target-{d}") for d in DIMS}
-    raked = rake(tmp, cells, targets, rounds)
-    # scale: the least one at which the capped cells and the scaled ones together reach the wanted total
-    total, weight = (x or 0 for x in raked.agg(F.sum("tokens"), F.sum("w")).first())
-    scale = keep * total / weight if weight else 0.0
-    for _ in range(FILL_STEPS):
-        full = F.col("w") * scale >= F.col("tokens")
-        taken, rest = (x or 0 for x in raked.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("w")))).first())
-        scale = (keep * total - taken) / rest if rest else scale
-    p = raked.select(*DIMS, F.col("w").alias("weight"), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * scale / F.col("tokens"))).otherwise(F.lit(0.0)).alias("p"))
+    sums = {d: cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0") for d in DIMS}
+    # targets among the categories that have tokens
+    present = {d: sums[d].join(targets[d], d).where("target > 0").select(d, "t", "target") for d in DIMS}
+    whole = {d: present[d].agg(F.sum("target")).first()[0] for d in DIMS}
+    present = {d: tmp.keep(present[d].withColumn("target", F.col("target") / F.lit(whole[d] or 1.0)), f"target-{d}") for d in DIMS}
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    scarce = min((present[d].agg(F.min(F.col("t") / F.col("target"))).first()[0] or 0.0) for d in DIMS)
+    wanted = min(keep * total, ROOM * scarce)
+    targets = {d: t.drop("t") for d, t in present.items()}
+    raked = rake(tmp, cells, targets, wanted, rounds)
+    while wanted >= 1 and missed(raked, targets, wanted) > NEAR:
+        wanted *= LESS
+        raked = rake(tmp, cells, targets, wanted, rounds)
+    p = raked.select(*DIMS, (F.col("w") / F.lit(wanted or 1.0)).alias("weight"), F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0)).alias("p"))
     p = tmp.keep(p, "probabilities")
     out = hot_join(slim, p, DIMS)
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
@@ -110,17 +128,14 @@ def oracle(rounds: int = ROUNDS, keep: float = KEEP) -> str:
          "c as materialized (select source, lang, topic, cast(sum(n_tokens) as bigint) as tokens from r group by all)"]
     for d in DIMS:
         q.append(f"t_{d} as materialized (select {d}, p / sum(p) over () as target from (select {d}, pow(cast(sum(tokens) as double), {POWERS[d]}) as p from c group by {d} having sum(tokens) > 0))")
-    q.append("w0 as materialized (select *, tokens / greatest(sum(tokens) over (), 1) as w from c)")
+    q.append(f"n as materialized (select least({keep} * (select sum(tokens) from c), {ROOM} * least({', '.join(f'(select min(t / target) from (select {d}, sum(tokens) as t from c group by {d}) join t_{d} using ({d}))' for d in DIMS)})) as total)")
+    q.append("w0 as materialized (select c.*, tokens * (total / greatest(sum(tokens) over (), 1)) as w from c, n)")
     k = 0
     for _ in range(rounds):
         for d in DIMS:
-            q.append(f"w{k + 1} as materialized (select x.source, x.lang, x.topic, x.tokens, x.w * case when s > 0 then coalesce(target, 0) / s else 0 end as w from w{k} x "
+            q.append(f"w{k + 1} as materialized (select x.source, x.lang, x.topic, x.tokens, least(x.tokens, x.w * case when s > 0 then coalesce(target, 0) * total / s else 0 end) as w from n, w{k} x "
                      f"join (select {d}, sum(w) as s from w{k} group by {d}) m on x.{d} = m.{d} left join t_{d} t on x.{d} = t.{d})")
             k += 1
-    q.append(f"s0 as materialized (select sum(tokens) as a, case when sum(w) > 0 then {keep} * sum(tokens) / sum(w) else 0 end as scale from w{k})")
-    for i in range(FILL_STEPS):
-        q.append(f"s{i + 1} as materialized (select a, case when o > 0 then ({keep} * a - f) / o else scale end as scale from (select a, scale, "
-                 f"sum(case when scale * w >= tokens then tokens else 0 end) as f, sum(case when scale * w >= tokens then 0 else w end) as o from w{k}, s{i} group by a, scale))")
-    q.append(f"p as materialized (select source, lang, topic, w, case when tokens > 0 then least(1.0, scale * w / tokens) else 0.0 end as p from w{k}, s{FILL_STEPS})")
+    q.append(f"p as materialized (select source, lang, topic, w / total as w, case when tokens > 0 then w / tokens else 0.0 end as p from w{k}, n)")
     return (f"with {', '.join(q)} select doc_id, r.source, r.lang, r.topic, cast(n_tokens as bigint) as n_tokens, round(w, 9) as weight, round(p, 9) as probability, "
             "cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12)) as bigint) / 281474976710656.0 < p as sampled from r join p on r.source = p.source and r.lang = p.lang and r.topic = p.topic")

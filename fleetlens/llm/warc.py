@@ -48,16 +48,23 @@ def write_archives(pages: DataFrame, folder: str, tmp: Scratch) -> None:
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("body"))
     digest, size = F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("size")
-    seen = tmp.keep(base.select("page_id", digest, size).where("size >= %d and page_id is not null" % LEAST_BYTES), "payloads")
-    first = seen.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    again = tmp.keep(hot_join(seen, first, ["digest", "size"], "inner").where("page_id > first").select("page_id", "digest", "first").distinct(), "revisits")
-    rows = base.select("page_id", "url", "body", digest, size)
+    seen = tmp.keep(base.select("page_id", "url", digest, size).where("size >= %d and page_id is not null" % LEAST_BYTES), "payloads")
+    first = seen.groupBy("digest", "size").agg(F.min(F.struct(F.col("page_id").alias("first"), F.col("url").alias("first_url"))).alias("f"), F.max("page_id").alias("last")).where("f.first < last")
+    first = first.select("digest", "size", "f.first", "f.first_url")
+    again = tmp.keep(hot_join(seen, first, ["digest", "size"], "inner").where("page_id > first").select("page_id", "digest", "first", "first_url").distinct(), "revisits")
+    rows = base.select("page_id", "url", "body", digest, size).withColumn("mark", F.xxhash64("page_id", "url", "digest"))
+    # rows that are equal in everything get a number each, which makes their record ids differ; the others are not shuffled
+    equal = tmp.keep(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("mark"), "equal-rows")
+    some = rows.join(sized(equal, 200_000), "mark", "left_semi").groupBy("page_id", "url", "digest", "size").agg(F.min("body").alias("body"), F.count(F.lit(1)).alias("n"))
+    some = some.select("page_id", "url", "body", "digest", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    rows = rows.join(sized(equal, 200_000), "mark", "left_anti").select("page_id", "url", "body", "digest", "size", F.lit(0).cast("long").alias("copy")).unionByName(some)
     # the revisits meet the pages by id, which is unique; pages are shuffled only if there are very many revisits
-    ids = again.select("page_id", F.col("digest").alias("of"), "first")
-    rows = rows.join(sized(ids, 200_000), (rows["page_id"] == ids["page_id"]) & (rows["digest"] == ids["of"]), "left").select(rows["page_id"], "url", "body", rows["digest"], "size", "first")
+    ids = again.select("page_id", F.col("digest").alias("of"), "first", "first_url")
+    rows = rows.join(sized(ids, 200_000), (rows["page_id"] == ids["page_id"]) & (rows["digest"] == ids["of"]), "left").select(rows["page_id"], "url", "body", rows["digest"], "size", "copy", "first", "first_url")
     uri = F.regexp_replace("url", "[\\x00-\\x20]", "%20")
-    own = _id("response", F.col("page_id"), F.col("digest"))
-    other = F.when(F.col("first").isNotNull(), _id("response", F.col("first"), F.col("digest")))
+    capture = [F.col(c) for c in ("page_id", "digest", "url", "copy")]
+    own = _id("response", *capture)
+    other = F.when(F.col("first").isNotNull(), _id("response", F.col("first"), F.col("digest"), F.col("first_url"), F.lit(0)))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
     common = [("WARC-Target-URI", uri), ("WARC-Date", F.lit(DATE))]
     response = _record(F.when(F.col("first").isNull(), "response").otherwise("revisit"), [
@@ -65,12 +72,12 @@ def write_archives(pages: DataFrame, folder: str, tmp: Scratch) -> None:
         ("WARC-Refers-To", other), ("WARC-Profile", F.when(F.col("first").isNotNull(), PROFILE))],
         "application/http;msgtype=response", F.concat(http, F.when(F.col("first").isNull(), F.col("body")).otherwise("")))
     ask = F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1" + CRLF + CRLF))
-    request = _record("request", [("WARC-Record-ID", _id("request", F.col("page_id"), F.col("digest"))), ("WARC-Concurrent-To", own), *common], "application/http;msgtype=request", ask)
+    request = _record("request", [("WARC-Record-ID", _id("request", *capture)), ("WARC-Concurrent-To", own), *common], "application/http;msgtype=request", ask)
     fields = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
-    metadata = _record("metadata", [("WARC-Record-ID", _id("metadata", F.col("page_id"), F.col("digest"))), ("WARC-Concurrent-To", own), *common], "application/warc-fields", fields)
+    metadata = _record("metadata", [("WARC-Record-ID", _id("metadata", *capture)), ("WARC-Concurrent-To", own), *common], "application/warc-fields", fields)
     out = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
     out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
-    tmp.drop(seen, again)
+    tmp.drop(seen, again, equal)
 
 
 def _parse(with_payload: bool):
@@ -141,8 +148,9 @@ def archive_pages(pages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` per page, from the archives written and read back.
 
     The payload is the html in UTF-8, null counts as empty. Payloads under 100 bytes are archived as often as they occur.
-    A revisit has the size and digest of the payload it refers to. Rows that repeat a page_id and a payload are one
-    capture and give one row; pages without an id are always responses. Extra columns are ignored; empty gives empty.
+    A revisit has the size and digest of the payload it refers to. Every row is a capture and gives a row, also one that
+    repeats an id or all of another row; rows that repeat the smallest page_id of a payload are all responses. Pages
+    without an id are always responses. Extra columns are ignored; empty gives empty.
     """
     spark = pages.sparkSession
     tmp = tmp or Scratch(spark)

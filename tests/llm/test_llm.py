@@ -89,6 +89,27 @@ def test_mixing_reaches_targets(spark, frame):
     assert abs(got - 0.3 * total) < 0.05 * total
 
 
+def test_mixing_meets_marginals_with_production_parameters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = mixing.mix(docs).toPandas()
+    expected = (out.probability * out.n_tokens).sum()
+    assert out.probability.max() <= 1 and expected > 0.4 * out.n_tokens.sum()
+    for dim, power in mixing.POWERS.items():
+        have = out.groupby(dim).n_tokens.sum().astype(float)
+        want = have[have > 0] ** power
+        got = (out.probability * out.n_tokens).groupby(out[dim]).sum() / expected
+        assert ((got[want.index] / (want / want.sum()) - 1).abs() < 0.01).all()
+
+
+def test_mixing_lowers_the_total_for_hard_targets(spark, frame):
+    rows = [(i, "w " * 10, "a", "x") for i in range(90)] + [(100 + i, "w " * 10, "b", "y") for i in range(90)] + [(200 + i, "w " * 10, "a", "y") for i in range(4)] + [(300 + i, "w " * 10, "b", "x") for i in range(4)]
+    t = {"source": spark.createDataFrame([("x", 0.9), ("y", 0.1), ("z", 1.0)], "source string, target double"), "lang": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "lang string, target double"),
+         "topic": spark.createDataFrame([("short", 1.0)], "topic string, target double")}
+    out = mixing.mix(docs_of(frame, rows), targets=t, rounds=30).collect()
+    total = sum(r.probability * r.n_tokens for r in out)
+    assert abs(sum(r.probability * r.n_tokens for r in out if r.source == "x") / total - 0.9) < 0.01 and abs(sum(r.probability * r.n_tokens for r in out if r.lang == "a") / total - 0.5) < 0.01
+
+
 def test_mixing_edges(frame):
     out = mixing.mix(docs_of(frame, EDGE)).collect()
     assert len(out) == len(EDGE)
@@ -138,6 +159,13 @@ def test_binary_fuse_filter():
         assert n < 1000 or len(f[2]) / 2 < 1.5 * n
 
 
+def test_exact_of_any_snapshot(frame):
+    rows = [(1, "same", 4), (2, "same", 5), (3, "s ame", 7), (4, "other", 5), (5, "same", None), (6, "other", -2)]
+    docs = frame(rows, "doc_id long, text string, snap int")
+    out = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs, snapshot=docs.snap).collect()}
+    assert out == {1: (3, 4), 2: (3, 4), 3: (3, 4), 5: (3, 4), 4: (4, 2), 6: (4, 2)}
+
+
 # ---- token counts
 def awkward_texts():
     rng = random.Random(4)
@@ -345,7 +373,9 @@ def test_warc_round_trip(spark, frame, tmp_path):
     out = Counter(map(tuple, warc.archive_pages(pages).collect()))
     dig = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     row = lambda i, t, to=None: (i, len((t or "").encode()), dig(t), "revisit" if to is not None else "response", to)
-    assert out == Counter([row(1, big), row(2, big, 1), row(3, ""), row(4, ""), row(5, "x" * 99), row(6, "x" * 99), row(7, "y" * 100), row(None, "y" * 100), row(8, "y" * 100, 7), row(8, "z" * 200), row(9, LONG)])
+    assert out == Counter([row(1, big), row(2, big, 1), row(3, ""), row(4, ""), row(5, "x" * 99), row(6, "x" * 99), row(7, "y" * 100), row(None, "y" * 100), row(8, "y" * 100, 7), row(8, "y" * 100, 7), row(8, "z" * 200), row(9, LONG)])
+    twice = frame([(None, "u", "q" * 200), (None, "u", "q" * 200), (4, "u", "w" * 200), (4, "v", "w" * 200), (4, "v", "w" * 200), (5, "u", "w" * 200)], "page_id long, url string, html string", "size long")
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.archive_pages(twice).collect()) == [(0, "response", None)] * 2 + [(4, "response", None)] * 3 + [(5, "revisit", 4)]
     warc.write_archives(pages, str(tmp_path / "w"), Scratch(spark))
     got = {(r.metadata.page_id, r.response.kind): r for r in warc.captures(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
     assert bytes(got[1, "response"].response.payload).decode() == big and got[1, "response"].request.uri == "http://a/%20b"
@@ -458,6 +488,14 @@ def test_pipeline_edges(spark, frame, stage):
     import corpus_pipeline
 
     f = corpus_pipeline.STAGES[stage][1]
-    out = f(spark, docs_of(frame, EDGE), SF)
-    assert out.count() > 0
+    docs = docs_of(frame, EDGE)
+    out = f(spark, docs, SF)
+    rows = out.collect()
+    assert rows
+    if stage in (1, 2):
+        bare = Counter(re.sub("[\x20\x09-\x0d]+", "" if stage == 1 else " ", r.text or "").strip() for r in rows)
+        assert out.columns == docs.columns
+        assert all(n == 1 for t, n in bare.items() if t)  # one row of each text, whatever the ids
+        if stage == 1:
+            assert bare[""] == 1 and set(bare) == {re.sub("[\x20\x09-\x0d]", "", r[1] or "") for r in EDGE}
     assert f(spark, docs_of(frame, []), SF).count() == 0
