@@ -35,6 +35,25 @@ def physical_ifaces(samples: DataFrame, inventory: DataFrame) -> DataFrame:
                         ["server_id", "iface_id"], "left_semi")
 
 
+def _active(samples: DataFrame, inventory: DataFrame, devices: str, keys: DataFrame, dim: str) -> DataFrame:
+    hosts = inventory.groupBy("server_id").agg(F.max(F.coalesce(F.size(devices), F.lit(0)) > 0).alias("_listed"))
+    known = keys.select("server_id", dim).distinct().withColumn("_known", F.lit(True))
+    j = samples.join(hosts, "server_id").join(known, ["server_id", dim], "left")
+    return j.filter(~F.col("_listed") | F.col("_known")).select(*samples.columns)
+
+
+def active_disks(samples: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Samples for a host's activity: those of listed disks; all of a host whose inventory lists no device."""
+    return _active(samples, inventory, "block_devices", exploded_disks(inventory), "device_id")
+
+
+def active_ifaces(samples: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The same for interfaces, which are also known by ``name:<name>``."""
+    n = inventory.select("server_id", F.explode("net_interfaces").alias("n")).filter(F.col("n.kind").isin(PHYSICAL_KINDS))
+    keys = F.array(F.concat(F.col("n.id_type"), F.lit(":"), F.col("n.id")), F.concat(F.lit("name:"), F.col("n.name")))
+    return _active(samples, inventory, "net_interfaces", n.select("server_id", F.explode(F.array_compact(keys)).alias("iface_id")), "iface_id")
+
+
 def display_names(exploded: DataFrame, dim: str) -> DataFrame:
     """First name per (host, dimension key), in inventory order."""
     return exploded.groupBy("server_id", dim).agg(F.min_by("name", "pos").alias("display_name"))

@@ -107,20 +107,32 @@ def storage_tree(inventory: DataFrame, latest_mounts: DataFrame | None = None) -
 
     The devices of a host are one array, so each node climbs to its root inside the row; the length of the
     array bounds the steps, which also ends cycles.
-    An array listed under several parents lives under the first; its other entries are ``raid_member`` stubs.
+    An array listed under several parents lives where a walk down from the first root reaches it first, whatever the
+    order of the list; its other entries are ``raid_member`` stubs.
     """
-    nodes = inventory.select(HOST, "lvm_vgs", "block_devices", F.posexplode("block_devices").alias("pos", "d"))
-    nodes = nodes.select(HOST, "pos", "lvm_vgs", "block_devices", "d.*")
-    # climb: the parent entry is the first device with the parent's id
+    # the walk meets the entries in the order of their paths, the positions from a root down: all paths grow one step a
+    # round, from the least path of the parent's entries; roots are the disks, then entries without a parent in the list
+    root = "x.parent is null or not exists(block_devices, y -> y.id = x.parent)"
+    start = f"transform(block_devices, (x, i) -> if({root}, array(if(x.type = 'disk', 0, 1), i), cast(null as array<int>)))"
+    grow = ("transform(block_devices, (x, i) -> coalesce(if(" + root + ", acc[i], null), concat(array_min(filter(transform(block_devices, (y, j) -> "
+            "if(y.id = x.parent and j <> i, acc[j], null)), p -> p is not null)), array(i))))")
+    paths = F.expr(f"aggregate(sequence(1, greatest(1, size(block_devices))), {start}, (acc, k) -> {grow})")
+    nodes = inventory.select(HOST, "lvm_vgs", "block_devices").withColumn("paths", paths)
+    # the home of every entry's id: the entry with the least path, of entries that no root reaches the first one
+    home = ("transform(block_devices, (x, i) -> array_min(filter(transform(block_devices, (y, j) -> if(y.id = x.id, named_struct('far', paths[j] is null, 'path', paths[j], 'pos', j), null)), "
+            "p -> p is not null)).pos)")
+    nodes = nodes.withColumn("homes", F.expr(home)).select(HOST, "lvm_vgs", "block_devices", "homes", F.posexplode("block_devices").alias("pos", "d"))
+    nodes = nodes.select(HOST, "pos", "lvm_vgs", "block_devices", "homes", "d.*")
+    # climb: the parent entry is the home of the parent's id
     step = ("named_struct('up', p.parent, 'root', if(p.type = 'disk', p.name, acc.root), 'path', concat(p.name, '/', acc.path), "
             "'depth', acc.depth + 1)")
     climb = F.expr(
         "aggregate(sequence(1, size(block_devices)), named_struct('up', parent, 'root', if(type = 'disk', name, cast(null as string)), "
-        "'path', name, 'depth', 0), (acc, i) -> coalesce(get(transform(filter(block_devices, x -> x.id = acc.up), "
+        "'path', name, 'depth', 0), (acc, i) -> coalesce(get(transform(filter(block_devices, (x, j) -> x.id = acc.up and homes[j] = j), "
         f"p -> {step}), 0), named_struct('up', cast(null as string), 'root', acc.root, 'path', acc.path, 'depth', acc.depth)))")
     nodes = nodes.withColumn("c", climb).withColumns({
         "root_disk": F.col("c.root"), "path": F.col("c.path"), "depth": F.col("c.depth"),
-        "first_pos": F.expr("get(filter(transform(block_devices, (x, i) -> if(x.id = id, i, null)), i -> i is not null), 0)")})
+        "first_pos": F.col("homes")[F.col("pos")]})
     stub = F.col("id").isNotNull() & (F.col("pos") != F.col("first_pos"))
     kids = F.expr("aggregate(filter(block_devices, x -> x.parent = id), 0L, (a, x) -> a + coalesce(x.size_bytes, 0L))")
     nodes = nodes.withColumns({"kind": F.when(stub & F.col("type").isin(SPANNING_KINDS), "raid_member").otherwise(F.col("type")),

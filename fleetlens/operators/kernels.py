@@ -323,7 +323,10 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float) -
     rng = rng.select(
         *keys, (F.col("_lo") if p <= eps else F.when(small, F.col("_lo")).otherwise(F.col("_q")[0])).alias("_from"),
         (F.col("_hi") if p >= 1 - eps else F.when(small, F.col("_hi")).otherwise(F.col("_q")[1])).alias("_to"), pos.alias("_pos"))
-    near = src.join(rng, keys).filter(F.col("_v") <= F.col("_to"))
+    # null keys form groups too
+    rng = rng.toDF(*[f"_k{i}" for i in range(len(keys))], "_from", "_to", "_pos")
+    same = [src[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    near = (src.join(rng, same) if keys else src.crossJoin(rng)).filter(F.col("_v") <= F.col("_to"))
     # everything below is one group, NULL, which comes first in the order
     counts = near.groupBy(*keys, F.when(F.col("_v") >= F.col("_from"), F.col("_v")).alias("_w")).agg(F.count("*").alias("_c"), F.first("_pos").alias("_pos"))
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_w")).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from fleetlens.fleet import Fleet
 from fleetlens.functions import rules
 from fleetlens.functions import thresholds as T
 from fleetlens.functions.exprs import cpu_total, data_volume, elapsed_seconds, not_future, ratio, usage_pct
-from fleetlens.operators.devices import physical_disks, physical_ifaces
+from fleetlens.operators.devices import active_disks, active_ifaces
 from fleetlens.operators.kernels import latest_one, pair_pivot
 
 HOST, TS = "server_id", "collected_at"
@@ -86,14 +86,14 @@ def core_snapshot(cpu_core: DataFrame) -> DataFrame:
 
 
 def disk_snapshot(disk_io: DataFrame, inventory: DataFrame) -> DataFrame:
-    p = pair_pivot(physical_disks(disk_io, inventory), [HOST, "device_id"], TS,
+    p = pair_pivot(active_disks(disk_io, inventory), [HOST, "device_id"], TS,
                    ["ops_read", "ops_write", "io_read_bytes", "io_write_bytes"])
     return p.select(HOST, "device_id", per_second("ops_read").alias("read_iops"), per_second("ops_write").alias("write_iops"),
                     per_second("io_read_bytes", 1024.0).alias("read_kbps"), per_second("io_write_bytes", 1024.0).alias("write_kbps"))
 
 
 def net_snapshot(net_io: DataFrame, inventory: DataFrame) -> DataFrame:
-    p = pair_pivot(physical_ifaces(net_io, inventory), [HOST, "iface_id"], TS,
+    p = pair_pivot(active_ifaces(net_io, inventory), [HOST, "iface_id"], TS,
                    ["rx_bytes", "tx_bytes", "rx_packets", "tx_packets"])
     return p.select(HOST, "iface_id", per_second("rx_bytes", 1024.0).alias("rx_kbps"), per_second("tx_bytes", 1024.0).alias("tx_kbps"),
                     per_second("rx_packets").alias("rx_pps"), per_second("tx_packets").alias("tx_pps"))
@@ -145,7 +145,7 @@ def latest_saturation(fleet: Fleet, since: Column, anchor: Column) -> DataFrame:
         HOST, "device_id", TS, (F.coalesce("op_read_time_s", F.lit(0.0)) + F.coalesce("op_write_time_s", F.lit(0.0))).alias("t"),
         (F.coalesce("ops_read", F.lit(0)) + F.coalesce("ops_write", F.lit(0))).alias("ops"),
         F.coalesce("io_time_s", F.lit(0.0)).alias("io"), "pending_ops")
-    d = pair_pivot(physical_disks(disk, fleet["inventory"]), [HOST, "device_id"], TS, ["t", "ops", "io", "pending_ops"])
+    d = pair_pivot(active_disks(disk, fleet["inventory"]), [HOST, "device_id"], TS, ["t", "ops", "io", "pending_ops"])
     d = d.withColumns({x: F.col(f"cur_{x}") - F.col(f"prv_{x}") for x in ("t", "ops", "io")})
     sound = (F.col("ops") > 0) & (F.col("pair_dt") > 0) & (F.col("io") >= 0) & (F.col("io") <= F.col("pair_dt"))
     slow = sound & (F.col("t") >= 0) & (F.col("io") / F.col("pair_dt") >= T.DISK_BUSY_MIN)

@@ -11,13 +11,13 @@ CATALOG_SCHEMA = "product string, pos int, cycle string, build string, support d
 COMMON_RELEASES = [
     ("ubuntu", "22.04", None, "2024-09-30", "2027-04-01", "2032-04-09"),
     ("ubuntu", "20.04", None, "2022-10-01", "2025-05-31", "2030-04-02"),
-    ("ubuntu", "18.04", None, "2020-09-30", "2023-05-31", "2028-04-01"),
+    ("ubuntu", "18.04", None, "2023-05-31", "2023-05-31", "2028-04-01"),
     ("debian", "12", None, None, "2026-07-11", "2028-06-30"),
     ("debian", "11", None, None, "2024-08-14", "2026-08-31"),
     ("debian", "10", None, None, "2022-09-10", "2024-06-30"),
-    ("rhel", "9", None, "2027-05-31", "2032-05-31", "2035-05-31"),
-    ("rhel", "8", None, "2024-05-31", "2029-05-31", "2032-05-31"),
-    ("rhel", "7", None, "2019-08-06", "2024-06-30", "2028-06-30"),
+    ("rhel", "9", None, "2027-05-31", "2032-05-31", "2036-05-31"),
+    ("rhel", "8", None, "2024-05-31", "2029-05-31", "2033-05-31"),
+    ("rhel", "7", None, "2019-08-06", "2024-06-30", "2029-05-31"),
     ("rhel", "6", None, "2016-05-10", "2020-11-30", "2024-06-30"),
     ("rocky-linux", "9", None, "2027-05-31", "2032-05-31", None),
     ("rocky-linux", "8", None, "2024-05-31", "2029-05-31", None),
@@ -25,7 +25,7 @@ COMMON_RELEASES = [
     ("windows-server", "2022", "20348", "2026-10-13", "2031-10-14", None),
     ("windows-server", "2019", "17763", "2024-01-09", "2029-01-09", None),
     ("windows-server", "1809-sac", "17763", "2020-11-10", "2020-11-10", None),
-    ("windows-server", "2016", "14393", "2022-01-11", "2027-01-12", None),
+    ("windows-server", "2016", "14393", "2022-01-11", "2027-01-12", "2030-01-12"),
     ("windows-server", "2012-r2", "9600", "2018-10-09", "2023-10-10", "2026-10-13"),
 ]
 
@@ -44,3 +44,11 @@ def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select("product", F.posexplode("entries").alias("pos", "e"))
     return rows.select("product", "pos", "e.cycle", "e.build", F.to_date("e.support").alias("support"),
                        F.to_date("e.eol").alias("eol"), F.to_date("e.extendedSupport").alias("extended"))
+
+
+def save_catalog(catalog: DataFrame, path: str) -> None:
+    """Writes a catalog in the form that ``load_catalog`` reads: one JSON object, a list of releases for each product."""
+    entry = F.struct("pos", F.struct("cycle", "build", *[F.col(a).cast("string").alias(b) for a, b in (("support", "support"), ("eol", "eol"), ("extended", "extendedSupport"))]).alias("e"))
+    lists = catalog.groupBy("product").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("entries"))
+    whole = lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("product", "entries")))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)

@@ -9,7 +9,8 @@ from fleetlens.functions.exprs import data_volume, timestamp
 from fleetlens.operators import devices as D
 from fleetlens.operators import inventory as I
 from fleetlens.operators.kernels import latest_one
-from fleetlens.sources.catalogs import COMMON_RELEASES, common_releases
+from fleetlens.sources.catalogs import COMMON_RELEASES, common_releases, load_catalog, save_catalog
+from fleetlens.streaming.streams import work_folder
 from fleetlens.workload.registry import Context, library, query
 from fleetlens.workload.q_trends import END, VOLUME
 
@@ -154,8 +155,10 @@ query("load_catalog", "select product, count(*) as releases, cast(max(eol) as va
 
 
 def _catalog_use(c: Context):
-    """Hosts per catalog product (the catalog is joined on size-checked plans: AQE picks broadcast below its limit)."""
-    cat = common_releases(c.spark)
+    """Hosts per product of a catalog that is read from its file."""
+    path = c.once("catalog-file", lambda: work_folder(c.spark, "catalog"))
+    save_catalog(common_releases(c.spark), path)
+    cat = load_catalog(c.spark, path)
     inv = c["inventory"].select(HOST, "os_id", "os_version", "kernel_version", I.distro().alias("product"))
     j = inv.join(cat, "product").filter(F.expr(
         "if(os_id = 'windows', build = split_part(kernel_version, '.', 1), os_version = cycle or startswith(os_version, concat(cycle, '.')))"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from fleetlens.fleet import Fleet
 from fleetlens.functions import rules
+from fleetlens.functions.exprs import timestamp
 from fleetlens.operators import reports as P
 from fleetlens.operators import rollups as R
+from fleetlens.sources.rollup_store import ROLLUPS, RollupStore
+from fleetlens.streaming.streams import work_folder
 from fleetlens.workload.registry import Context, library, query
 from fleetlens.workload.q_trends import END, START, VOLUME
 
@@ -374,3 +380,57 @@ query("assess_mount", """
                  coalesce(byte_runway_days < 30, false) or (byte_runway_days is null and used_pct >= 85) as f from mount_calc) m""", ("mount_calc",))(
     lambda c: rules.assess_mount(P.mount_capacity(rolls(c).filesystem_history)).select(
         HOST, "mountpoint", "current_gib", "recommended_gib", "action", "estimate_quality"))
+
+
+# --- stored rollups -----------------------------------------------------------------------------------------------
+
+#: Days at which the stored tables are refreshed; samples after the last one are the tail.
+_REFRESHED = ("2024-01-12", "2024-01-22", "2024-01-29")
+
+
+def _arrived(step: int):
+    """Whether a sample has come by a refresh: those before its day but for late ones, a tenth that comes one refresh later."""
+    if step < 0:
+        return F.lit(False)
+    late = F.pmod(F.xxhash64(HOST, "collected_at"), F.lit(10)) == 0
+    shown = [timestamp(f"{d} 00:00:00") for d in ("1970-01-01", *_REFRESHED, "2100-01-01")]
+    return (F.col("collected_at") < shown[step]) | ((F.col("collected_at") < shown[step + 1]) & ~late)
+
+
+def _store(c: Context) -> RollupStore:
+    """The bucket tables after three refreshes, each but the first with late samples of days that were materialised before,
+    and a last one for the late samples that come with the tail."""
+    def build() -> RollupStore:
+        store = RollupStore(c.spark, work_folder(c.spark, "rollups"), c.width)
+        for step, day in enumerate((*_REFRESHED, _REFRESHED[-1])):
+            last = step == len(_REFRESHED)
+            now = F.lit(True) if last else _arrived(step)
+            if step:
+                for samples in {s for s, _ in ROLLUPS.values()}:
+                    store.arrived(c[samples].where(now & ~_arrived(step - 1)), samples, step)
+            store.refresh(Fleet(lambda n, now=now: c[n].where(now)), dt.date.fromisoformat(day))
+        return store
+
+    return c.once("rollup-store", build)
+
+
+def stored_rolls(c: Context) -> P.Rollups:
+    return P.Rollups(c.fleet, c.start, c.end, c.width, _store(c).tables(c.fleet))
+
+
+query("rollup_refresh_host", "select * replace (mem_available_avg / 1073741824 as mem_available_avg, mem_limit_avg / 1073741824 as mem_limit_avg) from host_roll",
+      ("host_roll",), _HOST_FLOATS)(lambda c: _gib(_store(c).table(c.fleet, "host"), "mem_available_avg", "mem_limit_avg"))
+query("rollup_refresh_filesystem", "select * from fs_roll", ("fs_roll",), ("used_pct_max", "used_pct_avg", "inode_pct_max"))(
+    lambda c: _store(c).table(c.fleet, "filesystem"))
+query("rollup_refresh_disk", "select * from disk_roll", ("disk_roll",), tuple(f"d_{c}" for c in _DD) + (
+    "td_io_time_s", "td_ops_read", "pending_avg", "pending_max"))(lambda c: _store(c).table(c.fleet, "disk"))
+query("report_aggregate_stored", f"select {', '.join(REPORT_COLS)} from report", ("report",), REPORT_FLOATS)(
+    lambda c: P.report_aggregate(c.fleet, stored_rolls(c), 14.0).select(*REPORT_COLS))
+query("mount_capacity_stored", """
+    select server_id, mountpoint, total_bytes, inode_used_pct, used_pct, byte_runway_days, inode_runway_days, proj_30d_pct,
+           cast(ceil(target_raw) as bigint) as target_bytes from mount_calc""", ("mount_calc",),
+      ("inode_used_pct", "used_pct", "byte_runway_days", "inode_runway_days", "proj_30d_pct"))(
+    lambda c: P.mount_capacity(stored_rolls(c).filesystem_history).select(
+        HOST, "mountpoint", "total_bytes", "inode_used_pct", "used_pct", "byte_runway_days", "inode_runway_days", "proj_30d_pct", "target_bytes"))
+query("environment_utilization_stored", "select * from env_util", ("env_util",), ("cpu_avg", "mem_avg", "cpu_p95", "mem_p95", "disk_avg"))(
+    lambda c: P.environment_utilization(stored_rolls(c)))
