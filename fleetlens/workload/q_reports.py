@@ -385,7 +385,7 @@ query("assess_mount", """
 # --- stored rollups -----------------------------------------------------------------------------------------------
 
 #: Days at which the stored tables are refreshed; samples after the last one are the tail.
-_REFRESHED = ("2024-01-12", "2024-01-22", "2024-01-29")
+_REFRESHED = ("2024-01-15", "2024-01-29")
 
 
 def _arrived(step: int):
