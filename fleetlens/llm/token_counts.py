@@ -26,19 +26,30 @@ from fleetlens.llm.common import Scratch, hot_join, slices, split_words, text_or
 
 HEAD = 400_000  # pre-tokens that every worker holds
 LIMIT = 1024
-FLUSH = 200_000  # distinct units that a task gathers before it passes their pre-tokens on
-UNITS = 300_000  # remembered units of text
+FLUSH = 600_000  # distinct units that a task gathers before it passes their pre-tokens on
+UNITS = 500_000  # remembered units of text
 LONG_UNIT = 64  # longer ones are not remembered
-PART = 4_000_000  # bytes of texts that are split at once
+PART = 8_000_000  # bytes of texts that are split at once
 
 #: The fixed pre-token pattern of the vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SIGNS = frozenset(".,;:!?")
 #: White space before a space, a space or a zero byte at either end or inside: the units between spaces are then not independent.
 _UNEVEN = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |^ | \z|\x00"
 _SPACES = np.arange(256).astype(np.uint8)
 _SPACES[32] = 0
 
 
+def pre_tokens(unit: str) -> list[str]:
+    """What the pattern finds in a unit; letters alone, and letters before one sign, need no pattern."""
+    body = unit[1:] if unit[:1] == " " else unit
+    if body.isalpha():
+        return [unit]
+    if body[-1:] in SIGNS and body[:-1].isalpha():
+        return [unit[:-1], unit[-1]]
+    return PATTERN.findall(unit)
+
+
 class Pieces:
     """Frequencies of pre-tokens in a text, and pieces in a pre-token, as the tokenizer file defines them."""
 
@@ -83,7 +94,11 @@ class Pieces:
         code[np.append(0, np.cumsum(number)[:-1])[number > 0]] -= 1  # the first unit has no space before it
         size = 2 * len(coded.dictionary)
         pairs, times = np.unique(np.repeat(np.arange(len(texts)), number) * size + code, return_counts=True)
-        used, unit = np.unique(pairs % size, return_inverse=True)
+        code = pairs % size
+        here = np.zeros(size, bool)
+        here[code] = True
+        used = np.flatnonzero(here)
+        unit = (np.cumsum(here) - 1)[code]
         words = coded.dictionary.cast(pa.large_string() if pa.types.is_large_binary(coded.dictionary.type) else pa.string()).to_pylist()
         return [(" " if c & 1 else "") + words[c >> 1] for c in used.tolist()], pairs // size, unit, times, np.flatnonzero(whole.to_numpy(zero_copy_only=False))
 
@@ -102,7 +117,7 @@ def _spread(path: str):
 
     def flush(units: Counter, seen: Counter) -> pa.RecordBatch:
         for u, n in units.items():
-            for x in PATTERN.findall(u):
+            for x in pre_tokens(u):
                 seen[x] += n
         return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "docs"])
 
@@ -145,7 +160,7 @@ def _documents(path: str, head):
         nothing: tuple[str, ...] = ()
 
         def split(u: str) -> tuple[int, tuple[str, ...]]:
-            pieces = [(x, table.get(x)) for x in PATTERN.findall(u)]
+            pieces = [(x, table.get(x)) for x in pre_tokens(u)]
             out = (sum(n for _, n in pieces if n is not None), tuple(x for x, n in pieces if n is None) or nothing)
             if len(u) <= LONG_UNIT:
                 known[u] = out
