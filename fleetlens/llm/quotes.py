@@ -22,7 +22,8 @@ def _normal(passage: Column) -> Column:
 
 
 def passages(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages`` with ``passages``, an array of (level, body) in the order of the text, without blank ones."""
+    """``messages`` with ``passages``, an array of (level, body) in the order of the text, without blank ones and without
+    the line "... wrote:" before a quotation. Null text counts as empty and has none."""
     line = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\r\n|\r|\n")
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, LEVEL, 0), "[^>]", ""))
     body = lambda x: F.regexp_replace(x, LEVEL + " ?", "")
@@ -33,8 +34,11 @@ def passages(messages: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_starts", F.concat(begins, F.array(n + 1)))
     cut = F.transform(F.sequence(F.lit(1), F.size("_starts") - 1), lambda k: F.slice("_lines", F.element_at("_starts", k), F.element_at("_starts", k + 1) - F.element_at("_starts", k)))
     full = F.transform(cut, lambda p: F.struct(p[0]["level"].alias("level"), F.array_join(F.transform(p, lambda x: x["body"]), "\n").alias("body"), p[0]["blank"].alias("blank")))
-    own = F.filter(full, lambda p: ~p["blank"] & ~((p["level"] == 0) & p["body"].rlike(ATTRIBUTION)))
-    return out.withColumn("passages", F.transform(own, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body")))).drop("_lines", "_starts")
+    said = F.filter(full, lambda p: ~p["blank"])
+    out = out.withColumn("_said", F.transform(said, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body"))))
+    # the line that introduces a quotation goes with it; the same words before own text stay
+    own = F.filter("_said", lambda p, i: ~((p["level"] == 0) & p["body"].rlike(ATTRIBUTION) & F.coalesce(F.get("_said", i + 1)["level"] > 0, F.lit(False))))
+    return out.withColumn("passages", own).drop("_lines", "_starts", "_said")
 
 
 def _threads(tmp: Scratch, per: DataFrame) -> DataFrame:
@@ -56,8 +60,8 @@ def link_quotes(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     clean_text: own passages, separated by a blank line; n_quotes: quoted passages of any level; n_linked: those whose
     origin is found, the first message of the conversation (of a smaller turn) or else the first of all other ones (by
     conv_id, turn) that has the passage as its own; parent_turn: the largest turn of the conversation that a level-1
-    passage comes from; root_turn and reply_depth follow the parents; reply_order numbers nothing twice: it is root_turn
-    and turn, so that sorting by (conv_id, root_turn, turn) gives each thread with replies after their parents.
+    passage comes from; root_turn and reply_depth follow the parents, so that sorting by (conv_id, root_turn, turn) gives
+    each thread with replies after their parents.
     Null text counts as empty. Rows that repeat a (conv_id, turn) are one message: their quotes count together, each row
     is returned. Rows without conv_id or turn link nothing. Extra columns are ignored; empty gives empty.
     """
@@ -97,6 +101,8 @@ def quote_origins(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     as a run of lines of one: the first message of a smaller turn of the conversation, or else the first of the other
     conversations. If no message holds the whole passage, the lines are looked up one by one, and the message that is
     the origin of most of them is taken, one of the conversation before others. Rows without conv_id or turn link nothing.
+    Null and empty texts have no passages; rows that repeat a (conv_id, turn) each give their passages. Extra columns are
+    ignored; empty gives empty.
     """
     tmp = tmp or Scratch(messages.sparkSession)
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text").withColumn("msg", F.monotonically_increasing_id())

@@ -55,6 +55,12 @@ def test_quotes_known_answer(frame):
     assert quotes.link_quotes(frame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_attribution_goes_only_with_a_quotation(frame):
+    rows = [(1, 0, "a", "This is what Ann wrote:\n\nOne."), (1, 1, "b", "Ann wrote:\n\n> One.\nBob wrote:"), (1, 2, "c", None), (1, 3, "c", "")]
+    out = {r.turn: r.clean_text for r in quotes.link_quotes(frame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {0: "This is what Ann wrote:\n\nOne.", 1: "Bob wrote:", 2: "", 3: ""}
+
+
 def test_quote_origins(frame):
     rows = [(1, 0, "One.\nTwo.\nThree.\n\nFour."), (1, 1, "> One.\nYes."), (1, 2, "> > two.\n> > THREE.\n\n> Yes."), (1, 3, "> Two.\n> never\n\n> Four."), (2, 7, "> Three.\n\n>> Two.\n>> Three.\n> nobody"), (None, 1, "> One."), (3, 0, "Two.")]
     out = {(r.conv_id, r.turn, r.passage_no): r for r in quotes.quote_origins(frame(rows, "conv_id long, turn long, text string")).collect()}
