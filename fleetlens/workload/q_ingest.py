@@ -234,7 +234,20 @@ def event_stream(c: Context) -> DataFrame:
 _WD = "over (partition by user_id, event_type, date_trunc('day', ts) order by ts)"
 library("ev_inc", f"select user_id, event_type, date_trunc('day', ts) as bucket, cents, case when lag(cents) {_WD} is null then 0 when cents >= lag(cents) {_WD} then cents - lag(cents) {_WD} else cents end as i from (select *, cast(round(value * 100) as bigint) as cents from events) e")
 query("stream_rollup_5m", "select user_id, event_type, bucket, cast(sum(i) as bigint) as d_cents, avg(cents) as cents_avg, max(cents) as cents_max, count(*) as sample_count from ev_inc group by 1, 2, 3", ("ev_inc",), ("cents_avg",))(
-    lambda c: W.newest_epoch(W.run_available(W.stream_rollup(event_stream(c), ["user_id", "event_type"], "ts", ["cents"], ["cents"], "1 day", "16 days"), "rollup", "update"), ["user_id", "event_type", "bucket"]))
+    lambda c: _event_rollup(c, 86400).table(_events(c)))
+query("rollup_from_partials", "select user_id, event_type, bucket, cast(sum(i) as bigint) as d_cents, avg(cents) as cents_avg, max(cents) as cents_max, count(*) as sample_count from ev_inc group by 1, 2, 3", ("ev_inc",), ("cents_avg",))(
+    lambda c: _event_rollup(c, 300).table(_events(c), 86400))
+
+
+def _events(c: Context) -> DataFrame:
+    return c.table("events").withColumn("ts", C("ts").cast("timestamp")).withColumn("cents", F.round(C("value") * 100).cast("bigint"))
+
+
+def _event_rollup(c: Context, width: int) -> W.RollupStream:
+    r = W.RollupStream(c.spark, W.work_folder(c.spark, "rollup"), ["user_id", "event_type"], "ts", ["cents"], ["cents"], width)
+    return r.run(event_stream(c))
+
+
 query("realtime_union", "select server_id, bucket, sample_count, run_queue_avg from host_roll", ("host_roll",), ("run_queue_avg",))(lambda c: _realtime(c))
 
 
@@ -258,23 +271,13 @@ library("bursts", """
       select *, sum(case when prev is null or ts - prev >= interval 1 hour then 1 else 0 end) over (partition by user_id order by ts) as s
       from (select user_id, ts, lag(ts) over (partition by user_id order by ts) as prev from events) a) b group by user_id, s having count(*) >= 3""")
 query("restart_burst", "select * from bursts", ("bursts",))(lambda c: W.restart_bursts(c.table("events").withColumn("ts", C("ts").cast("timestamp")), "user_id", "ts"))
-query("stream_restart_burst", "select * from bursts", ("bursts",))(lambda c: _stream_bursts(c))
-
-
-def _stream_bursts(c: Context):
-    """Append mode holds back sessions the watermark has not passed, so a last quiet event per user closes them."""
-    s = event_stream(c).select("user_id", "ts")
-    g = s.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("events"))
-    out = W.run_available(g.select("user_id", C("w.start").alias("first_at"), "events"), "bursts", "complete")
-    return W.newest_epoch(out, ["user_id", "first_at"]).filter("events >= 3")
-
-
+query("stream_restart_burst", "select * from bursts", ("bursts",))(lambda c: W.burst_alerts(event_stream(c), "user_id", "ts"))
 query("online_state", f"select user_id, max(ts) as last_at, max(ts) > {END} - interval 1 day as online from events group by 1", ())(
     lambda c: W.newest_epoch(W.run_available(W.online_state(event_stream(c), "user_id", "ts", c.end, 86400), "online", "update"), ["user_id"]))
 query("agent_start_change", """
     select host, changed_at, agent_started_at from (select user_id as host, ts as changed_at, date_trunc('day', ts) as agent_started_at, lag(date_trunc('day', ts)) over (partition by user_id order by ts) as p, lag(ts) over (partition by user_id order by ts) as seen from events) x
     where p is not null and p <> agent_started_at and changed_at - seen <= interval 24 hour""", ())(
-    lambda c: W.run_available(W.agent_start_changes(event_stream(c).withColumn("start", F.date_trunc("day", "ts")), "user_id", "ts", "start"), "starts").drop("epoch"))
+    lambda c: W.agent_start_changes(event_stream(c).withColumn("start", F.date_trunc("day", "ts")), "user_id", "ts", "start"))
 query("clock_invariant_alerts", "select agent_id, count(*) as alerts from (select 'agent-' || server_id as agent_id from host_metrics where agent_started_at > collected_at or boot_time > agent_started_at) x group by 1", ("host_metrics",))(
     lambda c: W.clock_alerts(c["host_metrics"].withColumn("agent_id", F.concat(F.lit("agent-"), C("server_id").cast("string")))).groupBy("agent_id").agg(F.count("*").alias("alerts")))
 query("stream_clock_alerts", "select user_id from events where event_id % 5 = 0 group by 1", ())(lambda c: _stream_alerts(c))

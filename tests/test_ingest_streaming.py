@@ -77,10 +77,12 @@ def test_stream_rollup_and_bursts_equal_batch(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(f"h{i % 4}", t0 + dt.timedelta(seconds=37 * i), (i * 7919) % 101) for i in range(200)]
     batch, stream = event_files(spark, str(tmp_path / "e"), rows)
-    rolled = W.newest_epoch(W.run_available(W.stream_rollup(stream, ["host"], "ts", ["cnt"], ["cnt"], "5 minutes", "1 day"), "t", "update"), ["host", "bucket"])
+    store = W.RollupStream(spark, str(tmp_path / "r"), ["host"], "ts", ["cnt"], ["cnt"], 300).run(stream)
+    rolled = store.table(batch)
     want = K.counter_delta(batch, ["host"], "ts", ["cnt"], 300, extra=[F.count("*").alias("sample_count")])
     cols = ["host", "bucket", "d_cnt", "sample_count"]
     assert sorted(map(tuple, rolled.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert store.compact() == 2 and sorted(map(tuple, store.table(batch).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
 def test_stream_duplicates_and_upsert(spark, tmp_path):

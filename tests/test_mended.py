@@ -41,7 +41,7 @@ def test_start_changes_of_a_busy_host(spark, tmp_path):
     df = spark.createDataFrame(rows, "host int, t long, s long").select("host", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t")).alias("ts"), F.timestamp_seconds(F.lit(1_690_000_000) + F.col("s")).alias("start"))
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    out = W.run_available(W.agent_start_changes(stream, "host", "ts", "start"), "busy").orderBy("changed_at").collect()
+    out = W.agent_start_changes(stream, "host", "ts", "start").orderBy("changed_at").collect()
     assert [int(r.changed_at.timestamp()) - 1_700_000_000 for r in out] == [3400 * k for k in range(1, 9)]
 
 
