@@ -7,13 +7,34 @@ NAMESPACE = f"map<string,struct<type:string,unit:string,points:{POINTS}>>"
 NAMESPACES = ("system.cpu", "system.memory", "system.disk", "system.network", "system.paging", "system.filesystem", "system.pressure")
 REQUIRED_NAMESPACES = NAMESPACES[:4]
 
+
+
+def _fields(ddl: str) -> list[str]:
+    """The fields of a schema text: commas inside brackets belong to a type."""
+    out, depth = [""], 0
+    for ch in ddl:
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and depth == 0:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
+def names(ddl: str) -> list[str]:
+    return [f.split()[0].strip("`") for f in _fields(ddl)]
+
+
 ENVELOPE = ("schema_version string, message_type string, message_id string, agent_id string, collected_at string, boot_time string, "
             "agent_started_at string, os_family string, composite_id string, machine_id string, agent_version string")
 
 DEVICE = ("array<struct<name:string,type:string,size_bytes:bigint,fstype:string,mountpoint:string,parent:string,id:string,id_type:string,"
-          "raid_level:string,lvm_vg:string>>")
+          "raid_level:string,lvm_vg:string,partition_table:string,sector_size:bigint,serial:string,wwn:string,rotational:boolean,part_number:int,"
+          "part_start_bytes:bigint,part_type:string,part_name:string,part_flags:array<string>,fs_uuid:string,fs_label:string,block_size:bigint,"
+          "mount_options:array<string>,fs_freq:int,fs_passno:int,lvm_lv:string,lvm_segtype:string,lvm_stripes:int,lvm_stripe_size_kib:bigint,"
+          "raid_chunk_kib:bigint,raid_metadata:string,raid_uuid:string,crypt_type:string>>")
 INTERFACE = ("array<struct<name:string,id:string,id_type:string,kind:string,speed_mbps:int,addresses:array<struct<address:string,prefix:int,"
-             "family:string>>,gateway:string,mtu:int,dns:array<string>,routes:array<struct<dest:string,via:string>>,bond_mode:string,vlan_id:int>>")
+             "family:string,origin:string>>,gateway:string,mtu:int,dns:array<string>,routes:array<struct<dest:string,via:string>>,bond_mode:string,vlan_id:int>>")
 VOLUME_GROUP = ("array<struct<name:string,size_bytes:bigint,free_bytes:bigint,data_percent:double,metadata_percent:double,vg_uuid:string,"
                 "extent_size_bytes:bigint,pv_ids:array<string>>>")
 SERVICE = "array<struct<unit:string,sub:string,pid:int,exe:string>>"
@@ -29,6 +50,8 @@ INVENTORY = (ENVELOPE + ", hostname string, os_id string, os_version string, os_
 ERROR = ENVELOPE + ", error_code string, error_message string, failed_component string, retry_count int, first_failed_at string, recovered_at string"
 TASK_RESULT = (ENVELOPE + ", hostname string, os_id string, os_version string, task_id string, status string, failure_reason string, exit_code int, "
                "signal_no int, task_policy boolean, duration_ms bigint, stdout_tail string, stderr_tail string, completed_at string")
+#: Every field of every message kind, so that a mixed batch is parsed once.
+ANY = ", ".join(dict.fromkeys([f.strip() for kind in (METRICS, INVENTORY, ERROR, TASK_RESULT) for f in _fields(kind)]))
 BY_TYPE = {"metrics": METRICS, "inventory": INVENTORY, "error": ERROR, "task.result": TASK_RESULT}
 
 # Natural keys: a repeated delivery never makes a second row.

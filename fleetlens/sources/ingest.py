@@ -14,6 +14,7 @@ from fleetlens import schemas as X
 from fleetlens.functions import thresholds as T
 from fleetlens.functions.exprs import elapsed_seconds
 from fleetlens.operators.kernels import latest_one, with_previous
+from fleetlens.sources import layout as L
 
 CONTRACT_MAJOR = "1"
 UUID = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
@@ -49,8 +50,8 @@ CHECKED = ("schema_version", "message_type", "message_id", "agent_id", "collecte
 
 def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFrame:
     """Adds ``problems``: the names of the violated rules, empty for a good message. The text is parsed once, with the
-    checked fields as text and the metric namespaces typed."""
-    shape = ", ".join(f"{n} string" for n in CHECKED) + ", " + ", ".join(f"`{x}` {X.NAMESPACE}" for x in X.NAMESPACES) + ", _broken string"
+    checked fields and the nested inventory blocks as text and the metric namespaces typed."""
+    shape = ", ".join(f"{n} string" for n in CHECKED) + ", " + ", ".join(f"`{x}` {X.NAMESPACE}" for x in X.NAMESPACES) + f", {', '.join(f'{n} string' for n in L.FLAT)}, bits string, {L.block_shapes()}, _broken string"
     parsed = messages.withColumns({
         "_m": F.from_json("value", shape, {"columnNameOfCorruptRecord": "_broken"}), "_keys": F.json_object_keys("value")})
     e = {n: F.col(f"_m.{n}") for n in CHECKED}
@@ -77,9 +78,7 @@ def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFram
     bad_metric = F.exists(metric, lambda m: ~no(m["type"].isin("counter", "gauge")) | no(F.length(m["unit"]) > 32))
     missing_ns = F.size(F.array_except(F.array(*[F.lit(x) for x in X.REQUIRED_NAMESPACES]), F.col("_keys"))) > 0
     ips = F.from_json(e["ip_external"], "array<string>")
-    octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
-    ip_form = rf"^({octet}\.){{3}}{octet}$|^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$"
-    bad_ip = F.exists(ips, lambda a: ~no(F.split_part(a, F.lit("/"), F.lit(1)).rlike(ip_form)))
+    bad_ip = F.exists(ips, lambda a: ~no(F.split_part(a, F.lit("/"), F.lit(1)).rlike(L.ADDRESS_FORM)))
     is_inv, is_task, is_err, is_met = (no(kind == k) for k in ("inventory", "task.result", "error", "metrics"))
     rules = [
         ("not_json", F.col("_keys").isNull()),
@@ -92,7 +91,9 @@ def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFram
         ("hostname", (is_inv | is_task) & long("hostname", 255, 1, True)),
         ("namespaces", is_met & no(missing_ns)), ("metric", is_met & no(bad_metric)),
         ("cpu_cores", is_inv & bad_count("cpu_cores", "int")), ("mem_total_bytes", is_inv & bad_count("mem_total_bytes", "bigint")),
-        ("ip_external", is_inv & no(bad_ip)),
+        ("ip_external", is_inv & no(bad_ip)), ("bits", is_inv & L.fails(F.col("_m.bits"), "count")),
+        *[(n, is_inv & L.fails(F.col(f"_m.{n}"), "text", most)) for n, most in L.FLAT.items()],
+        *[(n, is_inv & bad) for n, bad in L.block_problems(F.col("_m"), F.col("_keys"), F.col("value"))],
         ("task_id", is_task & long("task_id", 128, 1, True)), ("status", is_task & long("status", 32, 1, True)),
         ("error_code", is_err & long("error_code", 64, 1, True)), ("failed_component", is_err & long("failed_component", 32, 1, True)),
     ]
@@ -107,7 +108,19 @@ def split_valid(messages: DataFrame, major: str = CONTRACT_MAJOR) -> tuple[DataF
 
 def of_type(messages: DataFrame, kind: str) -> DataFrame:
     """Typed rows of one message kind; unknown fields are ignored, empty composite ids become NULL."""
-    rows = messages.filter(_field("message_type") == kind).select(F.from_json("value", X.BY_TYPE[kind]).alias("m")).select("m.*")
+    return _typed(messages.filter(_field("message_type") == kind).select(F.from_json("value", X.BY_TYPE[kind]).alias("m")).select("m.*"))
+
+
+def parse_any(messages: DataFrame) -> DataFrame:
+    """Typed rows of all kinds of messages, each text parsed once; ``kind_of`` takes the rows of one kind out of it."""
+    return messages.select(F.from_json("value", X.ANY).alias("m")).select("m.*")
+
+
+def kind_of(parsed: DataFrame, kind: str) -> DataFrame:
+    return _typed(parsed.filter(F.col("message_type") == kind).select(*[f"`{n}`" for n in X.names(X.BY_TYPE[kind])]))
+
+
+def _typed(rows: DataFrame) -> DataFrame:
     times = [c for c in ("collected_at", "boot_time", "agent_started_at", "completed_at", "first_failed_at", "recovered_at") if c in rows.columns]
     return rows.withColumns({**{c: F.try_to_timestamp(c) for c in times}, "composite_id": F.nullif("composite_id", F.lit(""))})
 

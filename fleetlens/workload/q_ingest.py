@@ -9,6 +9,7 @@ from fleetlens import schemas as X
 from fleetlens.operators import rollups as R
 from fleetlens.sources import ingest as G
 from fleetlens.streaming import streams as W
+from fleetlens.streaming.ingest_stream import IngestStream
 from fleetlens.workload.q_trends import END
 from fleetlens.workload.registry import Context, library, query
 from fleetlens.functions.exprs import timestamp
@@ -294,3 +295,32 @@ query("late_and_future", "select count(*) as kept from events where ts <= timest
     lambda c: W.run_available(W.stream_recent(event_stream(c).select("event_id", "ts"), timestamp("2024-01-20 00:00:00"), "ts"), "recent").agg(F.count("*").alias("kept")))
 query("stream_upsert_inventory", "select user_id, event_type, ts from events qualify row_number() over (partition by user_id order by ts desc) = 1", ())(
     lambda c: W.upsert_stream(event_stream(c).select("user_id", "event_type", "ts"), "user_id", "ts"))
+
+
+def with_null(messages: DataFrame, tag: str, *namespaces: str) -> DataFrame:
+    """Messages with explicit nulls for namespaces that were not collected, and message ids of their own."""
+    more = ", ".join(f'"{n}":null' for n in namespaces)
+    own = F.regexp_replace("value", '"message_id":"..', f'"message_id":"{tag}')
+    return messages.select(F.concat(F.substr(own, F.lit(1), F.length("value") - 1), F.lit(f", {more}}}")).alias("value"))
+
+
+query("ingest_stream", """
+    select 'host_metrics' as table_name, count(*) as row_count from host_metrics union all select 'disk_io', count(*) from disk_io
+    union all select 'cpu_core', 2 * count(*) from host_metrics union all select 'seen', count(distinct server_id) from host_metrics
+    union all select 'quarantine', count(*) from inventory where server_id % 11 between 1 and 7
+    union all select 'inventory_history', count(*) from inventory where server_id % 11 not between 1 and 7
+    union all select 'placeholders', count(distinct server_id) from host_metrics where server_id not in (select server_id from inventory where server_id % 11 not between 1 and 7)""",
+      ("host_metrics", "disk_io", "inventory"))(lambda c: _ingest(c))
+
+
+def _ingest(c: Context) -> DataFrame:
+    """All messages, the metrics twice, in one batch that is delivered again after it is committed."""
+    folder = W.work_folder(c.spark, "ingest")
+    hosts = with_null(host_messages(c), "aa", "system.disk")
+    disks = with_null(disk_messages(c), "bb", "system.cpu", "system.memory", "system.network")
+    hosts.unionByName(hosts).unionByName(disks).unionByName(mixed_messages(c)).write.text(f"{folder}/in")
+    s = IngestStream(c.spark, folder).run(c.spark.readStream.text(f"{folder}/in"))
+    s.batch(c.spark.read.text(f"{folder}/in"), 0)
+    counts = {n: s.table(n) for n in ("host_metrics", "cpu_core", "seen", "quarantine", "inventory_history")}
+    counts["disk_io"], counts["placeholders"] = s.table("disk_io"), s.table("inventory").where("placeholder")
+    return G.insert_counts(counts).withColumnRenamed("inserted", "row_count")
