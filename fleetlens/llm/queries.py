@@ -96,7 +96,8 @@ own as (select conv_id, turn, min(i) as i, string_agg(x, chr(10) order by i) as
 kept as (select *, md5(lower(trim(regexp_replace(body, '\\s+', ' ', 'g')))) as h from own),
 q as (select conv_id, turn, 1 as level, md5(lower(trim(regexp_replace(l1, '\\s+', ' ', 'g')))) as h from m where l1 is not null
   union all select conv_id, turn, 2, md5(lower(trim(regexp_replace(l2, '\\s+', ' ', 'g')))) from m where l2 is not null),
-said as (select conv_id, h, min(turn) as origin from kept group by all),
+lines as (select conv_id, turn, md5(lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))) as h from lf where not blank),
+said as (select conv_id, h, min(turn) as origin from (select conv_id, turn, h from kept union all select * from lines) group by all),
 firsts as (select h, min(conv_id) as c1, max(conv_id) as c2 from said group by h),
 f as (select q.*, coalesce(said.origin < q.turn, false) as here, coalesce(c1 <> q.conv_id or c2 <> q.conv_id, false) as there, origin from q
   left join said on said.conv_id = q.conv_id and said.h = q.h left join firsts on firsts.h = q.h),

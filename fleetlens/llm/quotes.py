@@ -2,12 +2,14 @@
 
 Lines are read with their quote level (the number of ``>`` before the text). Neighbouring lines of one level, without
 blank lines between, form a passage; it is normalised and hashed. Passages at level 0 are a message's own words; quoted
-ones join the message that first said them, in the same conversation if it is there, else anywhere. The last own
+ones join the message that first said them, whole or as part of a paragraph, in the same conversation if it is there, else anywhere. The last own
 conversation message quoted at level 1 is the parent of a reply. Arrays, joins and grouped minima of Spark only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,30 +61,21 @@ def link_quotes(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
 
     clean_text: own passages, separated by a blank line; n_quotes: quoted passages of any level; n_linked: those whose
     origin is found, the first message of the conversation (of a smaller turn) or else the first of all other ones (by
-    conv_id, turn) that has the passage as its own; parent_turn: the largest turn of the conversation that a level-1
-    passage comes from; root_turn and reply_depth follow the parents, so that sorting by (conv_id, root_turn, turn) gives
-    each thread with replies after their parents.
+    conv_id, turn) that holds the whole passage, as an own paragraph or as a run of lines of one; parent_turn: the largest
+    turn of the conversation that a level-1 passage comes from; root_turn and reply_depth follow the parents, so that
+    sorting by (conv_id, root_turn, turn) gives each thread with replies after their parents.
     Null text counts as empty. Rows that repeat a (conv_id, turn) are one message: their quotes count together, each row
     is returned. Rows without conv_id or turn link nothing. Extra columns are ignored; empty gives empty.
     """
-    spark = messages.sparkSession
-    tmp = tmp or Scratch(spark)
-    base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text"))
-    read = tmp.keep(passages(base).select("conv_id", "turn", "role", "passages"), "passages")
-    one = read.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p"))
-    one = one.select("conv_id", "turn", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("hash"))
-    own, quoted = one.where("level = 0"), one.where("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.count(F.lit(1)).alias("n"))
-    said = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin_turn"))
-    # the two first conversations of a passage: one of them is another one than the quoting message's
-    first = said.groupBy("hash").agg(F.min("conv_id").alias("c1"), F.max("conv_id").alias("c2"))
-    found = hot_join(quoted, said, ["conv_id", "hash"]).withColumn("here", F.col("origin_turn") < F.col("turn"))
-    found = hot_join(found, first, ["hash"])
-    elsewhere = (F.col("c1") != F.col("conv_id")) | (F.col("c2") != F.col("conv_id"))
-    here = F.coalesce("here", F.lit(False))
+    tmp = tmp or Scratch(messages.sparkSession)
+    read = _read(messages, tmp, "role")
+    one = _passage_rows(read, tmp)
+    asked = one.where("conv_id is not null and turn is not null and level > 0")
+    linked = _whole_origins(one, tmp).select("msg", "no", "here", "ot", F.lit(1).alias("linked"))
+    found = asked.select("msg", "no", "conv_id", "turn", "level").join(linked, ["msg", "no"], "left")
     per = found.groupBy("conv_id", "turn").agg(
-        F.sum("n").alias("n_quotes"), F.sum(F.when(here, F.col("n")).otherwise(0)).alias("n_here"),
-        F.sum(F.when(here | F.coalesce(elsewhere, F.lit(False)), F.col("n")).otherwise(0)).alias("n_linked"),
-        F.max(F.when(here & (F.col("level") == 1), F.col("origin_turn"))).alias("parent_turn"))
+        F.count(F.lit(1)).alias("n_quotes"), F.sum(F.coalesce("linked", F.lit(0))).alias("n_linked"),
+        F.max(F.when(F.col("here") & (F.col("level") == 1), F.col("ot"))).alias("parent_turn"))
     per = tmp.keep(per, "quotes")
     up = _threads(tmp, per)
     out = hot_join(read, per, ["conv_id", "turn"])
@@ -92,6 +85,18 @@ def link_quotes(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
                       "parent_turn", F.coalesce("anc", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).cast("long").alias("reply_depth"))
 
 
+def _read(messages: DataFrame, tmp: Scratch, *more: str) -> DataFrame:
+    """The messages with their passages and a number for each row, kept: exploded at once, the passages would be cut again for every filter on them."""
+    base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", *[F.col(c).cast("string").alias(c) for c in more])
+    return tmp.keep(passages(base.withColumn("msg", F.monotonically_increasing_id())).select("msg", "conv_id", "turn", *more, "passages"), "read")
+
+
+def _passage_rows(read: DataFrame, tmp: Scratch) -> DataFrame:
+    """(msg, conv_id, turn, no, level, hash, lines, k), kept."""
+    one = read.select("msg", "conv_id", "turn", F.posexplode("passages").alias("no", "p"))
+    return tmp.keep(one.select("msg", "conv_id", "turn", "no", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("hash"), F.split("p.body", "\n").alias("lines")).withColumn("k", F.size("lines")), "passages")
+
+
 def quote_origins(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     """One row per quoted passage of ``messages(conv_id, turn, text, ...)``, with its origin and the reply order.
 
@@ -105,10 +110,28 @@ def quote_origins(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     ignored; empty gives empty.
     """
     tmp = tmp or Scratch(messages.sparkSession)
-    base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text").withColumn("msg", F.monotonically_increasing_id())
-    read = tmp.keep(passages(base).select("msg", "conv_id", "turn", "passages"), "read")  # exploded at once, the passages would be cut again for every filter on them
-    one = read.select("msg", "conv_id", "turn", F.posexplode("passages").alias("no", "p"))
-    one = tmp.keep(one.select("msg", "conv_id", "turn", "no", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("hash"), F.split("p.body", "\n").alias("lines")).withColumn("k", F.size("lines")), "passages")
+    one = _passage_rows(_read(messages, tmp), tmp)
+    found = _finder(one, tmp)
+    quoted = one.where("conv_id is not null and turn is not null and level > 0")
+    whole = _whole_origins(one, tmp, found)
+    rest = quoted.where("k > 1").join(whole.select("msg", "no"), ["msg", "no"], "left_anti")
+    parts = found(rest.select("msg", "no", "conv_id", "turn", F.explode(F.transform("lines", _normal)).alias("hash"), F.lit(1).alias("n")))
+    parts = parts.groupBy("msg", "no", "here", "oc", "ot").agg(F.sum("n").cast("int").alias("n"))
+    best = F.max(F.struct("here", "n", (-F.col("oc")).alias("c"), (-F.col("ot")).alias("t"))).alias("b")
+    parts = parts.groupBy("msg", "no").agg(best).select("msg", "no", "b.here", (-F.col("b.c")).alias("oc"), (-F.col("b.t")).alias("ot"), "b.n")
+    out = one.where("level > 0").drop("lines").join(whole.unionByName(parts), ["msg", "no"], "left")
+    out = tmp.keep(out, "origins")
+    per = tmp.keep(out.where("here and level = 1").groupBy("conv_id", "turn").agg(F.max("ot").alias("parent_turn")), "parents")
+    out = hot_join(hot_join(out, per, ["conv_id", "turn"]), _threads(tmp, per), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.col("no").alias("passage_no"), "level", F.col("hash").alias("passage_hash"), F.col("k").alias("n_lines"), F.coalesce("n", F.lit(0)).alias("n_lines_found"),
+                      F.col("oc").alias("origin_conv_id"), F.col("ot").alias("origin_turn"), "parent_turn", F.coalesce("anc", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).cast("long").alias("reply_depth"))
+
+
+def _finder(one: DataFrame, tmp: Scratch) -> Callable[[DataFrame], DataFrame]:
+    """A function that finds the origins of (msg, no, conv_id, turn, hash, n): here, oc, ot for those that have one.
+
+    Units are the own paragraphs, their lines, and the runs of lines that some quoted passage may ask for.
+    """
     known = F.expr("conv_id is not null and turn is not null")
     own, quoted = one.where(known & (F.col("level") == 0)), one.where(known & (F.col("level") > 0))
     # the runs of lines that are asked for: a line begins one if some quoted passage begins with it
@@ -129,20 +152,13 @@ def quote_origins(messages: DataFrame, tmp: Scratch | None = None) -> DataFrame:
         here = F.coalesce(F.col("said_turn") < F.col("turn"), F.lit(False))
         other = F.when(F.col("f1.conv_id") != F.col("conv_id"), F.col("f1")).otherwise(F.col("f2"))
         return out.select("msg", "no", here.alias("here"), F.when(here, F.col("conv_id")).otherwise(other["conv_id"]).alias("oc"), F.when(here, F.col("said_turn")).otherwise(other["said_turn"]).alias("ot"), "n").where("oc is not null")
+    return found
 
-    cols = ["msg", "no", "conv_id", "turn", "hash"]
-    whole = tmp.keep(found(quoted.select(*cols, F.col("k").alias("n"))), "whole")
-    rest = quoted.where("k > 1").join(whole.select("msg", "no"), ["msg", "no"], "left_anti")
-    parts = found(rest.select("msg", "no", "conv_id", "turn", F.explode(F.transform("lines", _normal)).alias("hash"), F.lit(1).alias("n")))
-    parts = parts.groupBy("msg", "no", "here", "oc", "ot").agg(F.sum("n").cast("int").alias("n"))
-    best = F.max(F.struct("here", "n", (-F.col("oc")).alias("c"), (-F.col("ot")).alias("t"))).alias("b")
-    parts = parts.groupBy("msg", "no").agg(best).select("msg", "no", "b.here", (-F.col("b.c")).alias("oc"), (-F.col("b.t")).alias("ot"), "b.n")
-    out = one.where("level > 0").drop("lines").join(whole.unionByName(parts), ["msg", "no"], "left")
-    out = tmp.keep(out, "origins")
-    per = tmp.keep(out.where("here and level = 1").groupBy("conv_id", "turn").agg(F.max("ot").alias("parent_turn")), "parents")
-    out = hot_join(hot_join(out, per, ["conv_id", "turn"]), _threads(tmp, per), ["conv_id", "turn"])
-    return out.select("conv_id", "turn", F.col("no").alias("passage_no"), "level", F.col("hash").alias("passage_hash"), F.col("k").alias("n_lines"), F.coalesce("n", F.lit(0)).alias("n_lines_found"),
-                      F.col("oc").alias("origin_conv_id"), F.col("ot").alias("origin_turn"), "parent_turn", F.coalesce("anc", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).cast("long").alias("reply_depth"))
+
+def _whole_origins(one: DataFrame, tmp: Scratch, found: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The origins of the quoted passages that some message holds as a whole, kept."""
+    quoted = one.where("conv_id is not null and turn is not null and level > 0")
+    return tmp.keep((found or _finder(one, tmp))(quoted.select("msg", "no", "conv_id", "turn", "hash", F.col("k").alias("n"))), "whole")
 
 
 def as_replies(conversations: DataFrame) -> DataFrame:
