@@ -49,8 +49,9 @@ def _threads(tmp: Scratch, per: DataFrame) -> DataFrame:
     up = tmp.keep(per.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("anc"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("more")), "ancestors")
     while not up.where("more").isEmpty():
         far = up.select("conv_id", F.col("turn").alias("anc"), F.col("anc").alias("anc2"), F.col("steps").alias("steps2"))
-        nxt = hot_join(up.drop("more"), far, ["conv_id", "anc"]).select("conv_id", "turn", F.coalesce("anc2", "anc").alias("anc"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("anc2").isNotNull().alias("more"))
-        nxt = tmp.keep(nxt, "ancestors")
+        # only messages that have not reached their root go on
+        nxt = hot_join(up.where("more").drop("more"), far, ["conv_id", "anc"]).select("conv_id", "turn", F.coalesce("anc2", "anc").alias("anc"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("anc2").isNotNull().alias("more"))
+        nxt = tmp.keep(nxt.unionByName(up.where("not more")), "ancestors")
         tmp.drop(up)
         up = nxt
     return up.select("conv_id", "turn", "anc", "steps")
