@@ -141,9 +141,14 @@ def capacity_target() -> Column:
 
 def mount_capacity(history: DataFrame) -> DataFrame:
     """Per mount: used share, byte / inode runway, sizing target in bytes, projection for the near horizon."""
+    return span_capacity(mount_spans(history))
+
+
+def span_capacity(spans: DataFrame) -> DataFrame:
+    """The capacity figures of ``mount_spans``, computed from the history or kept by an index."""
     drop = (F.col("av_first") - F.col("av_last")).cast("double")
     sized = F.col("total_bytes") > 0
-    return mount_spans(history).withColumns({
+    return spans.withColumns({
         "used_pct": F.when(sized, (1 - F.col("av_last") / F.col("total_bytes")) * 100),
         "byte_runway_days": runway("av_first", "av_last"), "inode_runway_days": runway("in_first", "in_last"),
         "target_raw": capacity_target(),

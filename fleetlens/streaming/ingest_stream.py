@@ -17,6 +17,7 @@ from fleetlens import schemas as X
 from fleetlens.operators.kernels import latest_one
 from fleetlens.sources import ingest as G
 from fleetlens.sources.rollup_store import RollupStore
+from fleetlens.sources.series_index import SERIES, SeriesIndex
 from fleetlens.sources.tables import DAY
 from fleetlens.streaming.epochs import EPOCH, EpochStore
 
@@ -29,10 +30,11 @@ def _keys(table: str) -> list[str]:
 
 
 class IngestStream:
-    """Stored tables below ``root``. ``rollups``, if given, learns of late days (samples below its marks) with every batch."""
+    """Stored tables below ``root``. ``rollups``, if given, learns of late days (samples below its marks) with every batch;
+    ``index`` (with host column ``agent_id``) takes the newest samples and the ends of the mounts."""
 
-    def __init__(self, spark: SparkSession, root: str, rollups: RollupStore | None = None):
-        self.spark, self.root, self.rollups = spark, root.rstrip("/"), rollups
+    def __init__(self, spark: SparkSession, root: str, rollups: RollupStore | None = None, index: SeriesIndex | None = None):
+        self.spark, self.root, self.rollups, self.index = spark, root.rstrip("/"), rollups, index
         self.store = EpochStore(spark, f"{self.root}/tables")
 
     def run(self, stream: DataFrame) -> IngestStream:
@@ -56,6 +58,8 @@ class IngestStream:
         for table, kind in LOGS.items():
             rows = G.dedupe(G.kind_of(parsed, kind))
             self.store.write(self._absent(rows, self.store.read(table), ["message_id"]), table, epoch)
+        if self.index:
+            self.index.commit(epoch)
         self.store.commit(epoch)
         parsed.unpersist()
         checked.unpersist()
@@ -74,6 +78,8 @@ class IngestStream:
         self.store.write(self._absent(rows, stored, _keys(table)), table, epoch, by=DAY)
         if self.rollups:
             self.rollups.arrived(rows, table, epoch)
+        if self.index and table in SERIES:
+            self.index.add(rows.drop(DAY), table, epoch, F.current_timestamp())
 
     def _inventory(self, rows: DataFrame, epoch: int) -> None:
         """The newest row per agent of the batch; and for the history, the rows that differ from the one before, stored or new."""

@@ -15,7 +15,7 @@ from fleetlens.operators import snapshots as N
 from fleetlens.operators import tasks as K
 from fleetlens.operators.kernels import places
 from fleetlens.workload.q_inventory import support
-from fleetlens.workload.q_reports import rolls, verdict
+from fleetlens.workload.q_reports import rolls, series_index, verdict
 from fleetlens.workload.q_trends import END, START, VOLUME
 from fleetlens.workload.registry import Context, library, query
 
@@ -81,6 +81,8 @@ query("snapshot_mounts", "select * from mount_snap", ("mount_snap",), ("usage_pc
 _DASH = ("cpu_pct", "mem_pct", "core_max_pct", "read_iops", "write_iops", "rx_kbps", "tx_kbps", "disk_usage_pct")
 query("latest_dashboard", f"select server_id, hot_cores, {', '.join(_DASH)} from dash", ("dash",), _DASH)(
     lambda c: N.latest_dashboard(c.fleet, c.start, c.end).select(HOST, "hot_cores", *_DASH))
+query("latest_dashboard_indexed", f"select server_id, hot_cores, {', '.join(_DASH)} from dash", ("dash",), _DASH)(
+    lambda c: N.latest_dashboard(series_index(c).fleet(c.fleet), c.start, c.end).select(HOST, "hot_cores", *_DASH))
 
 library("sat", f"""
     select m.server_id, os_family, cur_cpu_run_queue as run_queue, cur_cpu_blocked as blocked, await_ms, disk_util_pct, pending_ops,
@@ -110,6 +112,8 @@ def saturation(c: Context):
 
 
 query("latest_saturation", "select * from sat", ("sat",), _SAT)(saturation)
+query("latest_saturation_indexed", "select * from sat", ("sat",), _SAT)(
+    lambda c: N.latest_saturation(series_index(c).fleet(c.fleet), c.start, c.end))
 
 
 def _sig(axis, key, value, limit, over, gone="false"):

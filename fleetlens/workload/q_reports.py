@@ -12,6 +12,7 @@ from fleetlens.functions.exprs import timestamp
 from fleetlens.operators import reports as P
 from fleetlens.operators import rollups as R
 from fleetlens.sources.rollup_store import ROLLUPS, RollupStore
+from fleetlens.sources.series_index import SeriesIndex
 from fleetlens.streaming.streams import work_folder
 from fleetlens.workload.registry import Context, library, query
 from fleetlens.workload.q_trends import END, START, VOLUME
@@ -434,3 +435,27 @@ query("mount_capacity_stored", """
         HOST, "mountpoint", "total_bytes", "inode_used_pct", "used_pct", "byte_runway_days", "inode_runway_days", "proj_30d_pct", "target_bytes"))
 query("environment_utilization_stored", "select * from env_util", ("env_util",), ("cpu_avg", "mem_avg", "cpu_p95", "mem_p95", "disk_avg"))(
     lambda c: P.environment_utilization(stored_rolls(c)))
+
+
+# --- index of series ----------------------------------------------------------------------------------------------
+
+def series_index(c: Context) -> SeriesIndex:
+    """The newest samples and the ends of the mounts after three batches, each but the first with late samples."""
+    def build() -> SeriesIndex:
+        index = SeriesIndex(c.spark, work_folder(c.spark, "series-index"))
+        for step in range(len(_REFRESHED) + 1):
+            last = step == len(_REFRESHED)
+            new = (F.lit(True) if last else _arrived(step)) & ~_arrived(step - 1)
+            now = c.end if last else timestamp(f"{_REFRESHED[step]} 00:00:00")
+            index.batch(Fleet(lambda n, new=new: c[n].where(new)), step, now)
+        return index
+
+    return c.once("series-index", build)
+
+
+query("mount_capacity_indexed", """
+    select server_id, mountpoint, total_bytes, inode_used_pct, used_pct, byte_runway_days, inode_runway_days, proj_30d_pct,
+           cast(ceil(target_raw) as bigint) as target_bytes from mount_calc""", ("mount_calc",),
+      ("inode_used_pct", "used_pct", "byte_runway_days", "inode_runway_days", "proj_30d_pct"))(
+    lambda c: P.span_capacity(series_index(c).mount_spans(c.width)).select(
+        HOST, "mountpoint", "total_bytes", "inode_used_pct", "used_pct", "byte_runway_days", "inode_runway_days", "proj_30d_pct", "target_bytes"))
