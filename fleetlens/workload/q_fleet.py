@@ -11,9 +11,11 @@ from fleetlens.operators import errors as E
 from fleetlens.operators import fleet_views as V
 from fleetlens.operators import reports as P
 from fleetlens.operators import selection as S
+from fleetlens.operators import selection_reports as M
 from fleetlens.operators import snapshots as N
 from fleetlens.operators import tasks as K
 from fleetlens.operators.kernels import places
+from fleetlens.streaming.streams import work_folder
 from fleetlens.workload.q_inventory import support
 from fleetlens.workload.q_reports import rolls, series_index, verdict
 from fleetlens.workload.q_trends import END, START, VOLUME
@@ -537,3 +539,57 @@ def _environment_report(c: Context):
     return (part("class", t, "classification").unionByName(part("cause", under, "cause")).unionByName(part("support", support(c), "support"))
             .unionByName(part("attention", signals(c), "kind")).unionByName(soon.select(F.lit("imminent").alias("section"), "hosts")))
 
+
+# --- many selections ----------------------------------------------------------------------------------------------
+
+library("sel_tok", "select kind as selection, kind, token from tok union all select kind || ':' || token, kind, token from tok", ("tok",))
+library("members", "select distinct selection, server_id from known join sel_tok using (kind, token) union all select '*', server_id from inventory", ("known", "sel_tok", "inventory"))
+library("sections", """
+    select server_id, 'class:' || classification as section from assessed
+    union all select server_id, 'cause:' || cause from (select server_id, unnest(causes) as cause from targets where classification = 'under_provisioned') x where cause is not null
+    union all select server_id, 'support:' || support from os_support union all select distinct server_id, 'attention:' || kind from attn
+    union all select server_id, 'imminent' from rep_rows where runway_days < 30 and driving_mount is not null""", ("assessed", "targets", "os_support", "attn", "rep_rows"))
+
+
+def selected_tokens(c: Context):
+    """A selection for each kind of token, and one for each token."""
+    names, ips, pids, pairs = _tokens(c)
+    pairs = pairs.select(F.concat_ws("~", "hostname", "discriminator").alias("token"))
+    tokens = None
+    for kind, df in (("hostname", names), ("ip", ips), ("public_id", pids), ("pair", pairs)):
+        df = df.select(F.explode(F.array(F.lit(kind), F.concat(F.lit(kind + ":"), "token"))).alias("selection"), F.lit(kind).alias("kind"), "token")
+        tokens = df if tokens is None else tokens.unionByName(df)
+    return tokens
+
+
+def facts(c: Context):
+    """The assessed hosts, written once for all reports."""
+    def build():
+        path = work_folder(c.spark, "host-facts")
+        M.host_facts(c["inventory"], V.report_rows(targets(c), c.end), support(c), signals(c)).write.parquet(path)
+        return c.spark.read.parquet(path)
+
+    return c.once("host-facts", build)
+
+
+def members(c: Context):
+    return M.selection_members(c["inventory"], selected_tokens(c))
+
+
+query("selection_report_counts", "select selection, section, count(*) as hosts from sections join members using (server_id) where section is not null group by 1, 2", ("sections", "members"))(
+    lambda c: M.section_counts(facts(c), members(c)))
+query("selection_report_summary", """
+    select selection, coalesce(hosts, 0) as hosts, cpu_cores, cpu_p95_avg, cpu_p95_max, mem_p95_avg, coalesce(under_count, 0) as under_count, coalesce(efficiency_count, 0) as efficiency_count,
+           coalesce(high_risk, 0) as high_risk, coalesce(tokens, 0) as tokens, coalesce(unmatched, 0) as unmatched
+    from (select selection, count(*) as tokens, count(*) filter (where not exists (select 1 from known k where k.kind = t.kind and k.token = t.token)) as unmatched
+          from (select distinct * from sel_tok) t group by 1) a
+    full join (select selection, count(*) as hosts, cast(sum(i.cpu_cores) as bigint) as cpu_cores, avg(cpu_p95) as cpu_p95_avg, max(cpu_p95) as cpu_p95_max, avg(mem_p95) as mem_p95_avg,
+                 count(*) filter (where classification = 'under_provisioned') as under_count, count(*) filter (where classification in ('over_provisioned', 'idle')) as efficiency_count,
+                 count(*) filter (where risk_level = 'high') as high_risk
+               from members join inventory i using (server_id) left join (select server_id, cpu_p95, mem_p95, classification, risk_level from rep_rows) r using (server_id) group by 1) b using (selection)""",
+      ("known", "sel_tok", "members", "inventory", "rep_rows"), ("cpu_p95_avg", "cpu_p95_max", "mem_p95_avg"))(
+    lambda c: M.selection_summary(facts(c), members(c), M.selection_tokens(c["inventory"], selected_tokens(c))).drop("mem_total_bytes"))
+query("selection_report_top", """
+    select selection, server_id, i.hostname, risk_level, row_number() over (partition by selection order by risk_rank nulls last, coalesce(cpu_p95, 0) desc, i.hostname, server_id) as place
+    from members join inventory i using (server_id) left join (select server_id, risk_level, risk_rank, cpu_p95 from rep_rows) r using (server_id) qualify place <= 3""",
+      ("members", "inventory", "rep_rows"))(lambda c: M.top_hosts(facts(c), members(c), 3).select("selection", HOST, "hostname", "risk_level", "place"))
