@@ -13,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.exprs import shift
 from fleetlens.operators.kernels import latest_n
 from fleetlens.operators.selection import addresses
 
 HOST = "server_id"
 WHOLE = "*"
 WASTE = ("over_provisioned", "idle")
+KINDS = ("hostname", "ip", "public_id", "pair")
+CONTRACT_VERSION = "1.0"  # fixed value
 
 
 # --- selections ---------------------------------------------------------------------------------------------------
@@ -106,3 +109,51 @@ def top_hosts(facts: DataFrame, members: DataFrame, n: int) -> DataFrame:
     rows = _selected(facts.select(HOST, "hostname", "risk_level", "risk_rank", "cpu_p95"), members)
     order = [F.asc_nulls_last("risk_rank"), F.desc(F.coalesce("cpu_p95", F.lit(0.0))), F.asc("hostname"), F.asc(HOST)]
     return latest_n(rows, ["selection"], order, n, "place")
+
+
+# --- documents ----------------------------------------------------------------------------------------------------
+
+def _headers(inventory: DataFrame, members: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """Filters, warnings and number of documents per selection. A list holds tokens of one request, which bound it."""
+    trimmed = F.when(F.col("kind") == "pair", F.col("token")).otherwise(F.trim("token"))
+    asked = tokens.select("selection", "kind", trimmed.alias("token")).filter(F.col("token") != "").distinct()
+    hits = known_names(inventory).join(asked.select("kind", "token").distinct(), ["kind", "token"], "left_semi").groupBy("kind", "token").agg(
+        F.count_distinct(HOST).alias("_n"))
+
+    def listed(where: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(where, F.col("token"))))
+
+    kind, n = F.col("kind"), F.col("_n")
+    h = asked.join(hits, ["kind", "token"], "left").groupBy("selection").agg(
+        *[listed(kind == k).alias(k) for k in KINDS], listed((kind == "hostname") & (n > 1)).alias("ambiguous_hostnames"),
+        listed((kind == "pair") & n.isNull()).alias("unresolved_pairs"), listed((kind != "pair") & n.isNull()).alias("unmatched_filters"))
+    found = members.join(rows.select(HOST), HOST).groupBy("selection").agg(F.count("*").alias("count"))
+    lists = [c for c in h.columns if c != "selection"]
+    whole = rows.agg(F.count("*").alias("count")).select(F.lit(WHOLE).alias("selection"), *[F.array().cast("array<string>").alias(c) for c in lists], "count")
+    return h.join(found, "selection", "left").fillna(0, ["count"]).unionByName(whole)
+
+
+def assessment_envelopes(rows: DataFrame, inventory: DataFrame, members: DataFrame, tokens: DataFrame, window_days: int, end: Column,
+                         generated_at: Column) -> DataFrame:
+    """The assessment of every selection as JSON: ``(selection, part, server_id, document)``. ``rows`` are read four times, so
+    they should be a written table.
+
+    Part ``envelope`` is one document per selection with contract version, window, filters, warnings and the number of
+    servers; part ``server`` one document per assessed host of it. The parts stay separate rows, so a selection of the whole
+    fleet is written by many tasks. Lists are in the order of their text. Warnings: names that several hosts share, pairs and
+    other tokens that no host answers to. Blanks around tokens do not count; empty and unknown tokens ask for nothing.
+    """
+    window = F.struct(F.lit(window_days).alias("days"), shift(end, -window_days * 86400).alias("start"), end.alias("end"),
+                      F.lit("observation window; shorter histories lower the confidence").alias("basis"))
+    head = _headers(inventory, members, tokens, rows).select(
+        "selection", F.lit("envelope").alias("part"), F.lit(None).cast(rows.schema[HOST].dataType).alias(HOST), F.to_json(F.struct(
+            F.lit(CONTRACT_VERSION).alias("contract_version"), generated_at.alias("generated_at"), window.alias("window"),
+            F.struct(*KINDS).alias("filter"), F.struct("ambiguous_hostnames", "unresolved_pairs", "unmatched_filters").alias("warnings"),
+            "count")).alias("document"))
+    docs = rows.select(HOST, F.to_json(F.struct(*[c for c in rows.columns if c != HOST])).alias("document"))
+    return head.unionByName(_selected(docs, members).select("selection", F.lit("server").alias("part"), HOST, "document"))
+
+
+def write_envelopes(documents: DataFrame, path: str) -> None:
+    """A folder per selection and part with one JSON document a line."""
+    documents.select("selection", "part", "document").write.mode("overwrite").partitionBy("selection", "part").text(path)

@@ -562,14 +562,22 @@ def selected_tokens(c: Context):
     return tokens
 
 
-def facts(c: Context):
-    """The assessed hosts, written once for all reports."""
-    def build():
-        path = work_folder(c.spark, "host-facts")
-        M.host_facts(c["inventory"], V.report_rows(targets(c), c.end), support(c), signals(c)).write.parquet(path)
+def _written(c: Context, name: str, build):
+    """A table written once for all reports."""
+    def table():
+        path = work_folder(c.spark, name)
+        build().write.parquet(path)
         return c.spark.read.parquet(path)
 
-    return c.once("host-facts", build)
+    return c.once(name, table)
+
+
+def facts(c: Context):
+    return _written(c, "host-facts", lambda: M.host_facts(c["inventory"], V.report_rows(targets(c), c.end), support(c), signals(c)))
+
+
+def assessed_rows(c: Context):
+    return _written(c, "assessment-rows", lambda: V.assessment_rows(verdict(c), mounts(c), c.end))
 
 
 def members(c: Context):
@@ -593,3 +601,27 @@ query("selection_report_top", """
     select selection, server_id, i.hostname, risk_level, row_number() over (partition by selection order by risk_rank nulls last, coalesce(cpu_p95, 0) desc, i.hostname, server_id) as place
     from members join inventory i using (server_id) left join (select server_id, risk_level, risk_rank, cpu_p95 from rep_rows) r using (server_id) qualify place <= 3""",
       ("members", "inventory", "rep_rows"))(lambda c: M.top_hosts(facts(c), members(c), 3).select("selection", HOST, "hostname", "risk_level", "place"))
+
+
+def _envelopes(c: Context):
+    """The header documents read back into columns, with the documents of each selection counted."""
+    e = M.assessment_envelopes(assessed_rows(c), c["inventory"], members(c), selected_tokens(c), 14, c.end, c.end)
+
+    def text(key):
+        return F.array_join(F.from_json(F.get_json_object("document", f"$.{key}"), "array<string>"), ",")
+
+    heads = e.filter("part = 'envelope'").select(
+        "selection", F.get_json_object("document", "$.count").cast("bigint").alias("hosts"), F.get_json_object("document", "$.window.days").cast("bigint").alias("days"),
+        F.substring(F.get_json_object("document", "$.window.start"), 1, 10).alias("window_start"), text("filter.ip").alias("ips"),
+        *[text(f"warnings.{k}").alias(k) for k in ("ambiguous_hostnames", "unresolved_pairs", "unmatched_filters")])
+    docs = e.filter("part = 'server'").groupBy("selection").agg(F.count(F.get_json_object("document", "$.assessment.classification")).alias("documents"))
+    return heads.join(docs, "selection", "left").fillna(0, ["documents"])
+
+
+query("assessment_envelopes", f"""
+    select selection, coalesce(hosts, 0) as hosts, 14 as days, strftime({END} - interval 14 day, '%Y-%m-%d') as window_start, coalesce(ips, '') as ips, coalesce(ambiguous_hostnames, '') as ambiguous_hostnames,
+           coalesce(unresolved_pairs, '') as unresolved_pairs, coalesce(unmatched_filters, '') as unmatched_filters, coalesce(hosts, 0) as documents
+    from (select selection, string_agg(token, ',' order by token) filter (where kind = 'ip') as ips, string_agg(token, ',' order by token) filter (where kind = 'hostname' and n > 1) as ambiguous_hostnames,
+                 string_agg(token, ',' order by token) filter (where kind = 'pair' and n = 0) as unresolved_pairs, string_agg(token, ',' order by token) filter (where kind <> 'pair' and n = 0) as unmatched_filters
+          from (select *, (select count(distinct server_id) from known k where k.kind = t.kind and k.token = t.token) as n from (select distinct * from sel_tok) t) u group by 1) a
+    full join (select selection, count(*) as hosts from members join (select server_id from asmt) x using (server_id) group by 1) b using (selection)""", ("sel_tok", "known", "members", "asmt"))(_envelopes)

@@ -1,10 +1,12 @@
 """Reports of many selections from one table of facts: brute force, overlaps, repeats, unknown names, empty selections, plan."""
 
+import json
 import random
 from collections import Counter
 
 import pytest
 
+from fleetlens.functions.exprs import timestamp
 from fleetlens.operators import selection_reports as M
 
 INV = ("server_id bigint, hostname string, public_id string, cpu_cores int, mem_total_bytes bigint, "
@@ -90,6 +92,28 @@ def test_summary_and_top_equal_brute_force(spark, data):
     assert top == sorted((s, p + 1, i) for s in {m[0] for m in want} for p, i in enumerate(sorted([i for x, i in want if x == s], key=rank)[:4]))
 
 
+def test_envelopes_name_filters_warnings_and_servers(spark, data, tmp_path):
+    inventory, _, tok, members = frames(spark, data)
+    rows = spark.createDataFrame(data[1], ROWS)
+    tok = tok.unionByName(spark.createDataFrame([("names", "hostname", " h1 "), ("names", "ip", "  ")], tok.schema))
+    end = timestamp("2024-02-01 00:00:00")
+    out = M.assessment_envelopes(rows, inventory, members, tok, 14, end, end).cache()
+    heads = {r.selection: json.loads(r.document) for r in out.where("part = 'envelope'").collect()}
+    want, _, known, by = brute(data)
+    assert set(heads) == {"*", "names", "nets", "ids", "nobody"}
+    assert heads["names"]["filter"] == {"hostname": ["h1", "h2", "h99"], "ip": [], "public_id": [], "pair": []}
+    assert heads["names"]["warnings"] == {"ambiguous_hostnames": ["h1", "h2"], "unresolved_pairs": [], "unmatched_filters": ["h99"]}
+    assert heads["nets"]["warnings"]["unresolved_pairs"] == sorted(t for s, k, t in data[4] if k == "pair" and (k, t) not in known)
+    assert heads["*"]["window"]["days"] == 14 and heads["*"]["window"]["start"].startswith("2024-01-18") and heads["*"]["contract_version"] == "1.0"
+    for s, h in heads.items():
+        ids = sorted(i for x, i in want if x == s and i in by)
+        assert h["count"] == len(ids)
+        assert sorted(r.server_id for r in out.where((out.selection == s) & (out.part == "server")).collect()) == ids
+    M.write_envelopes(out, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"))
+    assert back.count() == out.count() and {json.loads(r.value)["count"] for r in back.where("part = 'envelope' and selection = '*'").collect()} == {len(by)}
+
+
 def test_empty_tables(spark, data):
     inventory, facts, tok, members = frames(spark, ([], [], [], [], data[4]))
     assert M.section_counts(facts, members).count() == 0 and M.top_hosts(facts, members, 3).count() == 0
