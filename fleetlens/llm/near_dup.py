@@ -25,15 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import Scratch, components, hot_join, sized
+from fleetlens.llm.common import Scratch, components, hot_join, sized, slices
 
 K = 64  # retained values of a sketch
 SHARED = 32  # that two similar sets share at least, if they have more values
 SMALL = 51  # sets of at most so many values, and all sets similar to them, are retained whole
 BLOCK_BYTES = 4_000_000  # of texts or sketches in one block of the second pass
-WORDS = 400_000  # word hashes that a worker remembers
-
-_word_hashes: dict[bytes, int] = {}
+PART = 2_000_000  # bytes of texts whose sets are made at once
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -50,16 +48,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    known = _word_hashes
-    if len(known) > WORDS:
-        known.clear()
-    hashes = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    a = np.array(hashes, np.uint64)
+    a = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
     n = min(width, len(a))
     out = np.full(len(a) - n + 1, n, np.uint64)
     for i in range(n):
@@ -71,10 +60,17 @@ def _bytes(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary()).to_pylist()
 
 
+def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """``shingles`` of the texts of a part, made once for equal texts; nothing is remembered beyond the part."""
+    values = _bytes(texts)
+    sets = {t: shingles(t, width) for t in set(values)}
+    return [sets[t] for t in values]
+
+
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, width) for t in _bytes(b.column("text"))]
+        for b in (p for whole in batches for p in slices(whole, "text", PART)):
+            sets = _sets(b.column("text"), width)
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
@@ -122,9 +118,9 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _exact(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = _bytes(b.column("text_a")), _bytes(b.column("text_b"))
-            ok = pa.array([_similar(shingles(p, width), shingles(q, width)) for p, q in zip(x, y, strict=True)], pa.bool_())
+        for b in (q for whole in batches for p in slices(whole, "text_b", PART) for q in slices(p, "text_a", PART)):
+            x, y = _sets(b.column("text_a"), width), _sets(b.column("text_b"), width)
+            ok = pa.array([_similar(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
 
     return run
@@ -177,7 +173,7 @@ def _block_links(width: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         """Links between a block of probes (``right``) and a block of members (``left``), on full sets."""
         ids, comps = left.column("doc").to_numpy(), left.column("comp").to_numpy()
-        full = [shingles(t, width) for t in _bytes(left.column("payload"))]
+        full = _sets(left.column("payload"), width)
         other = _bytes(right.column("payload"))
         out_a, out_b = [], []
         for _, doc, found in _against(left, right, full, lambda k: shingles(other[k], width), _similar_sizes):

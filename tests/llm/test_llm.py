@@ -460,6 +460,20 @@ def test_near_duplicates_small_blocks(frame, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == {i: v[1] for i, v in brute_near(rows, 2).items()}
 
 
+def test_near_duplicates_work_in_parts_of_bounded_bytes(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"Text {i % 7} of some words\x00 and {i % 3} more" for i in range(60)] + [None, "", "long " * 500]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(63)), "text_hash": list(range(63)), "text": texts})
+    pairs = pa.RecordBatch.from_pydict({"a": list(range(63)), "b": list(range(63)), "text_a": texts, "text_b": texts[1:] + texts[:1]})
+    done = []
+    for part in (1 << 30, 300):
+        monkeypatch.setattr(near_dup, "PART", part, raising=False)
+        done.append([list(f(2)(iter([x]))) for f, x in ((near_dup._sketcher, batch), (near_dup._exact, pairs))])
+    assert [pa.Table.from_batches(x) for x in done[0]] == [pa.Table.from_batches(x) for x in done[1]]
+    assert all(len(x) == 1 for x in done[0]) and all(len(x) > 5 for x in done[1])
+
+
 def test_near_duplicates_edges(frame):
     out = near_dup.near_duplicates(docs_of(frame, EDGE), 2).collect()
     assert len(out) == len(EDGE)
