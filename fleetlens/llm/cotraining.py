@@ -2,8 +2,8 @@
 
 Text view: hashed words and their beginnings, as inflected and compound words share a stem. Metadata view: source, language, and the layout of the page (length, line lengths, shares of
 character classes, repeated characters). Each view is a logistic model. Both are fitted on a bounded sample of labelled
-documents. In every round Spark scores all unlabelled documents with both views, each view hands the other some of the
-documents it is sure of, drawn from the whole corpus by hash, and the views are fitted again with them. A held-out part of the
+documents. In every round Spark scores all documents with both views, each view hands the other some of the
+unlabelled documents it is sure of, drawn from the whole corpus by hash, and the views are fitted again with them. A held-out part of the
 labelled sample, never trained on, calibrates both views and sets the threshold. The sample lies in a table and is fitted
 in executor tasks, one per model; only weights reach the driver.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import Scratch, slices, split_words, text_or_empty
+from fleetlens.llm.common import Scratch, hot_join, slices, split_words, text_or_empty
 
 LABELLED = 6_000  # the bound of the labelled sample
 ROUNDS = 2
@@ -274,13 +274,21 @@ def fit_views(views: dict[str, Rows], y: np.ndarray, held: np.ndarray, taught: d
     return Model(fitted["text"], fitted["meta"], mix, threshold(_sigmoid(mix @ x), test), float(train.mean()))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``PART`` bytes of text, or one row: features take many times the memory of their texts."""
+    for b in batches:
+        at = 0
+        for p in slices(pa.RecordBatch.from_arrays([b.column("text").cast(pa.string())], names=["text"]), "text", PART):
+            yield b.slice(at, p.num_rows)
+            at += p.num_rows
+
+
 def _features(b: pa.RecordBatch) -> tuple[Rows, Rows]:
     """Both views of a batch with text, and source and lang if it has them."""
     get = lambda c: b.column(c).cast(pa.string()).to_pylist() if c in b.schema.names else [None] * b.num_rows
     texts = b.column("text").cast(pa.string()).fill_null("")
-    text = Rows.join([text_rows(p.column("text")) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", PART)])
     raw = texts.cast(pa.binary()).to_pylist()
-    return text, Rows([meta_features(t, s, g) for t, s, g in zip(raw, get("source"), get("lang"), strict=True)])
+    return text_rows(texts), Rows([meta_features(t, s, g) for t, s, g in zip(raw, get("source"), get("lang"), strict=True)])
 
 
 _STORED = "ti binary, tv binary, mi binary, mv binary"
@@ -288,7 +296,7 @@ _STORED = "ti binary, tv binary, mi binary, mv binary"
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of documents, a row for each; all columns but those of the document stay."""
-    for b in batches:
+    for b in _parts(batches):
         cols: list[list[bytes]] = []
         for rows in _features(b):
             ends = np.searchsorted(rows.of, np.arange(rows.n + 1))
@@ -320,7 +328,7 @@ def _sure(models: dict[str, Model | None]):
     """(doc_id, model, view, label) wherever one view is sure enough to teach the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             text, meta = _features(b)
             out: list[list] = [[], [], [], []]
             ids = b.column("doc_id").to_numpy()
@@ -348,7 +356,6 @@ def train(docs: DataFrame, labels: DataFrame, good: dict[str, Column], labelled:
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("label")) for n in good])).alias("p")
     given = texts.join(sample, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_stored, f"doc_id long, {', '.join(f'`{n}` int' for n in good)}, {_STORED}")
     given = tmp.keep(given, "sample").select("doc_id", "ti", "tv", "mi", "mv", pairs).select("doc_id", "p.model", "p.label", F.lit(None).cast("string").alias("view"), "ti", "tv", "mi", "mv").where("label is not null")
-    free = texts.join(known, "doc_id", "left_anti")
     models: dict[str, Model | None] | None = None
     rows = given
     for r in range(rounds + 1):
@@ -357,7 +364,9 @@ def train(docs: DataFrame, labels: DataFrame, good: dict[str, Column], labelled:
         models = {n: None for n in good} | {x.model: pickle.loads(x.fitted) for x in tmp.keep(fitted, "models").collect()}  # noqa: S301
         if r == rounds or not any(models.values()):
             return models
-        sure = tmp.keep(free.mapInArrow(_sure(models), "doc_id long, model string, view string, label int").distinct(), "sure")
+        # labelled documents are scored too and leave as rows of four small columns: no text is dealt out for that
+        sure = texts.mapInArrow(_sure(models), "doc_id long, model string, view string, label int").distinct()
+        sure = tmp.keep(hot_join(sure, known.select("doc_id"), ["doc_id"], "left_anti"), "sure")
         share = F.coalesce(*[F.when(F.col("model") == n, F.when(F.col("label") == 1, m.share).otherwise(1 - m.share)) for n, m in models.items() if m])
         w = Window.partitionBy("model", "view", "label").orderBy(F.xxhash64(F.col("doc_id"), F.lit(r)), "doc_id")
         most = CONFIDENT * (r + 1)
@@ -384,7 +393,7 @@ def score(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
     extra = [pa.field(own[n], pa.float64()) for n in names] + [pa.field(keep, pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             text, meta = _features(b)
             good = np.ones(b.num_rows, bool)
             cols = []

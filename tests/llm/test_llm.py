@@ -319,6 +319,30 @@ def test_classifier_edges(frame, spark):
     assert cotraining.quality_scores(docs_of(frame, []), labels).count() == 0
 
 
+def test_no_text_is_dealt_out_to_leave_labelled_documents(frame, spark, monkeypatch):
+    plans, keep = [], cotraining.Scratch.keep
+    monkeypatch.setattr(cotraining.Scratch, "keep", lambda self, df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "sure" else None, keep(self, df, name))[1])
+    docs = docs_of(frame, [(i, ("good words here " if i % 2 else "BAD !! SIGNS ## ") * 9, "en", "s") for i in range(80)])
+    found = cotraining.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), {"quality": cotraining.F.col("quality") == 1})
+    assert found["quality"] and len(plans) == cotraining.ROUNDS
+    for p in plans:
+        above, below = p.split("MapInArrow")  # a plan names what is read below what reads it
+        assert "Join LeftAnti" in above and "Join" not in below.split("Relation")[0]
+
+
+def test_features_are_made_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    seen, features = [], cotraining._features
+    monkeypatch.setattr(cotraining, "PART", 1000)
+    monkeypatch.setattr(cotraining, "_features", lambda b: (seen.append(b.num_rows), features(b))[1])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(101)), "text": ["some words " * 9] * 99 + [None, "x " * 2000]})
+    assert list(cotraining._sure({})([batch])) and sum(seen) == 101 and max(seen) == 10
+    one = [r for b in cotraining._stored([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(cotraining, "PART", 1 << 30)
+    assert one == [r for b in cotraining._stored([batch]) for r in b.to_pylist()] and max(seen) == 101
+
+
 # ---- secrets
 def brute_secrets(t):
     out = []
