@@ -3,12 +3,16 @@
 Tokens are summed over cells (source, language, topic). Raking multiplies the tokens to draw from each cell in turn so that their sums
 over each source, language and topic reach the targets; no cell gives more than it has, so where one is full the next
 factors raise the others. The total is the wanted one, or less where a category has too few tokens for its target, and
-is lowered further until all marginals hold. A document of a cell is drawn with the cell's share of tokens to draw. The draw is a function of the doc_id, so that a rerun draws the same documents. Cells and marginals are
-tables of their own, whose size depends on the number of categories only.
+is lowered further until all marginals hold. Where no cell was asked for more than it has, a lower total only scales the draw: targets
+that don't hold then hold at no lower total, and the largest total that comes about as near to them as any is kept. A document of a
+cell is drawn with the cell's share of tokens to draw. The draw is a function of the doc_id, so that a rerun draws the same
+documents. Cells and marginals are tables of their own, whose size depends on the number of categories only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,29 +51,35 @@ def rake(tmp: Scratch, cells: DataFrame, targets: dict[str, DataFrame], total: f
     """Cells with ``w``, the tokens to draw: at most the cell's, summing to about ``total`` times the target in each category.
 
     Categories without tokens can give none: their target is left out and the others' shares hold among themselves.
-    A category that has tokens but no target gives none.
+    A category that has tokens but no target gives none. Each factor's cells are a table of their own: a plan with the three
+    factors of a round holds the first one four times, and the driver keeps a broadcast for each. The targets stay beside
+    the cells, as ``t_`` and the dimension; ``cut`` tells whether a factor asked a cell for more than it has.
     """
     have = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = tmp.keep(cells.withColumn("w", F.col("tokens") * F.lit(total / have)), "cells")
+    now = cells.withColumn("w", F.col("tokens") * F.lit(total / have)).withColumn("cut", F.lit(False))
+    for dim, target in targets.items():
+        now = hot_join(now, target.select(dim, F.col("target").alias(f"t_{dim}")), [dim]).fillna(0.0, [f"t_{dim}"])
+    now = tmp.keep(now, "cells")
     for _ in range(rounds):
-        step = now
-        for dim, target in targets.items():
-            sums = step.groupBy(dim).agg(F.sum("w").alias("s"))
-            factor = sums.join(target, dim, "left").select(dim, F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) * F.lit(total) / F.col("s")).otherwise(F.lit(0.0)).alias("f"))
-            step = hot_join(step, factor, [dim], "inner").withColumn("w", F.least(F.col("tokens").cast("double"), F.col("w") * F.col("f"))).drop("f")
-        nxt = tmp.keep(step, "cells")
-        tmp.drop(now)
-        now = nxt
+        for dim in targets:
+            factor = now.groupBy(dim).agg(F.sum("w").alias("s"), F.max(f"t_{dim}").alias("t"))
+            factor = factor.select(dim, F.when(F.col("s") > 0, F.col("t") * F.lit(total) / F.col("s")).otherwise(F.lit(0.0)).alias("f"))
+            most, asked = F.col("tokens").cast("double"), F.col("w") * F.col("f")
+            step = hot_join(now, factor, [dim], "inner").withColumns({"w": F.least(most, asked), "cut": F.col("cut") | F.coalesce(asked > most, F.lit(False))}).drop("f")
+            nxt = tmp.keep(step, "cells")
+            tmp.drop(now)
+            now = nxt
     return now
 
 
-def missed(raked: DataFrame, targets: dict[str, DataFrame], total: float) -> float:
-    """The largest relative difference of a category's sum from its target."""
-    far = 0.0
-    for dim, target in targets.items():
-        sums = raked.groupBy(dim).agg(F.sum("w").alias("s")).join(target, dim).where("target > 0")
-        far = max(far, sums.agg(F.max(F.abs(F.col("s") / (F.col("target") * total) - 1))).first()[0] or 0.0)
-    return far
+def missed(raked: DataFrame, dims: Iterable[str], total: float) -> tuple[float, bool]:
+    """The largest relative difference of a category's sum from its target, and whether a cell was asked for more than it has."""
+    far, cut = 0.0, False
+    for dim in dims:
+        sums = raked.groupBy(dim).agg(F.sum("w").alias("s"), F.max(f"t_{dim}").alias("t"), F.max("cut").alias("cut"))
+        most, some = sums.agg(F.max(F.when(F.col("t") > 0, F.abs(F.col("s") / (F.col("t") * total) - 1))), F.max("cut")).first()
+        far, cut = max(far, most or 0.0), cut or bool(some)
+    return far, cut
 
 
 def mix(docs: DataFrame, n_tokens: Column | None = None, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS,
@@ -78,7 +88,7 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, topic: Column | None =
     probability, sampled, and the columns of ``carry``.
 
     ``weight`` is the cell's share of the tokens to draw, ``probability`` that of drawing the row; expected sums over each
-    source, language and topic are within 1 % of the targets. At most the share ``keep`` of all tokens is drawn, less where the targets need it. ``targets`` has a table
+    source, language and topic are within 1 % of the targets, if any total allows that. At most the share ``keep`` of all tokens is drawn, less where the targets need it. ``targets`` has a table
     (category, target) per dimension, shares summing to 1; default: tempered shares of the corpus itself. Null source,
     language or topic form the category "(none)"; null text counts as empty. Rows without tokens have no weight and are
     not drawn. Equal doc_ids (all null ones, too) are drawn together. Extra columns are ignored; empty gives empty.
@@ -105,10 +115,17 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, topic: Column | None =
     scarce = min((present[d].agg(F.min(F.col("t") / F.col("target"))).first()[0] or 0.0) for d in DIMS)
     wanted = min(keep * total, ROOM * scarce)
     targets = {d: t.drop("t") for d, t in present.items()}
-    raked = rake(tmp, cells, targets, wanted, rounds)
-    while wanted >= 1 and missed(raked, targets, wanted) > NEAR:
-        wanted *= LESS
+    tried = []
+    while True:
         raked = rake(tmp, cells, targets, wanted, rounds)
+        far, cut = missed(raked, targets, wanted)
+        tried.append((far, wanted, raked))
+        if far <= NEAR or not cut or wanted * LESS < 1:
+            break
+        wanted *= LESS
+    if far > NEAR:  # no total holds: the largest one that comes about as near as any
+        least = min(far for far, _, _ in tried)
+        _, wanted, raked = next(t for t in tried if t[0] <= least + NEAR)
     p = raked.select(*DIMS, (F.col("w") / F.lit(wanted or 1.0)).alias("weight"), F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0)).alias("p"))
     p = tmp.keep(p, "probabilities")
     out = hot_join(slim, p, DIMS)

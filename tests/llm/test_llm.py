@@ -116,6 +116,26 @@ def test_mixing_lowers_the_total_for_hard_targets(spark, frame):
     assert abs(sum(r.probability * r.n_tokens for r in out if r.source == "x") / total - 0.9) < 0.01 and abs(sum(r.probability * r.n_tokens for r in out if r.lang == "a") / total - 0.5) < 0.01
 
 
+def test_mixing_keeps_the_total_where_lowering_cannot_help(spark, frame, monkeypatch):
+    rows = [(i, "w " * 10, "a", "x") for i in range(90)] + [(100 + i, "w " * 10, "b", "y") for i in range(90)]
+    t = {"source": spark.createDataFrame([("x", 0.9), ("y", 0.1)], "source string, target double"), "lang": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "lang string, target double"),
+         "topic": spark.createDataFrame([("short", 1.0)], "topic string, target double")}
+    totals, rake = [], mixing.rake
+    monkeypatch.setattr(mixing, "rake", lambda tmp, cells, targets, total, rounds: (totals.append(total), rake(tmp, cells, targets, total, rounds))[1])
+    out = mixing.mix(docs_of(frame, rows), targets=t, rounds=2).collect()
+    assert len(totals) == 1 and abs(sum(r.probability * r.n_tokens for r in out) - 950) < 1 and any(r.sampled for r in out)
+
+
+def test_mixing_plans_hold_one_factor(spark, frame, monkeypatch):
+    from fleetlens.llm.common import Scratch
+
+    joins, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")), keep(self, df, name))[1])
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 2], "xyz"[i % 3]) for i in range(60)]
+    assert any(r.sampled for r in mixing.mix(docs_of(frame, rows), rounds=2).collect())
+    assert max(joins) <= 3 and joins.count(1) >= 6  # the targets, then one factor in each plan
+
+
 def test_mixing_edges(frame):
     out = mixing.mix(docs_of(frame, EDGE)).collect()
     assert len(out) == len(EDGE)
