@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import Scratch, hot_join, slices, split_words, text_or_empty
+from fleetlens.llm.common import Scratch, hot_join, lean, slices, split_words, text_or_empty
 
 LABELLED = 6_000  # the bound of the labelled sample
 ROUNDS = 2
@@ -275,12 +275,18 @@ def fit_views(views: dict[str, Rows], y: np.ndarray, held: np.ndarray, taught: d
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``PART`` bytes of text, or one row: features take many times the memory of their texts."""
-    for b in batches:
-        at = 0
-        for p in slices(pa.RecordBatch.from_arrays([b.column("text").cast(pa.string())], names=["text"]), "text", PART):
-            yield b.slice(at, p.num_rows)
-            at += p.num_rows
+    """The batches in parts of at most ``PART`` bytes of text, or one row: features take many times the memory of their texts.
+
+    Words are remembered for these batches only, as the worker outlives them.
+    """
+    try:
+        for b in batches:
+            at = 0
+            for p in slices(pa.RecordBatch.from_arrays([b.column("text").cast(pa.string())], names=["text"]), "text", PART):
+                yield b.slice(at, p.num_rows)
+                at += p.num_rows
+    finally:
+        _slots.clear()
 
 
 def _features(b: pa.RecordBatch) -> tuple[Rows, Rows]:
@@ -294,6 +300,7 @@ def _features(b: pa.RecordBatch) -> tuple[Rows, Rows]:
 _STORED = "ti binary, tv binary, mi binary, mv binary"
 
 
+@lean
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of documents, a row for each; all columns but those of the document stay."""
     for b in _parts(batches):
@@ -327,6 +334,7 @@ def _fitter(models: dict[str, Model | None] | None):
 def _sure(models: dict[str, Model | None]):
     """(doc_id, model, view, label) wherever one view is sure enough to teach the other."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             text, meta = _features(b)
@@ -392,6 +400,7 @@ def score(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
     keep = next(c for c in ("keep", *(f"keep_{i}" for i in range(len(taken) + 1))) if c not in taken)
     extra = [pa.field(own[n], pa.float64()) for n in names] + [pa.field(keep, pa.bool_())]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             text, meta = _features(b)

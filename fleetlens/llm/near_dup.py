@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import Scratch, components, hot_join, sized, slices
+from fleetlens.llm.common import Scratch, components, hot_join, lean, sized, slices
 
 K = 64  # retained values of a sketch
 SHARED = 32  # that two similar sets share at least, if they have more values
@@ -68,6 +68,7 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def _sketcher(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for whole in batches for p in slices(whole, "text", PART)):
             sets = _sets(b.column("text"), width)
@@ -79,6 +80,7 @@ def _sketcher(width: int):
     return run
 
 
+@lean
 def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sk = [np.frombuffer(x, np.int64) for x in b.column("sketch").to_pylist()]
@@ -88,6 +90,7 @@ def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(np.repeat(b.column("n").to_numpy(), sizes))], names=["value", "doc", "n"])
 
 
+@lean
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The upper halves of the retained values: where two agree, the values may; where values agree, they do."""
     for b in batches:
@@ -103,6 +106,7 @@ def _union_estimate(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= (SHARED if len(union) >= K else -(-len(union) * 4 // 5))
 
 
+@lean
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [np.frombuffer(v, np.uint64) for v in b.column("sketch_a").to_pylist()]
@@ -117,6 +121,7 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _exact(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (q for whole in batches for p in slices(whole, "text_b", PART) for q in slices(p, "text_a", PART)):
             x, y = _sets(b.column("text_a"), width), _sets(b.column("text_b"), width)

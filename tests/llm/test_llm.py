@@ -1,9 +1,12 @@
 """The operators against brute force, exact round trips and held-out labels, and on awkward tables."""
 
 import hashlib
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -518,6 +521,48 @@ def test_near_duplicates_work_in_parts_of_bounded_bytes(monkeypatch):
     assert all(len(x) == 1 for x in done[0]) and all(len(x) > 5 for x in done[1])
 
 
+HELD = """
+import random, re, sys
+import pyarrow as pa
+from fleetlens.llm import cotraining
+
+def held():
+    return sum(map(int, re.findall(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches(path):
+    yield from pa.ipc.open_stream(pa.OSFile(path))  # read piece by piece, as from the JVM
+
+def write(path, count, rows):
+    rng, n = random.Random(5), list(range(rows))
+    with pa.ipc.new_stream(path, pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) as out:
+        for _ in range(count):
+            out.write_batch(pa.RecordBatch.from_pydict({"doc_id": n, "text": [" ".join(f"w{rng.getrandbits(17)}" for _ in range(rng.randint(1, 700))) for _ in n]}))
+
+step, few, many = sys.argv[1:]
+if step == "write":
+    write(few, 1, 10)
+    write(many, 3, 6000)
+    sys.exit()
+run = cotraining._sure({})
+for _ in run(batches(few)):
+    pass
+before = held()
+for _ in run(batches(many)):
+    pass
+print(held() - before, len(cotraining._slots))
+"""
+
+
+def test_workers_hold_no_unused_memory_after_a_task(tmp_path):
+    """An idle worker counts against its executor's memory in all later stages."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYTHONPATH": root, "OMP_NUM_THREADS": "1"}
+    for step in ("write", "score"):
+        out = subprocess.run([sys.executable, "-c", HELD, step, str(tmp_path / "few"), str(tmp_path / "many")], env=env, capture_output=True, text=True, check=True, timeout=300).stdout
+    grown, words = out.split()
+    assert float(grown) < 20 and words == "0"
+
+
 def test_near_duplicates_edges(frame):
     out = near_dup.near_duplicates(docs_of(frame, EDGE), 2).collect()
     assert len(out) == len(EDGE)
