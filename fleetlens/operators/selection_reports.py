@@ -4,6 +4,9 @@ The fleet is assessed once into a narrow row per host (``host_facts``), which is
 Selections are rows ``(selection, server_id)``; every section of every report is then one join with them and one grouped
 aggregate, however many selections there are. Sections of the whole fleet need no join; they carry the name ``*``.
 
+Joins with hosts, names, tokens and documents are sort-merge joins (``spread``): all of these grow with the fleet, and what the
+planner takes for their size is that of compressed files, by which it would send a whole fleet through the driver.
+
 Hosts in several selections count in each, hosts asked for twice count once, tokens without a host are counted as
 unmatched, and a selection without any host appears in the summary only.
 """
@@ -24,6 +27,11 @@ KINDS = ("hostname", "ip", "public_id", "pair")
 CONTRACT_VERSION = "1.0"  # fixed value
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never collected for a broadcast, however small its files are."""
+    return df.hint("merge")
+
+
 # --- selections ---------------------------------------------------------------------------------------------------
 
 def known_names(inventory: DataFrame) -> DataFrame:
@@ -42,7 +50,7 @@ def known_names(inventory: DataFrame) -> DataFrame:
 
 def selection_members(inventory: DataFrame, tokens: DataFrame) -> DataFrame:
     """``(selection, server_id)`` of the hosts that any token ``(selection, kind, token)`` names, each once."""
-    return known_names(inventory).join(tokens.select("selection", "kind", "token"), ["kind", "token"]).select("selection", HOST).distinct()
+    return known_names(inventory).join(spread(tokens.select("selection", "kind", "token")), ["kind", "token"]).select("selection", HOST).distinct()
 
 
 def selection_tokens(inventory: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -82,7 +90,7 @@ def host_facts(inventory: DataFrame, rows: DataFrame, support: DataFrame, signal
 
 def _selected(facts: DataFrame, members: DataFrame) -> DataFrame:
     """Facts once per selection, and once for the whole fleet."""
-    return facts.join(members, HOST).unionByName(facts.withColumn("selection", F.lit(WHOLE)))
+    return facts.join(spread(members), HOST).unionByName(facts.withColumn("selection", F.lit(WHOLE)))
 
 
 def section_counts(facts: DataFrame, members: DataFrame) -> DataFrame:
@@ -117,20 +125,20 @@ def _headers(inventory: DataFrame, members: DataFrame, tokens: DataFrame, rows:
     """Filters, warnings and number of documents per selection. A list holds tokens of one request, which bound it."""
     trimmed = F.when(F.col("kind") == "pair", F.col("token")).otherwise(F.trim("token"))
     asked = tokens.select("selection", "kind", trimmed.alias("token")).filter(F.col("token") != "").distinct()
-    hits = known_names(inventory).join(asked.select("kind", "token").distinct(), ["kind", "token"], "left_semi").groupBy("kind", "token").agg(
+    hits = known_names(inventory).join(spread(asked.select("kind", "token").distinct()), ["kind", "token"], "left_semi").groupBy("kind", "token").agg(
         F.count_distinct(HOST).alias("_n"))
 
     def listed(where: Column) -> Column:
         return F.array_sort(F.collect_set(F.when(where, F.col("token"))))
 
     kind, n = F.col("kind"), F.col("_n")
-    h = asked.join(hits, ["kind", "token"], "left").groupBy("selection").agg(
+    h = asked.join(spread(hits), ["kind", "token"], "left").groupBy("selection").agg(
         *[listed(kind == k).alias(k) for k in KINDS], listed((kind == "hostname") & (n > 1)).alias("ambiguous_hostnames"),
         listed((kind == "pair") & n.isNull()).alias("unresolved_pairs"), listed((kind != "pair") & n.isNull()).alias("unmatched_filters"))
-    found = members.join(rows.select(HOST), HOST).groupBy("selection").agg(F.count("*").alias("count"))
+    found = members.join(spread(rows.select(HOST)), HOST).groupBy("selection").agg(F.count("*").alias("count"))
     lists = [c for c in h.columns if c != "selection"]
     whole = rows.agg(F.count("*").alias("count")).select(F.lit(WHOLE).alias("selection"), *[F.array().cast("array<string>").alias(c) for c in lists], "count")
-    return h.join(found, "selection", "left").fillna(0, ["count"]).unionByName(whole)
+    return h.join(spread(found), "selection", "left").fillna(0, ["count"]).unionByName(whole)
 
 
 def assessment_envelopes(rows: DataFrame, inventory: DataFrame, members: DataFrame, tokens: DataFrame, window_days: int, end: Column,

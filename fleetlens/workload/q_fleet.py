@@ -615,7 +615,7 @@ def _envelopes(c: Context):
         F.substring(F.get_json_object("document", "$.window.start"), 1, 10).alias("window_start"), text("filter.ip").alias("ips"),
         *[text(f"warnings.{k}").alias(k) for k in ("ambiguous_hostnames", "unresolved_pairs", "unmatched_filters")])
     docs = e.filter("part = 'server'").groupBy("selection").agg(F.count(F.get_json_object("document", "$.assessment.classification")).alias("documents"))
-    return heads.join(docs, "selection", "left").fillna(0, ["documents"])
+    return heads.join(M.spread(docs), "selection", "left").fillna(0, ["documents"])
 
 
 query("assessment_envelopes", f"""

@@ -127,3 +127,16 @@ def test_number_of_selections_does_not_change_the_plan(spark, data, tmp_path):
     facts, inventory = (spark.read.parquet(str(tmp_path / n)) for n in ("facts", "inventory"))
     plan = M.section_counts(facts, M.selection_members(inventory, tok))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 4  # facts for selections and whole fleet, names and addresses of the inventory
+
+
+def test_envelopes_collect_no_side_of_a_join(spark, data, tmp_path):
+    """The files of a fleet's documents are small, its documents are not: they must not pass through the driver."""
+    inventory, _, tok, _ = frames(spark, data)
+    rows = spark.createDataFrame(data[1], ROWS)
+    for name, df in (("rows", rows), ("inventory", inventory), ("tokens", tok)):
+        df.write.parquet(str(tmp_path / name))
+    rows, inventory, tok = (spark.read.parquet(str(tmp_path / n)) for n in ("rows", "inventory", "tokens"))
+    end = timestamp("2024-02-01 00:00:00")
+    out = M.assessment_envelopes(rows, inventory, M.selection_members(inventory, tok), tok, 14, end, end)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
