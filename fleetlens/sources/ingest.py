@@ -49,8 +49,13 @@ CHECKED = ("schema_version", "message_type", "message_id", "agent_id", "collecte
 
 
 def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFrame:
-    """Adds ``problems``: the names of the violated rules, empty for a good message. The text is parsed once, with the
-    checked fields and the nested inventory blocks as text and the metric namespaces typed."""
+    """Adds ``problems``: the names of the violated rules, empty for a good message."""
+    return _examined(messages, major).drop("_m", "_keys")
+
+
+def _examined(messages: DataFrame, major: str) -> DataFrame:
+    """Adds ``problems`` and what they were found in: the text is parsed once into ``_m``, with the checked fields and the
+    nested inventory blocks as text and the metric namespaces typed, and its keys into ``_keys``."""
     shape = ", ".join(f"{n} string" for n in CHECKED) + ", " + ", ".join(f"`{x}` {X.NAMESPACE}" for x in X.NAMESPACES) + f", {', '.join(f'{n} string' for n in L.FLAT)}, bits string, {L.block_shapes()}, _broken string"
     parsed = messages.withColumns({
         "_m": F.from_json("value", shape, {"columnNameOfCorruptRecord": "_broken"}), "_keys": F.json_object_keys("value")})
@@ -97,7 +102,7 @@ def check_messages(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFram
         ("task_id", is_task & long("task_id", 128, 1, True)), ("status", is_task & long("status", 32, 1, True)),
         ("error_code", is_err & long("error_code", 64, 1, True)), ("failed_component", is_err & long("failed_component", 32, 1, True)),
     ]
-    return parsed.withColumn("problems", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).drop("_m", "_keys")
+    return parsed.withColumn("problems", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
 
 
 def split_valid(messages: DataFrame, major: str = CONTRACT_MAJOR) -> tuple[DataFrame, DataFrame]:
@@ -116,6 +121,16 @@ def parse_any(messages: DataFrame) -> DataFrame:
     return messages.select(F.from_json("value", X.ANY).alias("m")).select("m.*")
 
 
+def sorted_out(messages: DataFrame, major: str = CONTRACT_MAJOR) -> DataFrame:
+    """One row per message, to be written: bad messages with ``problems``, good ones without; metrics as typed columns
+    (taken from the check's parse, for ``kind_of``) in place of their text; all others as text. ``_row`` numbers the rows."""
+    bad = F.size("problems") > 0
+    metrics = ~bad & (F.col("_m.message_type") == "metrics")
+    typed = [F.when(metrics, F.col("_m")[n]).alias(n) for n in X.names(X.METRICS)]
+    return _examined(messages, major).select(
+        F.when(~metrics, F.col("value")).alias("value"), F.when(bad, F.col("problems")).alias("problems"), *typed, F.monotonically_increasing_id().alias("_row"))
+
+
 def kind_of(parsed: DataFrame, kind: str) -> DataFrame:
     return _typed(parsed.filter(F.col("message_type") == kind).select(*[f"`{n}`" for n in X.names(X.BY_TYPE[kind])]))
 
@@ -276,6 +291,25 @@ def dedupe(messages: DataFrame, key: str = "message_id", ts: str = "collected_at
     return latest_one(messages, [key], [F.asc(ts)])
 
 
+def first_rows(messages: DataFrame, key: str = "message_id", ts: str = "collected_at") -> DataFrame:
+    """The rows that ``dedupe`` would keep of a written table numbered by ``_row``, as bitmaps of 32,768 numbers: ``(bucket, bits)``.
+
+    Only ids, times and numbers are shuffled, reduced before the shuffle.
+    """
+    kept = messages.groupBy(key).agg(F.min_by("_row", F.try_to_timestamp(ts)).alias("_row"))
+    return kept.groupBy(F.bitmap_bucket_number("_row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_row")).alias("bits"))
+
+
+def with_rows(messages: DataFrame, kept: DataFrame, most: int = 4096) -> DataFrame:
+    """Messages whose number is in the written bitmaps ``kept``. These are one bit a message; beyond ``most`` of them (4 KB each)
+    they are not sent to all tasks, but the messages are shuffled by them."""
+    few = kept.count() <= most
+    position = F.bitmap_bit_position("_row")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = messages.withColumns({"bucket": F.bitmap_bucket_number("_row"), "_place": position}).join(F.broadcast(kept) if few else kept.hint("merge"), "bucket")
+    return found.where(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1).drop("bucket", "bits", "_place")
+
+
 def insert_if_absent(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose natural key is not stored, one per key."""
     return new.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")

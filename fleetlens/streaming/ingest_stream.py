@@ -1,9 +1,12 @@
 """One stream of messages into all stored tables.
 
-A micro-batch is checked and parsed once and fans out: metrics to the host table and its six child tables, inventory to
+A micro-batch is checked and parsed once into a compressed table, from which it fans out column by column: metrics to the host table and its six child tables, inventory to
 the newest row per agent and to the history of changes, errors and task results to their logs, bad messages to the
 quarantine. All writes of a batch count together (see ``epochs``), so a batch that fails half-way and comes again leaves
 every row once.
+
+Nothing is cached: the table of the batch, of columns, is a small part of the text and goes with the commit, and shuffle
+files go with the query that wrote them, so the disk holds those of one table at a time.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from fleetlens.sources import ingest as G
 from fleetlens.sources.rollup_store import RollupStore
 from fleetlens.sources.series_index import SERIES, SeriesIndex
 from fleetlens.sources.tables import DAY
-from fleetlens.streaming.epochs import EPOCH, EpochStore
+from fleetlens.streaming.epochs import EPOCH, EpochStore, passing_shuffles
 
 AGENT, TS = "agent_id", "collected_at"
 LOGS = {"agent_errors": "error", "task_results": "task.result"}
+PARSED, FIRST = "parsed", "first_rows"  # of the batch that is being taken in
 
 
 def _keys(table: str) -> list[str]:
@@ -47,22 +51,34 @@ class IngestStream:
         """One micro-batch; does nothing if the epoch is committed."""
         if epoch <= self.store.committed():
             return
-        checked = G.check_messages(messages).persist()
-        parsed = G.parse_any(checked.where(F.size("problems") == 0)).persist()
-        self.store.write(checked.where(F.size("problems") > 0).select("value", "problems"), "quarantine", epoch)
-        metrics = G.dedupe(G.kind_of(parsed, "metrics"))
+        with passing_shuffles(self.spark):
+            self._take_in(messages, epoch)
+
+    def _take_in(self, messages: DataFrame, epoch: int) -> None:
+        parsed = self._kept(G.sorted_out(messages), PARSED, epoch)
+        self.store.write(parsed.where("problems is not null").select("value", "problems"), "quarantine", epoch)
+        samples = parsed.where("message_type = 'metrics'")
+        first = self._kept(G.first_rows(samples), FIRST, epoch)
+        metrics = G.kind_of(G.with_rows(samples, first), "metrics")
         for table, parse in G.PARSERS.items():
             self._samples(parse(metrics), table, epoch)
         self.store.write(metrics.groupBy(AGENT).agg(F.max(TS).alias(TS)), "seen", epoch)
-        self._inventory(G.dedupe(G.kind_of(parsed, "inventory")), epoch)
+        others = G.parse_any(parsed.where("problems is null and value is not null"))
+        self._inventory(G.dedupe(G.kind_of(others, "inventory")), epoch)
         for table, kind in LOGS.items():
-            rows = G.dedupe(G.kind_of(parsed, kind))
+            rows = G.dedupe(G.kind_of(others, kind))
             self.store.write(self._absent(rows, self.store.read(table), ["message_id"]), table, epoch)
         if self.index:
             self.index.commit(epoch)
         self.store.commit(epoch)
-        parsed.unpersist()
-        checked.unpersist()
+        for table in (PARSED, FIRST):
+            self.store.forget(table)
+
+    def _kept(self, rows: DataFrame, table: str, epoch: int) -> DataFrame:
+        """Rows written for the time of the batch. What a batch that failed has left is replaced."""
+        path = f"{self.store.root}/{table}/{EPOCH}={epoch}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     @staticmethod
     def _absent(rows: DataFrame, stored: DataFrame | None, keys: Sequence[str]) -> DataFrame:

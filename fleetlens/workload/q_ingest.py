@@ -9,6 +9,7 @@ from fleetlens import schemas as X
 from fleetlens.operators import rollups as R
 from fleetlens.sources import ingest as G
 from fleetlens.streaming import streams as W
+from fleetlens.streaming.epochs import passing_shuffles
 from fleetlens.streaming.ingest_stream import IngestStream
 from fleetlens.workload.q_trends import END
 from fleetlens.workload.registry import Context, library, query
@@ -31,12 +32,13 @@ def namespace(**metrics):
     return F.create_map(*[x for k, v in metrics.items() for x in (F.lit(k.replace("__", ".")), v)])
 
 
-def envelope(df: DataFrame, kind: str, keep: tuple[str, ...] = (), **ns) -> DataFrame:
-    """Rows to JSON messages; ids and times follow from host and time."""
+def envelope(df: DataFrame, kind: str, keep: tuple[str, ...] = (), deal: bool = True, **ns) -> DataFrame:
+    """Rows to JSON messages; ids and times follow from host and time. ``deal`` shuffles the rows first, for tables of few tasks."""
     c = F.col
     uid = F.md5(F.concat_ws("|", F.lit(kind), *[c(k).cast("string") for k in KEY]))
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    df = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *KEY)  # building text is the costly part
+    if deal:
+        df = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *KEY)  # building text is the costly part
     return df.select(*keep, F.to_json(F.struct(
         F.lit("1.2").alias("schema_version"), F.lit(kind).alias("message_type"), uid.alias("message_id"),
         F.md5(c("server_id").cast("string")).alias("agent_id"), F.date_format("collected_at", iso).alias("collected_at"),
@@ -47,11 +49,11 @@ AGENT = "md5(cast(server_id as varchar)) as agent_id"
 C = F.col
 
 
-def host_messages(c: Context) -> DataFrame:
+def host_messages(c: Context, deal: bool = True) -> DataFrame:
     states = [point(C(f"cpu_{s}_s"), state=s, cpu="0") for s in G.STATES] + [point(C("cpu_user_s"), state="user", cpu="1")]
     mem = [point(C(f"mem_{s}_bytes"), state=s) for s in ("available", "used", "cached", "buffered")]
     pag = [point(C("paging_major"), direction="in", type="major"), point(C("paging_in"), direction="in"), point(C("paging_out"), direction="out")]
-    return envelope(c["host_metrics"], "metrics", **{
+    return envelope(c["host_metrics"], "metrics", deal=deal, **{
         "system.cpu": namespace(cpu__time=metric(F.array(*states)), cpu__run_queue=metric(F.array(point(C("cpu_run_queue"))), "gauge")),
         "system.memory": namespace(memory__usage=metric(F.array(*mem), "gauge"), memory__limit=metric(F.array(point(C("mem_limit_bytes"))), "gauge")),
         "system.disk": F.lit(None).cast("string"), "system.network": namespace(network__tcp__retransmits=metric(F.array(point(C("net_tcp_retransmits"))))),
@@ -63,13 +65,13 @@ def grouped(df: DataFrame, **points) -> DataFrame:
     return df.groupBy(*KEY).agg(*[F.flatten(F.collect_list(F.array(*p))).alias(n) for n, p in points.items()])
 
 
-def disk_messages(c: Context) -> DataFrame:
+def disk_messages(c: Context, deal: bool = True) -> DataFrame:
     d = C("device_id")
     g = grouped(c["disk_io"], io=[point(C("io_read_bytes"), device=d, direction="read"), point(C("io_write_bytes"), device=d, direction="write")],
                 ops=[point(C("ops_read"), device=d, direction="read"), point(C("ops_write"), device=d, direction="write")],
                 busy=[point(C("io_time_s"), device=d)], took=[point(C("op_read_time_s"), device=d, direction="read"), point(C("op_write_time_s"), device=d, direction="write")],
                 queue=[point(C("pending_ops"), device=d)])
-    return envelope(g, "metrics", **{"system.disk": namespace(
+    return envelope(g, "metrics", deal=deal, **{"system.disk": namespace(
         disk__io=metric(C("io")), disk__operations=metric(C("ops")), disk__io_time=metric(C("busy")), disk__operation_time=metric(C("took")),
         disk__pending_operations=metric(C("queue"), "gauge"))})
 
@@ -316,9 +318,11 @@ query("ingest_stream", """
 def _ingest(c: Context) -> DataFrame:
     """All messages, the metrics twice, in one batch that is delivered again after it is committed."""
     folder = W.work_folder(c.spark, "ingest")
-    hosts = with_null(host_messages(c), "aa", "system.disk")
-    disks = with_null(disk_messages(c), "bb", "system.cpu", "system.memory", "system.network")
-    hosts.unionByName(hosts).unionByName(disks).unionByName(mixed_messages(c)).write.text(f"{folder}/in")
+    hosts = with_null(host_messages(c, deal=False), "aa", "system.disk")
+    disks = with_null(disk_messages(c, deal=False), "bb", "system.cpu", "system.memory", "system.network")
+    with passing_shuffles(c.spark):  # samples come out of a shuffle, in tasks enough
+        for messages in (hosts, hosts, disks, mixed_messages(c)):
+            messages.write.mode("append").option("compression", "gzip").text(f"{folder}/in")
     s = IngestStream(c.spark, folder).run(c.spark.readStream.text(f"{folder}/in"))
     s.batch(c.spark.read.text(f"{folder}/in"), 0)
     counts = {n: s.table(n) for n in ("host_metrics", "cpu_core", "seen", "quarantine", "inventory_history")}

@@ -96,6 +96,44 @@ def test_stream_equals_batch_with_a_retry(spark, tmp_path, monkeypatch):
     assert s.table("inventory").where("placeholder").count() == 1
 
 
+def test_first_rows_are_those_of_the_earliest_delivery(spark, tmp_path):
+    """Two tasks of 40,000 and 30,000 rows: every third id comes again, with another time; 4 KB bitmaps sent along or shuffled."""
+    at = F.timestamp_seconds((F.col("id") * 7919) % 100_003).cast("string")
+    n = F.col("id") + F.when(F.col("id") >= 40_000, 2**33 - 40_000).otherwise(0)
+    rows = spark.range(70_000).select((F.col("id") % 50_000).cast("string").alias("message_id"), at.alias("collected_at"), n.cast("long").alias("_row"))
+    first = {}
+    for r in rows.collect():
+        first[r.message_id] = min(first.get(r.message_id, ("9",)), (r.collected_at, r._row))
+    G.first_rows(rows).write.parquet(str(tmp_path / "first"))
+    kept = spark.read.parquet(str(tmp_path / "first"))
+    for most in (4096, 0):
+        out = G.with_rows(rows, kept, most)
+        assert out.columns == rows.columns
+        assert sorted(r._row for r in out.collect()) == sorted(v[1] for v in first.values())
+
+
+def test_a_batch_caches_nothing_and_leaves_no_work_tables(spark, tmp_path, monkeypatch):
+    """Of messages with one id the earliest counts in all tables; nothing is cached, and shuffle files are let go by query."""
+    s, seen = IngestStream(spark, str(tmp_path / "s")), []
+    spark.catalog.clearCache()
+    for rdd in list(spark.sparkContext._jsc.getPersistentRDDs().values()):
+        rdd.unpersist(True)
+    key, inventories = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", s._inventory
+
+    def look(rows, epoch):
+        seen.append((spark.sparkContext._jsc.getPersistentRDDs().size(), spark.conf.get(key)))
+        inventories(rows, epoch)
+
+    monkeypatch.setattr(s, "_inventory", look)
+    before = spark.conf.get(key)
+    late = json.loads(sample(1, AGENTS[0], 5)) | {"system.disk": {"disk.io": counter(point(1, device="sdz", direction="read"))}}
+    s.batch(texts(spark, [json.dumps(late), sample(1, AGENTS[0], 4), sample(2, AGENTS[0], 5), "{broken"]), 0)
+    assert seen == [(0, "true")] and spark.conf.get(key) == before
+    assert {r.device_id for r in s.table("disk_io").collect()} == {"sda"} and s.table("host_metrics").count() == 2
+    assert s.table("quarantine").collect()[0].value == "{broken"
+    assert not (tmp_path / "s/tables/parsed").exists() and not (tmp_path / "s/tables/first_rows").exists()
+
+
 GOOD = {
     "block_devices": [{"name": "sda", "type": "disk", "size_bytes": 10, "partition_table": "gpt", "rotational": False, "part_flags": ["boot"], "mount_options": [], "raid_level": 5, "fs_freq": 0}, {"name": "md0", "type": "raid", "raid_level": "linear"}],
     "net_interfaces": [{"name": "eth0", "addresses": [{"address": "fe80::1", "prefix": 64, "family": "ipv6", "origin": "dhcp"}], "gateway": "", "routes": [{"dest": "0.0.0.0/0", "via": None}], "dns": ["10.0.0.2"]}],
