@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-"))
     return sc.getCheckpointDir()
+
+
+@contextmanager
+def held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run within."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

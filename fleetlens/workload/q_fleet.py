@@ -15,6 +15,7 @@ from fleetlens.operators import selection_reports as M
 from fleetlens.operators import snapshots as N
 from fleetlens.operators import tasks as K
 from fleetlens.operators.kernels import places
+from fleetlens.session import held
 from fleetlens.streaming.streams import work_folder
 from fleetlens.workload.q_inventory import support
 from fleetlens.workload.q_reports import rolls, series_index, verdict
@@ -577,7 +578,8 @@ def facts(c: Context):
 
 
 def assessed_rows(c: Context):
-    return _written(c, "assessment-rows", lambda: V.assessment_rows(verdict(c), mounts(c), c.end))
+    with held(c.spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):  # tables of all hosts, in small files, would pass through the driver
+        return _written(c, "assessment-rows", lambda: V.assessment_rows(verdict(c), mounts(c), c.end))
 
 
 def members(c: Context):

@@ -140,3 +140,13 @@ def test_envelopes_collect_no_side_of_a_join(spark, data, tmp_path):
     out = M.assessment_envelopes(rows, inventory, M.selection_members(inventory, tok), tok, 14, end, end)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_assessed_rows_are_built_without_broadcasts(spark, monkeypatch):
+    from fleetlens.workload import q_fleet as Q
+    from fleetlens.workload.registry import Context
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(Q, "_written", lambda c, name, build: spark.conf.get(key))
+    assert Q.assessed_rows(Context(spark, "none")) == "-1" and spark.conf.get(key) == before != "-1"
